@@ -33,6 +33,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A broadcast hint where a written table of narrow rows is counted and has at most ``rows``; else none."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 byte offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

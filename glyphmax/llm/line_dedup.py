@@ -22,11 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import row_key, shared_table
+from glyphmax.llm.common import broadcast_small, row_key, shared_table
 
 MIN_CHARS = 16
-#: Rows of suspects or of their keys that may be broadcast (16 bytes each); beyond it they are joined by shuffling.
-BROADCAST_ROWS = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -46,11 +44,6 @@ def half_keys(line: Column) -> Column:
     return F.array(*pair(n), *pair(n - 1))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint where the table's rows are counted and few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h1, h2, text) to (h1, h2, variant, place): the line itself at -1 and its deletions."""
     for batch in batches:
@@ -78,10 +71,10 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     keys = distinct.select(F.explode("halves").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = shared_table(keys, "line-keys")
     rows = distinct.select("h1", "h2", "first", F.explode("halves").alias("key"))
-    suspects = shared_table(rows.join(small(keys), "key", "left_semi").select("h1", "h2", "first").distinct(), "suspects")
+    suspects = shared_table(rows.join(broadcast_small(keys), "key", "left_semi").select("h1", "h2", "first").distinct(), "suspects")
     at = suspects.select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.rk").alias("rk"), F.col("first.line").alias("line"))
     match = [lines["rk"] == at["rk"], lines["line"] == at["line"], lines["doc_id"].eqNullSafe(at["doc_id"])]
-    texts = lines.join(small(at), match).select(at["h1"], at["h2"], at["first"], lines["text"])
+    texts = lines.join(broadcast_small(at), match).select(at["h1"], at["h2"], at["first"], lines["text"])
     texts = shared_table(texts.dropDuplicates(["h1", "h2"]), "suspect-lines")
     made = texts.select("h1", "h2", "text").repartition(F.col("h1")).mapInArrow(variants, "h1 long, h2 long, variant long, place int")
     known = texts.select("h1", "h2", "first")

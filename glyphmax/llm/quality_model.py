@@ -177,3 +177,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, t
                 )
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``threshold``."""
+    model = fit(docs, labels, train_docs)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = flat_text(batch.column(at))
+            for i, j in slices(ends):
+                if isinstance(model, float):
+                    good = np.full(j - i, model >= threshold)
+                else:
+                    x, first = passage_features(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+                    good = forward(model, x, first)[0] >= threshold
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

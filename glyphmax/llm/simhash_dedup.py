@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import flat_text, shared_table
+from glyphmax.llm.common import broadcast_small, flat_text, row_key, shared_table
 from glyphmax.llm.components import connected_components
 
 BOUND = 6
@@ -54,15 +54,15 @@ def fingerprint(raw: bytes) -> bytes:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit integer."""
+    """``doc_id, rk, fp``: the row's content key and the fingerprint, as signed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = flat_text(batch.column(1))
+            data, ends = flat_text(batch.column(2))
             marks = b"".join([fingerprint(data[i:j].tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.frombuffer(marks, ">i8").astype(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(np.frombuffer(marks, ">i8").astype(np.int64))], names=["doc_id", "rk", "fp"])
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(key, row_key(key, text).alias("rk"), text).mapInArrow(run, "doc_id long, rk long, fp long")
 
 
 def pivots() -> np.ndarray:
@@ -164,9 +164,8 @@ def link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result(held)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, fingerprint, n_near, component_id`` for every row of ``docs``."""
-    marks = shared_table(fingerprints(docs, text, key), "fingerprints")
+def placed_fingerprints(marks: DataFrame) -> DataFrame:
+    """``fp, n_near, component_id, component`` of every distinct fingerprint of ``doc_id, fp`` rows."""
     distinct = marks.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least_id"))
     block = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(BLOCKS)]
     buckets = F.explode(F.array(*[F.lit(t << 16) + block[i] * 256 + block[j] for t, (i, j) in enumerate(TABLES)]))
@@ -190,5 +189,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     placed = distinct.join(near, "fp", "left").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
     placed = placed.select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "least_id", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    placed = placed.join(least, "component").select("fp", "n_near", "component_id")
-    return marks.join(placed, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+    return placed.join(least, "component").select("fp", "n_near", "component_id", "component")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, fingerprint, n_near, component_id`` for every row of ``docs``."""
+    marks = shared_table(fingerprints(docs, text, key), "fingerprints")
+    return marks.join(placed_fingerprints(marks), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each group of near-duplicates keeps the one with the least doc_id."""
+    marks = shared_table(fingerprints(docs), "fingerprints")
+    rows = marks.join(placed_fingerprints(marks).select("fp", "component"), "fp")
+    rows = shared_table(rows.groupBy("component", "doc_id", "rk").agg(F.count("*").alias("n")), "grouped")
+    stays = rows.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("stays"))
+    gone = rows.join(stays, "component").where(F.struct("doc_id", "rk") != F.col("stays"))
+    gone = broadcast_small(shared_table(gone.select(F.col("doc_id").alias("__id"), F.col("rk").alias("__gone")), "near-duplicates"))
+    keyed = docs.withColumn("__rk", row_key("doc_id", "text"))
+    kept = keyed.join(gone, (F.col("__rk") == F.col("__gone")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    if not rows.where("n > 1").isEmpty():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", "__rk"])
+    return kept.drop("__rk")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import flat_text, row_key, shared_table, slices
+from glyphmax.llm.common import broadcast_small, flat_text, row_key, shared_table, slices
 
 LENGTH = 400
 GRAM = 64
@@ -435,11 +435,6 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint where the written table's rows are counted and at most ``rows``."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> DataFrame:
     """``doc_id, rk, start, last``: runs of window starts (start to start + last) that repeat, of ``doc_id, rk, text``."""
     found = shared_table(src.mapInArrow(emit_contexts, CONTEXT), "contexts")
@@ -448,9 +443,9 @@ def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows:
     classes = shared_table(found.groupBy("gram", "content").agg(F.sum("n").alias("n")), "context-classes")
     mixed = classes.groupBy("gram").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 AND least = 1")
     mixed = shared_table(mixed.select("gram", (F.col("contents") > group_rows).alias("hot")), "mixed-anchors")
-    acted = classes.join(small(mixed, broadcast_rows), "gram", "left").where("n > 1 OR hot IS NOT NULL")
+    acted = classes.join(broadcast_small(mixed, broadcast_rows), "gram", "left").where("n > 1 OR hot IS NOT NULL")
     acted = shared_table(acted.select("gram", "content", F.col("n").alias("total"), "hot"), "acted-classes")
-    rows = found.drop("n").join(small(acted, 2 * broadcast_rows), ["gram", "content"])
+    rows = found.drop("n").join(broadcast_small(acted, 2 * broadcast_rows), ["gram", "content"])
     rows = shared_table(rows, "acted-contexts")
     whole = rows.where("total > 1").select("doc_id", "rk", "start", "last")
 
@@ -462,7 +457,7 @@ def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows:
     counts = {r["hot"]: r["n"] for r in n_marks}
 
     def marked(hot: bool) -> DataFrame:
-        m = small(marks.where(F.col("hot") == F.lit(hot)).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "marks"), broadcast_rows // 4)
+        m = broadcast_small(marks.where(F.col("hot") == F.lit(hot)).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "marks"), broadcast_rows // 4)
         joined = src.join(m, (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")))
         return joined.dropDuplicates(["doc_id", "rk"]).select("doc_id", "rk", "text", "marks") if hot else joined.select("doc_id", "rk", "text", "marks")
 
@@ -487,5 +482,5 @@ def substring_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", g
     runs = repeated_runs(src, group_rows, broadcast_rows)
     spans = runs.groupBy(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("start", "last")).alias("spans"))
     spans = shared_table(spans, "spans")
-    joined = src.join(small(spans, broadcast_rows // 4), (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    joined = src.join(broadcast_small(spans, broadcast_rows // 4), (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
