@@ -1,10 +1,59 @@
-"""Corpus pipeline: stages applied to documents in order, each written as Parquet and read again."""
+"""Corpus pipeline: documents through five training-data operators, each stage's result written and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmax.llm.common import shared_table
+from glyphmax.llm.line_dedup import deduplicated
+from glyphmax.llm.quality_model import good_documents
+from glyphmax.llm.sentence_pieces import encode_documents
+from glyphmax.llm.simhash_dedup import one_of_each
+from glyphmax.llm.source_mix import mixed
+
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return good_documents(docs, labels(spark, sf_dir))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line equals or nearly equals."""
+    kept = deduplicated(docs)
+    return kept.select(*[F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the rates say that bring the domains to their target weights."""
+    return mixed(docs, labels(spark, sf_dir))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("source mix", mix), ("sentence pieces", encode)]
+
+#: The classifiers' decisions cannot be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
