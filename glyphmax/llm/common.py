@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel handles at once; working arrays are a small multiple of it.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 4096
+#: Rows of an Arrow batch of texts, so that a batch and its copies stay small beside an executor's memory.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send texts to Python in batches of ``BATCH_ROWS``; for queries and pipelines, operators leave it alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -55,12 +63,12 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(ends: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes each; a longer row stands alone."""
+def slices(ends: np.ndarray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes and at most ``rows`` rows each; a longer row stands alone."""
     first, n = 0, len(ends) - 1
     while first < n:
         last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), n)
+        last = min(max(last, first + 1), first + rows, n)
         yield first, last
         first = last
 

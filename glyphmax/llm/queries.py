@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmax.llm import chat_format, line_dedup, quality_model, quality_rules, sentence_pieces, simhash_dedup, source_mix, substring_dedup, token_counts, top_k
+from glyphmax.llm.common import small_batches
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -26,6 +26,8 @@ from glyphmax.llm.quality_rules import SPACE
 
 BUCKETS = 1 << 13
 FEATURES = BUCKETS + CLASSES.shape[1] + 1
+#: Documents whose feature rows (96 KB each) are held at once.
+SLICE_DOCS = 256
 TRAIN_DOCS = 2500
 TRAIN_BYTES = 1 << 16
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 100, 0.05, 1e-4, 11
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(2))
-            for i, j in slices(ends):
+            for i, j in slices(ends, rows=SLICE_DOCS):
                 x, _ = document_features(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
                 places = [np.flatnonzero(v).astype(np.uint16) for v in x]
                 yield pa.RecordBatch.from_arrays(
@@ -131,7 +133,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, domains: list[str], keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(len(keep)))
-            for i, j in slices(ends, 1 << 19):
+            for i, j in slices(ends, rows=SLICE_DOCS):
                 x, words = document_features(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
                 p = softmax((x @ weights[:-1] + weights[-1]).astype(np.float64))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(words), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(domains)))], names=names)
