@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import shared_table
+from glyphmax.llm.common import shared_table, small_batches
 from glyphmax.llm.line_dedup import deduplicated
 from glyphmax.llm.quality_model import good_documents
 from glyphmax.llm.sentence_pieces import encode_documents
@@ -22,6 +22,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return good_documents(docs, labels(spark, sf_dir))
 
 
