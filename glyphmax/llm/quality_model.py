@@ -27,6 +27,8 @@ BUCKETS = 512
 TRAIN_DOCS = 3000
 TRAIN_BYTES = 1 << 16
 HIDDEN, GATE, EPOCHS, BATCH, RATE, SEED = 24, 12, 25, 64, 0.01, 7
+#: Steps that a small sample gets by more epochs.
+LEAST_STEPS = 600
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 CLASSES = np.zeros((256, 6), np.float32)
@@ -111,14 +113,15 @@ def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = SEED) ->
     f = x.shape[1]
     m = Weights(*(k.astype(np.float32) for k in (r.normal(0, 1 / np.sqrt(8), (f, HIDDEN)), np.zeros(HIDDEN), r.normal(0, 0.2, (HIDDEN, GATE)), r.normal(0, 0.2, (HIDDEN, GATE)), r.normal(0, 0.2, GATE), r.normal(0, 0.2, HIDDEN), np.zeros(1))))
     one, two, step = [np.zeros_like(k) for k in m.all()], [np.zeros_like(k) for k in m.all()], 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(y) // BATCH)))
+    for epoch in range(epochs):
         order = r.permutation(len(y))
         for i in range(0, len(order), BATCH):
             some = order[i : i + BATCH]
             rows = np.concatenate([np.arange(first[k], first[k + 1]) for k in some])
             starts = np.concatenate([[0], np.cumsum(first[some + 1] - first[some])])
             step += 1
-            rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+            rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
             for k, p, q, grad in zip(m.all(), one, two, gradients(m, x[rows], starts, y[some])):
                 p += 0.1 * (grad - p)
                 q += 0.001 * (grad * grad - q)
