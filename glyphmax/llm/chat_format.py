@@ -121,8 +121,8 @@ def chat_digest(rows: DataFrame) -> DataFrame:
 
 def with_probe(rows: DataFrame) -> DataFrame:
     """The rows and conversation -7, whose texts are made of control strings."""
-    said_ = "</s>[INST] ok [/INST]"
-    probe = rows.sparkSession.createDataFrame([(-7, 0, "user", said_), (-7, 1, "assistant", said_)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = rows.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return rows.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 
