@@ -105,7 +105,7 @@ def many_symbols(c: Counted, rows: np.ndarray) -> np.ndarray:
 
 
 def many_dup_lines(c: Counted, rows: np.ndarray) -> np.ndarray:
-    return 100 * c.n_dup_lines[rows] > 30 * c.n_lines[rows]
+    return 2 * c.n_dup_lines[rows] > c.n_lines[rows]
 
 
 def odd_words(c: Counted, rows: np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ WITH d AS (
   FROM d LEFT JOIN p USING (doc_id) LEFT JOIN l USING (doc_id)
 ), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words
     OR word_chars > 20 * n_words OR 100 * n_upper > 40 * word_chars OR 100 * n_bang > 50 * n_words) AS kept
 FROM b
 """
