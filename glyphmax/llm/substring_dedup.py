@@ -445,7 +445,7 @@ def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows:
     mixed = shared_table(mixed.select("gram", (F.col("contents") > group_rows).alias("hot")), "mixed-anchors")
     acted = classes.join(broadcast_small(mixed, broadcast_rows), "gram", "left").where("n > 1 OR hot IS NOT NULL")
     acted = shared_table(acted.select("gram", "content", F.col("n").alias("total"), "hot"), "acted-classes")
-    rows = found.drop("n").join(broadcast_small(acted, 2 * broadcast_rows), ["gram", "content"])
+    rows = found.drop("n").join(acted, ["gram", "content"])
     rows = shared_table(rows, "acted-contexts")
     whole = rows.where("total > 1").select("doc_id", "rk", "start", "last")
 
