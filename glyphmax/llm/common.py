@@ -41,9 +41,13 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A broadcast hint where a written table of narrow rows is counted and has at most ``rows``; else none."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_small(df: DataFrame, rows: int = 500_000, items: str | None = None) -> DataFrame:
+    """A broadcast hint where a written table of narrow rows is counted and has at most ``rows``; else none.
+
+    ``items``: an array column, of which a row may hold any number; its elements are counted too (16 a row at most).
+    """
+    found = df.agg(F.count("*").alias("n"), (F.sum(F.size(items)) if items else F.lit(0)).alias("i")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["i"] or 0) <= 16 * rows else df
 
 
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

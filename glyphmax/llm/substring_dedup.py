@@ -457,7 +457,7 @@ def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows:
     counts = {r["hot"]: r["n"] for r in n_marks}
 
     def marked(hot: bool) -> DataFrame:
-        m = broadcast_small(marks.where(F.col("hot") == F.lit(hot)).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "marks"), broadcast_rows // 4)
+        m = broadcast_small(marks.where(F.col("hot") == F.lit(hot)).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "marks"), broadcast_rows // 4, "marks")
         joined = src.join(m, (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")))
         return joined.dropDuplicates(["doc_id", "rk"]).select("doc_id", "rk", "text", "marks") if hot else joined.select("doc_id", "rk", "text", "marks")
 
@@ -482,5 +482,5 @@ def substring_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", g
     runs = repeated_runs(src, group_rows, broadcast_rows)
     spans = runs.groupBy(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("start", "last")).alias("spans"))
     spans = shared_table(spans, "spans")
-    joined = src.join(broadcast_small(spans, broadcast_rows // 4), (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    joined = src.join(broadcast_small(spans, broadcast_rows // 4, "spans"), (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
