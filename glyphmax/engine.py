@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ class Engine:
     def build(self, patches: DataFrame, saliency: DataFrame | None = None, mode: str = "overwrite") -> DataFrame:
         """Index ``page_id, tok, is_text, v`` rows; returns the index statistics.
 
+        Modes append and upsert add to the index under the path, where there is one; its manifest sets dimension and codec.
         With ``pruning.saliency`` "codebook" probes are fitted here; "pixel" needs ``saliency`` (page_id, tok, saliency).
         """
         c = self.config
@@ -35,7 +38,10 @@ class Engine:
                 raise ValueError("pruning needs a saliency table or the codebook setting")
             kept = prune.pruned(patches, saliency, keep_ratio=c.pruning.keep_ratio, threshold=c.pruning.threshold, min_keep=c.pruning.min_keep, redundancy_threshold=c.pruning.redundancy, merge=c.pruning.merge)
         if self.index is None:
-            self.index = PageIndex(self.spark, c.index.path, c.encoder.dim, c.compression.method, c.compression.norms)
+            if mode != "overwrite" and Path(c.index.path, "manifest.json").exists():
+                self.index = PageIndex.open(self.spark, c.index.path)
+            else:
+                self.index = PageIndex(self.spark, c.index.path, c.encoder.dim, c.compression.method, c.compression.norms)
         self.index.write(patches, kept, mode)
         self.full = patches
         return self.index.stats()

@@ -45,6 +45,19 @@ def test_build_search_reopen_and_upsert(spark, sf, tmp_path):
         Engine(spark, config(tmp_path / "j", saliency="pixel")).build(p)
 
 
+def test_a_fresh_engine_adds_to_the_index_on_disk(spark, sf, tmp_path):
+    p = patches(spark, sf)
+    c = config(tmp_path / "i", enabled=False)
+    Engine(spark, c).build(p.where("page_id < 20"))
+    assert Engine(spark, c).build(p.where("page_id >= 20 AND page_id < 30"), mode="append").first()["n_pages"] == 30
+    e = Engine(spark, c)
+    assert e.build(p.where("page_id >= 25"), mode="upsert").first()["n_pages"] == 50
+    assert e.index.codes.count() == p.count() and e.index.codes.select("page_id").distinct().count() == 50
+    assert {h["page_id"] for h in e.search(query_tokens(p), 50).collect()} == set(range(50))
+    assert Engine(spark, c).build(p.where("page_id < 3")).first()["n_pages"] == 3
+    assert Engine(spark, config(tmp_path / "new", enabled=False)).build(p.where("page_id < 3"), mode="append").first()["n_pages"] == 3
+
+
 def test_rerank_finds_the_page_itself(spark, sf, tmp_path):
     p = patches(spark, sf)
     c = config(tmp_path / "i", enabled=False).with_overrides(search={"rerank": True, "top_k": 1, "prefilter_k": 10})
