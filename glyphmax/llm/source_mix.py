@@ -3,8 +3,11 @@
 A softmax classifier, trained on the labelled table, gives each document posteriors over the domains. Every document
 d (n_d tokens, posteriors P_d) gets a rate r_d >= 0 so that the expected domain totals s = sum r_d n_d P_d match the
 target totals T. Least squares, ``sum_k (s_k - T_k)^2 / (2 T_k N) + ridge / 2 * sum_d n_d (r_d - 1)^2 / N`` (N: all
-tokens), is solved by projected gradient in the token-weighted norm. A step needs the domain totals only, one
-distributed sum; a document's rate is replayed from the few past gradients, so no rate is stored between steps.
+tokens), has its minimum where ``r_d = max(0, 1 - P_d . g / ridge)`` and ``g_k = s_k / T_k - 1``: a rate depends on its
+posteriors and the domains' relative misses g only. So g is found by Newton's method on the convex dual function,
+until the two sides differ by at most ``RESIDUAL``; else an error is raised. A step needs sums by domain only, one
+distributed pass, in which shorter steps are evaluated along with the whole one. Totals that still miss their targets by
+over ``MISS`` at the minimum (no rates reach them, or the ridge outweighs a rare domain) are warned of.
 
 Defined results: null or empty text has 0 tokens and takes the posteriors of a text without words; repeated rows each
 get a rate; without labels all posteriors are equal; an empty table gives an empty result; further columns are
@@ -13,6 +16,7 @@ ignored. Tokens are words, ``[^\\x20\\x09-\\x0D]+``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -33,7 +37,10 @@ TRAIN_BYTES = 1 << 16
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 100, 0.05, 1e-4, 11
 #: Shares of all tokens.
 TARGETS = {"clean": 0.93, "low": 0.02, "toxic": 0.05}
-RIDGE, STEPS, TOLERANCE = 1e-3, 40, 1e-4
+#: Newton steps at most, the residual that ends them, and the relative miss of a target that is warned of.
+RIDGE, STEPS, RESIDUAL, MISS = 1e-3, 60, 1e-8, 0.05
+#: Fractions of a Newton step that are evaluated in one pass.
+FRACTIONS = 0.5 ** np.arange(12)
 
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += np.uint64(32)
@@ -141,44 +148,63 @@ def posteriors(docs: DataFrame, weights: np.ndarray, domains: list[str], keep: l
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
-def replay(p: np.ndarray, history: list[np.ndarray], step: float, ridge: float) -> np.ndarray:
-    """Rates after the projected-gradient steps whose relative residuals are ``history``."""
-    r = np.ones(len(p))
-    for g in history:
-        r = np.maximum(0, r - step * (p @ g + ridge * (r - 1)))
-    return r
+def rates(p: np.ndarray, g: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """The optimal rates at the domains' relative misses ``g``."""
+    return np.maximum(0, 1 - p @ g / ridge)
 
 
-def fit_rates(found: DataFrame, targets: Mapping[str, float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float]:
-    """The gradients' residuals and the step size that :func:`replay` turns into rates."""
+def dual_sums(p: np.ndarray, n: np.ndarray, g: np.ndarray, ridge: float) -> np.ndarray:
+    """Of the dual function's sums over documents: its value, the domain totals, and the curvature row by row."""
+    r = rates(p, g, ridge)
+    active = p * np.where(r > 0, n, 0)[:, None]
+    return np.concatenate([[ridge / 2 * (n @ (r * r))], (r * n) @ p, (p.T @ active).ravel() / ridge])
+
+
+def fit_misses(found: DataFrame, targets: Mapping[str, float], ridge: float = RIDGE, steps: int = STEPS, residual: float = RESIDUAL) -> np.ndarray:
+    """The relative misses at the minimum, from which :func:`rates` gives every document's rate."""
     names = list(targets)
-    first = found.agg(F.sum("n_tokens").cast("double").alias("n"), *(F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names)).first()
-    total = first["n"] or 0.0
+    k = len(names)
+    total = found.agg(F.sum("n_tokens").cast("double").alias("n")).first()["n"] or 0.0
     if not total:
-        return [], 1.0
-    goal = np.array([targets[d] for d in names]) * total / sum(targets.values())
-    goal = np.maximum(goal, total * 1e-6)  # a domain of weight 0 keeps a finite scale
-    now = np.array([first[d] for d in names])
-    step = 1 / (float(np.max(now / goal)) + ridge)
-    history: list[np.ndarray] = []
-
-    for _ in range(steps):
-        history.append(now / goal - 1)
-        past = list(history)
+        return np.zeros(k)
+    goal = np.array([targets[d] for d in names]) / sum(targets.values())
+    goal = np.maximum(goal, 1e-6)  # a domain of weight 0 keeps a finite scale
+    width = 1 + k + k * k
 
+    def evaluated(points: list[np.ndarray]) -> list[np.ndarray]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(points) * width)
             for batch in batches:
-                p = np.stack([batch.column(1 + k).to_numpy() for k in range(len(names))], axis=1)
-                r = replay(p, past, step, ridge) * batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([v])) for v in r @ p], names=names)
-
-        out = found.select("n_tokens", *(f"p_{d}" for d in names)).mapInArrow(sums, ", ".join(f"`{d}` double" for d in names)).agg(*(F.sum(d).alias(d) for d in names)).first()
-        new = np.array([out[d] for d in names])
-        moved = np.max(np.abs(new - now) / goal)
-        now = new
-        if moved < tolerance:
+                p = np.stack([batch.column(1 + i).to_numpy() for i in range(k)], axis=1)
+                n = batch.column(0).to_numpy() / total
+                out += np.concatenate([dual_sums(p, n, g, ridge) for g in points])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], names=["i", "v"])
+
+        rows = found.select("n_tokens", *(f"p_{d}" for d in names)).mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        return list(np.array([r["v"] for r in sorted(rows)]).reshape(len(points), width))
+
+    def value(g: np.ndarray, s: np.ndarray) -> float:
+        return s[0] + goal @ (g * g / 2 + g)
+
+    g = np.zeros(k)
+    s = evaluated([g])[0]
+    for step in range(steps + 1):
+        slope = goal * (g + 1) - s[1 : 1 + k]
+        left = np.max(np.abs(slope) / goal)
+        if left <= residual:
             break
-    return history, step
+        if step == steps:
+            raise RuntimeError(f"rates not settled after {steps} steps: residual {left:.3g} over {residual:.3g}")
+        move = -np.linalg.solve(np.diag(goal) + s[1 + k :].reshape(k, k), slope)
+        points = [g + f * move for f in FRACTIONS]
+        every = evaluated(points)
+        # at the end values differ by rounding only, so a step that settles the residual is taken first
+        calm = [np.max(np.abs(goal * (a + 1) - b[1 : 1 + k]) / goal) for a, b in zip(points, every)]
+        best = int(np.argmin(calm)) if min(calm) <= residual else int(np.argmin([value(a, b) for a, b in zip(points, every)]))
+        g, s = points[best], every[best]
+    if np.max(np.abs(g)) > MISS:
+        warnings.warn("targets missed: " + ", ".join(f"{d} {t * (1 + x):.4f} of {t:.4f}" for d, t, x in zip(names, goal, g)), stacklevel=2)
+    return g
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep: tuple[str, ...] = ("doc_id",), weights: np.ndarray | None = None) -> DataFrame:
@@ -187,13 +213,13 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] =
     if weights is None:
         weights = fit(docs, labels, names)
     found = shared_table(posteriors(docs, weights, names, list(keep)), "posteriors")
-    history, step = fit_rates(found, targets)
+    misses = fit_misses(found, targets)
     width = len(keep) + 1
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.stack([batch.column(width + k).to_numpy() for k in range(len(names))], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(p, history, step, RIDGE))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(p, misses))], names=[*batch.schema.names, "rate"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema), "rate double"])
     return found.mapInArrow(rate, schema)

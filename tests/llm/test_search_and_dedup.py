@@ -211,6 +211,30 @@ def test_rates_equal_a_driver_side_descent(spark, sf):
     assert (out["rate"] * n) @ p == pytest.approx(goal, rel=0.05)
 
 
+@pytest.mark.parametrize("targets, scale, missed", [((0.93, 0.02, 0.05), 1, False), ((0.2, 0.1, 0.7), 1, True), ((0.93, 0.02, 0.05), 1e-3, True), ((1, 0, 0), 1, True)])
+def test_rates_are_optimal(spark, targets, scale, missed):
+    import warnings
+
+    r = np.random.default_rng(2)
+    p = r.dirichlet([8, 0.4, 0.4], 3000) * [1, scale, 1]
+    p /= p.sum(1, keepdims=True)
+    n = r.integers(0, 900, 3000)
+    names = ["clean", "low", "toxic"]
+    found = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens long, p_clean double, p_low double, p_toxic double")
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        g = source_mix.fit_misses(found, dict(zip(names, targets)))
+    rates = source_mix.rates(p, g)
+    goal = np.maximum(np.array(targets), 1e-6) * n.sum()
+    slope = p @ ((rates * n) @ p / goal - 1) + source_mix.RIDGE * (rates - 1)
+    # zero for positive rates and none below zero for rates of zero
+    assert np.abs(slope[rates > 0]).max() < 1e-6 and slope[rates == 0].min(initial=0) > -1e-6
+    assert any("targets missed" in str(w.message) for w in said) == missed
+    if targets[2] == 0.7:
+        with pytest.raises(RuntimeError, match="not settled"):
+            source_mix.fit_misses(found, dict(zip(names, targets)), steps=1)
+
+
 def test_domains_of_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
