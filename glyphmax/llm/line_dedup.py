@@ -8,7 +8,9 @@ its own hash and those of all its one-character deletions; lines join on equal v
 deletion, or two deletions at the same place. Survivors are verified by their edit distance. Within a variant only the
 earliest line matters, so a window's minimum takes the place of the pairs.
 
-Defined results: null text is an empty one (one empty line); shorter lines always stay; repeated rows are one document
+Shorter lines stay by default; with ``short``, those that are not blank are removed where an earlier line equals them.
+
+Defined results: null text is an empty one (one empty line); blank short lines always stay; repeated rows are one document
 and are decided alike; rows with null doc_id come first in the order; an empty table gives an empty result; further
 columns are ignored.
 """
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from glyphmax.llm.common import broadcast_small, row_key, shared_table
 
 MIN_CHARS = 16
+NOT_BLANK = r"[^\x20\x09-\x0D]"
+#: The whole job, of the pipeline and of ``op8_line_dedup_whole``.
+WHOLE = {"short": True}
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -92,13 +97,17 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return near.select("h1", "h2").distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, rk, lines``: the numbers (from 0) of removed lines, for documents that have any."""
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False) -> DataFrame:
+    """``doc_id, rk, lines``: the numbers (from 0) of removed lines, for documents that have any.
+
+    With ``short``, exact repeats of non-blank lines under ``min_chars`` are removed too.
+    """
+    long = F.length("text") >= min_chars
     src = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text"))
-    split = src.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(F.length("text") >= min_chars)
+    split = src.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(long | F.col("text").rlike(NOT_BLANK) if short else long)
     h1, h2 = hashes(F.col("text"))
     place = F.struct("doc_id", "rk", "line")
-    grouped = split.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), half_keys(F.col("text")).alias("halves")).groupBy("h1", "h2")
+    grouped = split.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), F.when(long, half_keys(F.col("text"))).alias("halves")).groupBy("h1", "h2")
     distinct = shared_table(grouped.agg(F.min("place").alias("first"), F.min("halves").alias("halves"), F.count("*").alias("n")), "lines")
     near = near_lines(split, distinct).withColumn("near", F.lit(True))
     acted = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -107,9 +116,9 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, with ``kept_text``, ``n_lines`` and ``n_removed`` added."""
-    gone = removed_lines(docs, min_chars, text, key).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines"))
+    gone = removed_lines(docs, min_chars, text, key, short).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines"))
     rows = docs.withColumn("__key", row_key(key, text))
     rows = rows.join(gone, (F.col("__key") == F.col("__rk")) & F.col(key).eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -122,8 +131,8 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text"
     )
 
 
-def line_digest(docs: DataFrame) -> DataFrame:
-    out = deduplicated(docs.select("doc_id", "text"))
+def line_digest(docs: DataFrame, **how) -> DataFrame:
+    out = deduplicated(docs.select("doc_id", "text"), **how)
     return out.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -150,3 +159,26 @@ k2 AS (
 )
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM k2
 """
+
+WHOLE_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i - 1 AS line, ls[i] AS t FROM d, unnest(range(1, len(ls) + 1)) AS u(i)
+  WHERE length(ls[i]) >= 16 OR regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]')
+),
+f AS (SELECT t, length(t) AS n, min((doc_id, line)) AS first FROM l GROUP BY t),
+near AS (
+  SELECT DISTINCT x.t FROM f x JOIN f y ON y.n BETWEEN x.n - 1 AND x.n + 1
+  WHERE x.n >= 16 AND y.n >= 16 AND y.first < x.first AND levenshtein(x.t, y.t) <= 1
+),
+gone AS (
+  SELECT l.doc_id, l.line FROM l JOIN f USING (t) LEFT JOIN near USING (t) WHERE near.t IS NOT NULL OR (l.doc_id, l.line) <> f.first
+),
+g AS (SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id),
+k2 AS (
+  SELECT doc_id, len(ls) AS n_lines, coalesce(len(lines), 0) AS n_removed,
+    array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(coalesce(lines, []), i - 1)], chr(10)) AS kept
+  FROM d LEFT JOIN g USING (doc_id)
+)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM k2
+"""

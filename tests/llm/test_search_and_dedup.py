@@ -184,6 +184,16 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.line_digest(documents(spark, [])).count() == 0
 
 
+def test_whole_lines_equal_sql_and_short_repeats_go(spark, sf):
+    from comparing import same_rows
+
+    rows = [(1, "Les.\n\n \nLes."), (2, "Les.\nLet.\n "), (3, "Les.")]
+    got = line_dedup.deduplicated(documents(spark, rows), **line_dedup.WHOLE).select("doc_id", "kept_text").collect()
+    assert sorted(map(tuple, got)) == [(1, "Les.\n\n "), (2, "Let.\n "), (3, "")]
+    duckdb.sql(f"create or replace view documents as select * from '{sf}/documents.parquet'")
+    same_rows(line_dedup.line_digest(spark.read.parquet(f"{sf}/documents.parquet"), **line_dedup.WHOLE).toPandas(), duckdb.sql(line_dedup.WHOLE_SQL).df())
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "a line of more than sixteen"), (1, "a line of more than sixteen"), (2, "a line of more than sixteen")]
     assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.line_digest(documents(spark, rows)).collect()) == [(1, 0), (1, 0), (2, 1)]
