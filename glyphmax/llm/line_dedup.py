@@ -8,6 +8,10 @@ its own hash and those of all its one-character deletions; lines join on equal v
 deletion, or two deletions at the same place. Survivors are verified by their edit distance. Within a variant only the
 earliest line matters, so a window's minimum takes the place of the pairs.
 
+With ``edits`` over 1 the bound grows with the shorter line of a pair, one edit for every ``EDIT_CHARS`` code points (1 at
+least, ``edits`` at most). The shorter line is cut into bound + 1 segments, one of which is whole in the other line, moved
+by no more than the edits on its either side; lines that share such a seed are verified by their edit distance.
+
 Shorter lines stay by default; with ``short``, those that are not blank are removed where an earlier line equals them.
 
 Defined results: null text is an empty one (one empty line); blank short lines always stay; repeated rows are one document
@@ -24,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import broadcast_small, row_key, shared_table
+from glyphmax.llm.common import broadcast_small, flat_text, row_key, shared_table, slices
 
 MIN_CHARS = 16
 NOT_BLANK = r"[^\x20\x09-\x0D]"
+#: Code points of a line for each edit that a bound over 1 allows.
+EDIT_CHARS = 16
 #: The whole job, of the pipeline and of ``op8_line_dedup_whole``.
-WHOLE = {"short": True}
+WHOLE = {"short": True, "edits": 3}
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -97,7 +103,80 @@ def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return near.select("h1", "h2").distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False) -> DataFrame:
+def seeds(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of lines and their seeds, the lowest bit set for a line's own segments, unset where it may hold another's."""
+    n = np.array([len(x) for x in lines], np.int64)
+    c = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    power, inverse = (np.full(len(c) + 1, b) for b in (BASE, BASE_INVERSE))
+    power[0] = inverse[0] = 1
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    total = np.zeros(len(c) + 1, np.uint64)
+    np.cumsum(c * power[:-1], out=total[1:])
+    at = np.cumsum(n) - n
+    places, found = [], []
+    for delta in range(edits + 1):
+        short = n - delta
+        bound = np.clip(short // EDIT_CHARS, 1, edits)
+        for k in range(max(1, delta), edits + 1):
+            who = np.flatnonzero((bound == k) & (short > 0))
+            for i in range(k + 1):
+                start, end = short[who] * i // (k + 1), short[who] * (i + 1) // (k + 1)
+                for move in range(max(-i, delta - k + i), min(i, delta + k - i) + 1):
+                    fits = (start + move >= 0) & (end + move <= n[who])
+                    w = who[fits]
+                    a, b = (at[w] + x[fits] + move for x in (start, end))
+                    v = (total[b] - total[a]) * inverse[a] + short[w].astype(np.uint64) * BASE + np.uint64(i << 50)
+                    v = (v ^ (v >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                    v = (v ^ (v >> np.uint64(29))) & ~np.uint64(1) | np.uint64(delta == 0 and move == 0)
+                    places.append(w)
+                    found.append(v.view(np.int64))
+    return np.concatenate(places), np.concatenate(found)
+
+
+def lines_of_edits(distinct: DataFrame, edits: int) -> DataFrame:
+    """``h1, h2`` of distinct lines (h1, h2, first, text; null texts have no part) with an earlier one within the bound."""
+    texts = distinct.where("text IS NOT NULL")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(0)
+            for i, j in slices(flat_text(lines)[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(seeds(lines.slice(i, j - i).to_pylist(), edits)[1])], names=["seed"])
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys that a line owns and another row has."""
+        held = [batch.column(0).to_numpy() for batch in batches]
+        if held:
+            seed = np.sort(np.concatenate(held))
+            start = np.flatnonzero(np.diff(seed >> 1, prepend=~(seed[:1] >> 1)))
+            some = start[(np.add.reduceat(seed & 1, start) > 0) & (np.diff(start, append=len(seed)) > 1)] if len(seed) else start
+            yield pa.RecordBatch.from_arrays([pa.array(seed[some] >> 1)], names=["key"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(2)
+            for i, j in slices(flat_text(lines)[1]):
+                at, seed = seeds(lines.slice(i, j - i).to_pylist(), edits)
+                h1, h2 = (batch.column(k).slice(i, j - i).to_numpy()[at] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(seed >> 1), pa.array((seed & 1).astype(bool))], names=["h1", "h2", "key", "own"])
+
+    shared = texts.select("text").mapInArrow(keys, "seed long").repartition(F.shiftright("seed", 1)).mapInArrow(hot, "key long")
+    shared = broadcast_small(shared_table(shared, "line-seeds"))
+    held = texts.select("h1", "h2", "text").mapInArrow(rows, "h1 long, h2 long, key long, own boolean").join(shared, "key", "left_semi")
+    held = shared_table(held.distinct(), "seed-lines")
+    own = held.where("own").select("key", F.struct("h1", "h2").alias("a"))
+    pairs = own.join(held.select("key", F.struct("h1", "h2").alias("b")), "key").where("a != b")
+    pairs = shared_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "seed-pairs")
+    ends = broadcast_small(shared_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().select("h.*"), "pair-lines"))
+    ends = shared_table(texts.select("h1", "h2", "first", "text").join(ends, ["h1", "h2"], "left_semi"), "pair-texts")
+    a, b = (ends.select(F.struct("h1", "h2").alias(x), F.struct("first", "h1", "h2", "text").alias(f"line_{x}")) for x in ("a", "b"))
+    n = F.least(F.length("line_a.text"), F.length("line_b.text"))
+    bound = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(n / EDIT_CHARS)))
+    near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a.text", "line_b.text", edits).between(0, bound))
+    return near.select(F.greatest("line_a", "line_b").alias("late")).select("late.h1", "late.h2").distinct()
+
+
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False, edits: int = 1) -> DataFrame:
     """``doc_id, rk, lines``: the numbers (from 0) of removed lines, for documents that have any.
 
     With ``short``, exact repeats of non-blank lines under ``min_chars`` are removed too.
@@ -107,18 +186,24 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text
     split = src.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(long | F.col("text").rlike(NOT_BLANK) if short else long)
     h1, h2 = hashes(F.col("text"))
     place = F.struct("doc_id", "rk", "line")
-    grouped = split.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), F.when(long, half_keys(F.col("text"))).alias("halves")).groupBy("h1", "h2")
-    distinct = shared_table(grouped.agg(F.min("place").alias("first"), F.min("halves").alias("halves"), F.count("*").alias("n")), "lines")
-    near = near_lines(split, distinct).withColumn("near", F.lit(True))
+    if edits > 1:
+        grouped = split.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), F.when(long, F.col("text")).alias("text")).groupBy("h1", "h2")
+        distinct = shared_table(grouped.agg(F.min("place").alias("first"), F.min("text").alias("text"), F.count("*").alias("n")), "lines")
+        near = lines_of_edits(distinct, edits)
+    else:
+        grouped = split.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), F.when(long, half_keys(F.col("text"))).alias("halves")).groupBy("h1", "h2")
+        distinct = shared_table(grouped.agg(F.min("place").alias("first"), F.min("halves").alias("halves"), F.count("*").alias("n")), "lines")
+        near = near_lines(split, distinct)
+    near = near.withColumn("near", F.lit(True))
     acted = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     seen = split.select("doc_id", "rk", "line", h1.alias("h1"), h2.alias("h2")).join(acted, ["h1", "h2"])
     gone = seen.where(F.col("near") | (place != F.col("first")))
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False, edits: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, with ``kept_text``, ``n_lines`` and ``n_removed`` added."""
-    gone = removed_lines(docs, min_chars, text, key, short).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines"))
+    gone = removed_lines(docs, min_chars, text, key, short, edits).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines"))
     rows = docs.withColumn("__key", row_key(key, text))
     rows = rows.join(gone, (F.col("__key") == F.col("__rk")) & F.col(key).eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -168,8 +253,8 @@ l AS (
 ),
 f AS (SELECT t, length(t) AS n, min((doc_id, line)) AS first FROM l GROUP BY t),
 near AS (
-  SELECT DISTINCT x.t FROM f x JOIN f y ON y.n BETWEEN x.n - 1 AND x.n + 1
-  WHERE x.n >= 16 AND y.n >= 16 AND y.first < x.first AND levenshtein(x.t, y.t) <= 1
+  SELECT DISTINCT x.t FROM f x JOIN f y ON y.n BETWEEN x.n - 3 AND x.n + 3
+  WHERE x.n >= 16 AND y.n >= 16 AND y.first < x.first AND levenshtein(x.t, y.t) <= least(3, least(x.n, y.n) // 16)
 ),
 gone AS (
   SELECT l.doc_id, l.line FROM l JOIN f USING (t) LEFT JOIN near USING (t) WHERE near.t IS NOT NULL OR (l.doc_id, l.line) <> f.first

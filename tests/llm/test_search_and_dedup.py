@@ -194,6 +194,40 @@ def test_whole_lines_equal_sql_and_short_repeats_go(spark, sf):
     same_rows(line_dedup.line_digest(spark.read.parquet(f"{sf}/documents.parquet"), **line_dedup.WHOLE).toPandas(), duckdb.sql(line_dedup.WHOLE_SQL).df())
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_lines_within_a_bound_equal_brute_force(spark, edits):
+    r = __import__("random").Random(edits)
+    lines = []
+    for size in (16, 17, 31, 32, 33, 47, 48, 50, 90):
+        base = "".join(r.choice("abcé🙂 ") for _ in range(size))
+        for _ in range(12):
+            x = list(base)
+            for _ in range(r.randint(1, 5)):
+                at = r.randrange(len(x))
+                x[at : at + r.randint(0, 1)] = r.choice(["", "#", "a"])
+            lines.append("".join(x))
+    lines += ["ab" * 20, "ab" * 21, "ba" * 20, "x" * 60, "x" * 63, "x" * 64, "y" * 16, "y" * 15, "y" * 17]
+    r.shuffle(lines)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def gone(i):
+        return len(lines[i]) >= 16 and any(
+            x == lines[i] or len(x) >= 16 and distance(x, lines[i]) <= max(1, min(edits, min(len(x), len(lines[i])) // 16)) for x in lines[:i]
+        )
+
+    want = [int(gone(i) or lines[i] in lines[:i]) for i in range(len(lines))]
+    assert 20 < sum(want) < 100
+    got = line_dedup.deduplicated(documents(spark, list(enumerate(lines))), short=True, edits=edits).collect()
+    assert [x["n_removed"] for x in sorted(got, key=lambda x: x["doc_id"])] == want
+
+
 def test_repeated_rows_are_one_document(spark):
     rows = [(1, "a line of more than sixteen"), (1, "a line of more than sixteen"), (2, "a line of more than sixteen")]
     assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.line_digest(documents(spark, rows)).collect()) == [(1, 0), (1, 0), (2, 1)]
