@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +80,40 @@ def slices(ends: np.ndarray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -
         first = last
 
 
+#: Where a text may be cut: a single space or newline follows, and a letter, mark or ideograph stands on its either side.
+BORDER = re.compile(rb"(?:[!-~]|[\xe4-\xe9][\x80-\xbf]{2})(?=(?: [A-Za-z]|\n(?:[!-~]|[\xe4-\xe9])))")
+
+
+def stretches(raw: bytes, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of a long text of about ``limit`` bytes, cut at word borders (the space or newline begins a stretch); one without any is whole."""
+    at = 0
+    while at < len(raw):
+        found = BORDER.search(raw, at + limit) if at + limit < len(raw) else None
+        to = found.end() if found else len(raw)
+        yield at, to
+        at = to
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``; a worker that has run it gives the memory it freed back to the system."""
+
+    @wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's content, so that rows may repeat or share their id without being mixed up."""
     return F.xxhash64(*[F.col(c) for c in columns])

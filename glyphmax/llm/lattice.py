@@ -8,6 +8,10 @@ forward pass over the edges (start, end, token) in order of their end.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 
 NONE = np.int64(1) << 40  # rank of a merge that does not exist
@@ -59,12 +63,28 @@ class Merges:
     ``pairs`` maps ``a * size + b`` to the rank of merging a and b.
     """
 
+    #: Verdicts on pairs of tokens that are kept, one a slot.
+    SLOT_BITS = 19
+
     def __init__(self, rank: np.ndarray, left: np.ndarray, right: np.ndarray, pairs: PairTable) -> None:
         self.rank, self.left, self.right, self.pairs = rank, left, right, pairs
         self.size = np.int64(len(rank))
+        self.plain: tuple | None = None  # the same as Python objects, for single pairs
+        self.asked = np.full(1 << self.SLOT_BITS, -1, np.int64)  # a pair's key times two, and the verdict
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves tokens a and b side by side, for arrays of pairs."""
+        key = a.astype(np.int64) * self.size + b
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOT_BITS)).view(np.int64)
+        known = self.asked[slot]
+        ok = (known & 1).astype(bool)
+        new = np.flatnonzero(known >> 1 != key)
+        if len(new):
+            ok[new] = self.replay(a[new], b[new])
+            self.asked[slot[new]] = key[new] * 2 + ok[new]
+        return ok
+
+    def replay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = np.ones(len(a), bool)
         live = np.arange(len(a))
         a, b = a.astype(np.int64), b.astype(np.int64)
@@ -81,39 +101,101 @@ class Merges:
         return ok
 
 
-def relax(merges: Merges, starts: np.ndarray, start: np.ndarray, end: np.ndarray, token: np.ndarray, n_nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def one_compatible(self, a: int, b: int) -> bool:
+        """:meth:`compatible` of one pair."""
+        if self.plain is None:
+            full = np.flatnonzero(self.pairs.keys >= 0)
+            self.plain = (dict(zip(self.pairs.keys[full].tolist(), self.pairs.values[full].tolist())), self.rank.tolist(), self.left.tolist(), self.right.tolist())
+        pairs, rank, left, right = self.plain
+        size, limit = int(self.size), int(NONE)
+        while True:
+            if pairs.get(a * size + b, limit) < limit:
+                return False
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = ra, right[a]
+            else:
+                limit, b = rb + 1, left[b]
+
+
+def relax(merges: Merges, starts: np.ndarray, sizes: np.ndarray, start: np.ndarray, end: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Last token, its start node and the token count of every prefix node.
 
-    ``starts``: first node of each word; a word of n symbols owns n + 1 nodes. ``start``, ``end``, ``token``: edges.
-    Nodes at a word's start have count 0 and last token -1.
+    ``starts``: first node of each word; a word of n symbols (``sizes``) owns n + 1 nodes, and words follow each other.
+    ``start``, ``end``, ``token``: edges. Nodes at a word's start have count 0 and last token -1. One round a depth, for
+    all words at once, so words should be short (:func:`relax_long` is for others).
     """
-    last = np.full(n_nodes, -1, np.int64)
-    source = np.full(n_nodes, -1, np.int64)
+    n_nodes = int(sizes.sum()) + len(sizes)
+    last = np.full(n_nodes, -1, np.int32)
+    source = np.full(n_nodes, -1, np.int32)
     count = np.zeros(n_nodes, np.int32)
-    word = np.searchsorted(starts, start, "right") - 1
-    depth = end - starts[word]
+    base = np.repeat(starts.astype(np.int32), sizes + 1)
+    depth = (end - base[start]).astype(np.uint16 if int(sizes.max(initial=0)) < 1 << 16 else np.int64)
     order = np.argsort(depth, kind="stable")
-    start, end, token, depth, first = start[order], end[order], token[order], depth[order], (start == starts[word])[order]
+    start, end, token, depth = start[order], end[order], token[order], depth[order]
     if not len(depth):
         return last, source, count
-    bounds = np.searchsorted(depth, np.arange(1, depth[-1] + 2))
+    first = start == base[start]
+    bounds = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2))
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         s, e, t = start[lo:hi], end[lo:hi], token[lo:hi]
-        before = last[s]
         ok = first[lo:hi].copy()
         inner = np.flatnonzero(~ok)
-        ok[inner] = merges.compatible(before[inner], t[inner])
+        ok[inner] = merges.compatible(last[s[inner]], t[inner])
         s, e, t = s[ok], e[ok], t[ok]
         last[e], source[e], count[e] = t, s, count[s] + 1
     return last, source, count
 
 
-def greedy_merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[float, int]]) -> list[int]:
-    """Literal merging, lowest (rank, position) first. ``pairs``: two tokens to the rank and token of their merge."""
-    parts = list(symbols)
-    while True:
-        at = [(pairs[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in pairs]
-        if not at:
-            return parts
-        i = min(at)[1]
-        parts[i : i + 2] = [pairs[(parts[i], parts[i + 1])][1]]
+def relax_long(merges: Merges, n: int, blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`relax` for one long word of ``n`` symbols, edge by edge: time and memory grow with ``n`` only.
+
+    ``blocks``: its edges (start, end, token), every one with a start no less than those before it.
+    """
+    last, source, count = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+    verdict: dict[int, bool] = {}
+    size, ahead = int(merges.size), {0: (-1, -1, 0)}  # nodes that edges have reached: last token, source, count
+    for start, end, token in blocks:
+        before = -1
+        for s, e, t in zip(start.tolist(), end.tolist(), token.tolist()):
+            if s != before:
+                before, here = s, ahead.pop(s, None)
+                if here is not None:
+                    last[s], source[s], count[s] = here
+            if here is None:
+                continue
+            key = here[0] * size + t
+            ok = s == 0 or verdict.get(key)
+            if ok is None:
+                if len(verdict) > 1 << 18:
+                    verdict.clear()
+                ok = verdict[key] = merges.one_compatible(here[0], t)
+            if ok:
+                ahead[e] = (t, s, here[2] + 1)
+    for e, here in ahead.items():
+        last[e], source[e], count[e] = here
+    return last, source, count
+
+
+def merge_literally(symbols: list[int], pairs: dict[tuple[int, int], tuple[float, int]]) -> list[int]:
+    """Literal merging, lowest (rank, position) first, by a heap. ``pairs``: two tokens to the rank and token of their merge."""
+    n = len(symbols)
+    parts, after, before = list(symbols), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    heap = [(pairs[p][0], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in pairs]
+    heapify(heap)
+    while heap:
+        _, i, p = heappop(heap)
+        j = after[i] if parts[i] == p[0] else n
+        if j >= n or parts[j] != p[1]:
+            continue  # one of the two has been merged since
+        parts[i], parts[j] = pairs[p][1], None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (q := (parts[i], parts[k])) in pairs:
+                heappush(heap, (pairs[q][0], i, q))
+        if (k := before[i]) >= 0 and (q := (parts[k], parts[i])) in pairs:
+            heappush(heap, (pairs[q][0], k, q))
+    return [x for x in parts if x is not None]

@@ -4,8 +4,8 @@ Every pre-token is encoded once by :func:`glyphmax.llm.lattice.relax`, which sto
 prefix. A text's count is a sum of stored counts, and truncation or budget questions ("how many bytes fit in 512
 tokens?") are answered from the stored prefix counts, without encoding anything again.
 
-Defined results: null or empty text has 0 bytes and 0 tokens; texts of any length are read whole (a single giant
-pre-token too); repeated rows each get a row; an empty table gives an empty result; further columns are ignored.
+Defined results: null or empty text has 0 bytes and 0 tokens; texts of any length are read whole (a long one in
+stretches that end between pre-tokens, a single giant pre-token edge by edge); repeated rows each get a row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glyphmax.llm.common import flat_text, slices
-from glyphmax.llm.lattice import NONE, Merges, PairTable, relax
+from glyphmax.llm.common import SLICE_BYTES, flat_text, lean, slices, stretches
+from glyphmax.llm.lattice import NONE, Merges, PairTable, relax, relax_long
 
 #: Split of byte-level BPE before merging; white space by its Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-#: Entries that a worker keeps; beyond it the store is emptied, so that memory stays bounded.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens of at most ``KEPT_CHARS`` characters whose counts a worker keeps; the older half goes first.
+CACHE_ENTRIES, KEPT_CHARS = 300_000, 40
+#: Bytes beyond which a pre-token is relaxed by itself, and of which the edges are found at a time.
+LONG, BLOCK = 1 << 10, 1 << 16
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_bytes long"
 
 
@@ -57,6 +59,7 @@ class PrefixCounter:
             if rank[k] < 0:
                 rank[k], left[k], right[k] = r, i, j
         self.merges = Merges(rank, left, right, PairTable(np.array(keys, np.int64), np.array(ranks, np.int64)))
+        self.width = max(map(len, raw.values()))
         nodes: dict[bytes, int] = {b"": 0}
         steps: dict[int, int] = {}
         token = [-1]
@@ -76,37 +79,59 @@ class PrefixCounter:
         special = [x["content"] for x in spec.get("added_tokens", ())]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cache: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
-    def prefixes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token counts at all byte prefixes of the words: one array, and each word's first place in it."""
-        raw = [w.encode() for w in words]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-        starts = np.cumsum(sizes + 1) - (sizes + 1)
-        word = np.repeat(np.arange(len(raw)), sizes)
-        begin = np.arange(len(data))
-        stop = np.repeat(np.cumsum(sizes), sizes)
-        state, at, edges = np.zeros(len(data), np.int64), begin, []
+    def edges(self, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every token (start, end, token) in ``data`` that ends by the ``stop`` of its first byte."""
+        begin = at = np.arange(len(data))
+        state, found = np.zeros(len(data), np.int64), []
         while len(at):
             state = self.trie.get(state * 256 + data[at])
             go = state != NONE
             state, at, begin, stop = state[go], at[go] + 1, begin[go], stop[go]
             token = self.node_token[state]
             hit = token >= 0
-            edges.append((begin[hit], at[hit], token[hit]))
+            found.append((begin[hit], at[hit], token[hit]))
             go = at < stop
             state, at, begin, stop = state[go], at[go], begin[go], stop[go]
-        if not edges:
-            return np.zeros(len(raw), np.int32), starts
-        start, end, token = (np.concatenate(x) for x in zip(*edges))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (at, at, at)  # type: ignore[return-value]
+
+    def prefixes_of_long(self, raw: bytes) -> np.ndarray:
+        """Token counts at all byte prefixes of one pre-token of any length."""
+        data = np.frombuffer(raw, np.uint8)
+
+        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for a in range(0, len(data), BLOCK):
+                part = data[a : a + BLOCK + self.width].astype(np.int64)
+                start, end, token = self.edges(part, np.full(len(part), len(part)))
+                ours = np.flatnonzero(start < BLOCK)
+                ours = ours[np.argsort(start[ours], kind="stable")]
+                yield start[ours] + a, end[ours] + a, token[ours]
+
+        return relax_long(self.merges, len(data), blocks())[2]
+
+    def prefixes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token counts at all byte prefixes of the words: one array, and each word's first place in it."""
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        starts = np.cumsum(sizes + 1) - (sizes + 1)
+        word = np.repeat(np.arange(len(raw)), sizes)
+        start, end, token = self.edges(data, np.repeat(np.cumsum(sizes), sizes))
         shift = word[start]
-        _, _, count = relax(self.merges, starts, start + shift, end + shift, token, len(data) + len(raw))
+        _, _, count = relax(self.merges, starts, sizes, start + shift, end + shift, token)
         return count, starts
 
     def learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_ENTRIES:
-            self.cache.clear()
-        todo = [w for w in words if w not in self.cache]
+        if len(self.cache) > CACHE_ENTRIES // 2:
+            self.cache, self.old = {}, self.cache
+        todo, old = [w for w in words if w not in self.cache], self.old
+        self.cache.update((w, old[w]) for w in todo if w in old)
+        todo = [w for w in todo if w not in old]
+        for w in todo:
+            if len(w) > LONG // 4:
+                self.cache[w] = int(self.prefixes_of_long(w.encode())[-1])
+        todo = [w for w in todo if len(w) <= LONG // 4]
         if todo:
             count, starts = self.prefixes(todo)
             sizes = np.fromiter((len(w.encode()) for w in todo), np.int64, len(todo))
@@ -148,12 +173,27 @@ class PrefixCounter:
             before.append(sum(len(w.encode()) if w is not None else 0 for w in head) + self._special_bytes(texts[i], head.count(None)))
             crossing.append(split[i][at] or "")
             room.append(limit - done)
-        if over:
-            count, starts = self.prefixes(crossing)
-            for i, w, free, first, s in zip(over, crossing, room, before, starts):
-                cuts[i] = first + inner_cut(w, count[s : s + len(w.encode()) + 1], free)
+        short = [k for k, w in enumerate(crossing) if len(w) <= LONG // 4]
+        count, starts = self.prefixes([crossing[k] for k in short])
+        at_place = dict(zip(short, starts.tolist()))
+        for k, (i, w, free, first) in enumerate(zip(over, crossing, room, before)):
+            s = at_place.get(k)
+            cuts[i] = first + inner_cut(w, self.prefixes_of_long(w.encode()) if s is None else count[s : s + len(w.encode()) + 1], free)
+        for w in words:
+            if len(w) > KEPT_CHARS:
+                del self.cache[w]
         return totals, cuts
 
+    def counts_of_long(self, raw: bytes, limit: int) -> tuple[int, int]:
+        """:meth:`counts` of one long text, a stretch at a time."""
+        total, cut = 0, len(raw)
+        for a, b in stretches(raw, SLICE_BYTES):
+            (n,), (c,) = self.counts([raw[a:b].decode()], limit - total if total <= limit else 0)
+            if total <= limit < total + n:
+                cut = a + c
+            total += n
+        return total, cut
+
     def _special_bytes(self, text: str, n: int) -> int:
         return sum(len(m.group().encode()) for _, m in zip(range(n), self.special.finditer(text))) if n and self.special else 0
 
@@ -181,13 +221,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     longest prefix of at most ``limit`` tokens, of those that end between pre-tokens or inside the one that crosses.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
             data, ends = flat_text(batch.column(1))
-            raw, totals, cuts = data.tobytes(), [], []
+            totals, cuts = [], []
             for i, j in slices(ends):
-                n, c = count.counts([raw[ends[k] : ends[k + 1]].decode() for k in range(i, j)], limit)
+                if ends[j] - ends[i] > SLICE_BYTES:
+                    n, c = ([x] for x in count.counts_of_long(data[ends[i] : ends[j]].tobytes(), limit))
+                else:
+                    n, c = count.counts([data[ends[k] : ends[k + 1]].tobytes().decode() for k in range(i, j)], limit)
                 totals += n
                 cuts += c
             n = pa.array(totals, pa.int64())
