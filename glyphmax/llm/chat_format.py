@@ -5,8 +5,9 @@ Grammar: ``<s>`` and then turns: ``[INST] text [/INST]`` (user), `` text </s>``
 backslash, and a backslash after the first character of a marker breaks it. The parser splits after end markers,
 reads role and text from each piece, rejects pieces whose text holds a marker, and unescapes.
 
-Rendered turns are parsed again and compared with the source: turns that differ are escaped; the whole conversation
-is then parsed and compared, and escaped throughout should it still differ. The result is read from the final parse.
+A rendered conversation is parsed again and compared with the source. Should it differ, each turn is rendered and parsed
+by itself, those that differ are escaped, and the conversation is parsed again; should that differ, it is escaped
+throughout and parsed once more. The result is read from the final parse.
 
 Defined results: turns are ordered by turn, role and text (null turns first); null role or text is empty; repeated
 rows are turns of their own; null conv_id is a conversation; an empty table gives an empty result; further columns
@@ -90,17 +91,24 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     def joined(pieces: Column) -> Column:
         return F.concat(F.lit("<s>"), F.array_join(pieces, ""))
 
-    out = src.withColumn("formatted", joined(F.transform("source", settle))).withColumn("turns", parse(F.col("formatted")))
-    same = F.coalesce(said(F.col("turns")) == F.col("source"), F.lit(False))
-    safe = joined(F.transform("source", lambda t: render(t["role"], escape(t["text"]))))
-    out = out.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(safe)).withColumn("turns", parse(F.col("formatted")))
+    def tried(rows: DataFrame, otherwise: Column) -> DataFrame:
+        """Render and parse again, where the parsed turns are not the source's yet."""
+        done = F.col("same")
+        rows = rows.withColumn("formatted", F.when(done, F.col("formatted")).otherwise(otherwise))
+        rows = rows.withColumn("turns", F.when(done, F.col("turns")).otherwise(parse(F.col("formatted"))))
+        return rows.withColumn("same", F.when(done, F.lit(True)).otherwise(F.coalesce(said(F.col("turns")) == F.col("source"), F.lit(False))))
+
+    out = src.withColumn("formatted", joined(F.transform("source", lambda t: render(t["role"], t["text"])))).withColumn("turns", parse(F.col("formatted")))
+    out = out.withColumn("same", F.coalesce(said(F.col("turns")) == F.col("source"), F.lit(False)))
+    out = tried(out, joined(F.transform("source", settle)))
+    out = tried(out, joined(F.transform("source", lambda t: render(t["role"], escape(t["text"])))))
 
     def runs(t: Column) -> Column:
         whole, ours = F.length(render(t["role"], t["raw"])), t["role"] == "assistant"
         learned = F.when(ours, F.length(t["raw"])).otherwise(F.lit(0))
         return F.struct(F.when(ours, F.lit(1)).otherwise(whole).alias("before"), learned.alias("learned"), F.when(ours, F.lit(5)).otherwise(F.lit(0)).alias("after"))
 
-    return out.select("conv_id", "formatted", "turns", F.transform("turns", runs).alias("loss_runs"), F.coalesce(said(F.col("turns")) == F.col("source"), F.lit(False)).alias("round_trip"))
+    return out.select("conv_id", "formatted", "turns", F.transform("turns", runs).alias("loss_runs"), F.col("same").alias("round_trip"))
 
 
 def chat_digest(rows: DataFrame) -> DataFrame:
