@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import broadcast_small, flat_text, row_key, shared_table, slices
+from glyphmax.llm.common import broadcast_small, flat_text, lean, row_key, shared_table, slices
 
 LENGTH = 400
 GRAM = 64
@@ -119,6 +119,7 @@ def windows_of(size: int) -> Iterator[tuple[int, int]]:
 CONTEXT = "doc_id long, rk long, start long, last long, anchor int, gram long, content long, n int"
 
 
+@lean
 def emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, rk, text) to contexts. Equal contexts of one document are one row, at the first place, with their number
     ``n``; the window runs of such repeats, merged, follow as rows with ``n`` 0 (start and last of the run)."""
@@ -339,6 +340,7 @@ def settle_group(right: list[int], left: list[int], dmin: np.ndarray, dmax: np.n
 SPAN = "doc_id long, rk long, start long, last long"
 
 
+@lean
 def merge_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs, sorted by bucket, to the repeated window runs of contexts that occur once."""
 
@@ -389,6 +391,7 @@ def merge_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield settle(held)
 
 
+@lean
 def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, rk, text, marks) to one row per window of the marked contexts, with its 128-bit hash."""
     for batch in batches:
@@ -408,31 +411,35 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, kept_text string, removed array<struct<start:long,length:long>>"
+
+
+@lean
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to the digest of what is left."""
+    """(doc_id, text, spans) to what is left, its digest and the byte ranges that went."""
     for batch in batches:
         data, ends = flat_text(batch.column(1))
-        removed, spans, marks = [], [], []
-        for i, found in enumerate(batch.column(2).to_pylist()):
-            raw = data[ends[i] : ends[i + 1]]
-            if not found:
-                removed.append(0)
-                spans.append(0)
-                marks.append(hashlib.sha256(raw.tobytes()).hexdigest())
-                continue
-            start, last = np.array([s["start"] for s in found]), np.array([s["last"] for s in found])
-            _, start, last = merged_runs(np.zeros(len(start), np.int64), start, last + LENGTH - 1)
-            gone = np.zeros(len(raw) + 1, np.int32)
-            gone[start] += 1
-            gone[start + last + 1] -= 1
-            kept = raw[np.cumsum(gone)[:-1] == 0]
-            removed.append(len(raw) - len(kept))
-            spans.append(len(start))
-            marks.append(hashlib.sha256(kept.tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(np.diff(ends)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(marks, pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+        found = batch.column(2).to_pylist()
+        for i, j in slices(ends):
+            removed, marks, left, ranges = [], [], [], []
+            for d in range(i, j):
+                raw = data[ends[d] : ends[d + 1]]
+                spans = []
+                if found[d]:
+                    start, last = np.array([s["start"] for s in found[d]]), np.array([s["last"] for s in found[d]])
+                    _, start, last = merged_runs(np.zeros(len(start), np.int64), start, last + LENGTH - 1)
+                    spans = [{"start": a, "length": n} for a, n in zip(start.tolist(), (last + 1).tolist())]
+                    edges = [0, *(x for s in spans for x in (s["start"], s["start"] + s["length"])), len(raw)]
+                    raw = np.concatenate([raw[a:b] for a, b in zip(edges[::2], edges[1::2])])
+                kept = raw.tobytes()
+                removed.append(int(ends[d + 1] - ends[d]) - len(kept))
+                marks.append(hashlib.sha256(kept).hexdigest())
+                left.append(kept.decode("utf-8", "replace"))
+                ranges.append(spans)
+            size = np.diff(ends[i : j + 1])
+            columns = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(removed, pa.int64()), pa.array([len(r) for r in ranges], pa.int64()), pa.array(marks, pa.string())]
+            columns += [pa.array(size - np.array(removed, np.int64)), pa.array(left, pa.string()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in CUT.split(", ")])
 
 
 def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> DataFrame:
@@ -476,11 +483,13 @@ def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows:
     return out
 
 
-def substring_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``."""
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, then ``kept_bytes``, ``kept_text`` and ``removed`` (byte ranges
+    of the input) for every row of ``docs``. ``kept_text`` has U+FFFD where a cut went through a character; the digest is of
+    the bytes."""
     src = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text"))
     runs = repeated_runs(src, group_rows, broadcast_rows)
     spans = runs.groupBy(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("start", "last")).alias("spans"))
     spans = shared_table(spans, "spans")
     joined = src.join(broadcast_small(spans, broadcast_rows // 4, "spans"), (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(cut, CUT)
