@@ -1,18 +1,19 @@
 """Operator 5, exact top-k search by no-random-access aggregation.
 
 Components become integers, floor(256 x). Candidates are cut into blocks; in a block, every dimension is a list sorted
-by component, which a query reads from its high end for a positive weight and from its low end for a negative one. After
-reading all lists to a depth, a candidate's score lies between its seen terms plus the worst unseen ones and its seen
+by component, which a query reads from its high end for a positive weight and from its low end for a negative one. Lists are read
+in rounds; after reading all to a depth, a candidate's score lies between its seen terms plus the worst unseen ones and its seen
 terms plus the terms at the lists' current ends. Reading stops as soon as no outsider's upper bound reaches the k-th
 lower bound (or the k-th best score that an earlier block gave); the remaining candidates' scores are then resolved in
-full. Seen terms and both bounds of all queries of a block are matrix products.
+full. A round's new terms and both bounds of all queries of a block are matrix products; queries with few candidates left
+and candidates that no query needs are not read for again.
 
 Queries are cut into blocks as well, so neither side is held or broadcast whole; each candidate block meets each query
 block once. Per block k rows a query are passed on and ranked.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
-padded with zeros; a query's own vec_id is no candidate, other rows are, repeated ones too; a repeated query is
-answered once (by its least vector); ties go to the smaller vec_id; empty tables give an empty result; further columns
+padded with zeros; a query's own row is no candidate, all other rows are, those of its vec_id too; each row of a
+repeated query is answered; ties go to the smaller vec_id; empty tables give an empty result; further columns
 are ignored. Scores beyond 64 bits are not supported.
 """
 
@@ -33,7 +34,7 @@ CANDIDATE_ROWS = 4096
 QUERY_ROWS = 2048
 #: Shares of a block's lists that are read before bounds are compared.
 DEPTHS = (0.2, 0.45, 0.7)
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
 def integers(vector: Column) -> Column:
@@ -43,9 +44,9 @@ def integers(vector: Column) -> Column:
     return F.when(fine, F.transform(whole, lambda x: F.floor(x * 256)))
 
 
-def block_top_k(weights: np.ndarray, x: np.ndarray, query_id: np.ndarray, vec_id: np.ndarray, k: int, floor_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of a block per query (query row, candidate row, score); ``floor_``: per query a score that
-    k candidates elsewhere are known to reach, raised in place."""
+def block_top_k(weights: np.ndarray, x: np.ndarray, query_row: np.ndarray, row: np.ndarray, vec_id: np.ndarray, k: int, floor_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of a block per query (query, candidate, score); ``floor_``: per query a score that k candidates
+    elsewhere are known to reach, raised in place."""
     n, dims = x.shape
     reach = float(np.abs(weights).max(initial=0)) * float(np.abs(x).max(initial=0)) * dims
     exact = np.float32 if reach < 1 << 24 else np.float64 if reach < 1 << 53 else np.int64
@@ -54,27 +55,42 @@ def block_top_k(weights: np.ndarray, x: np.ndarray, query_id: np.ndarray, vec_id
     order = np.argsort(-x, axis=0, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-    own = query_id[:, None] == vec_id[None, :]
     low_score = np.iinfo(np.int64).min if exact is np.int64 else -np.inf
-    live = ~own
+    least, most = values.min(axis=0), values.max(axis=0)
+    # queries and candidates that are still read for, the seen part of their scores, and the pairs not yet ruled out
+    qs, cs = np.arange(len(weights)), np.arange(n)
+    seen = np.zeros((len(qs), n), exact)
+    live = query_row[:, None] != row[None, :]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    before = 0
     for depth in DEPTHS:
         d = int(n * depth)
         if d < k + 1:
             continue
-        high, low = place < d, place >= n - d
-        seen = up @ (values * high).T + down @ (values * low).T
-        end_high, end_low = np.take_along_axis(x, order[d - 1 : d], 0)[0].astype(exact), np.take_along_axis(x, order[n - d : n - d + 1], 0)[0].astype(exact)
-        least, most = x.min(axis=0).astype(exact), x.max(axis=0).astype(exact)
-        upper = seen + (up * end_high) @ (~high).T.astype(exact) + (down * end_low) @ (~low).T.astype(exact)
-        lower = seen + (up * least) @ (~high).T.astype(exact) + (down * most) @ (~low).T.astype(exact)
-        lower[own] = low_score
-        if n > k:
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            floor_[:] = np.maximum(floor_, kth)
-        live &= upper >= floor_[:, None]
-        if np.count_nonzero(live) <= 4 * k * len(weights):
+        at, v = place[cs], values[cs]
+        high, low = at < d, at >= n - d
+        # entries read since the depth before
+        seen += up[qs] @ (v * (high & (at >= before))).T + down[qs] @ (v * (low & (at < n - before))).T
+        before = d
+        end_high, end_low = np.take_along_axis(values, order[d - 1 : d], 0)[0], np.take_along_axis(values, order[n - d : n - d + 1], 0)[0]
+        open_high, open_low = (~high).T.astype(exact), (~low).T.astype(exact)
+        upper = seen + (up[qs] * end_high) @ open_high + (down[qs] * end_low) @ open_low
+        lower = seen + (up[qs] * least) @ open_high + (down[qs] * most) @ open_low
+        if len(cs) > k:
+            lower[query_row[qs, None] == row[None, cs]] = low_score
+            floor_[qs] = np.maximum(floor_[qs], np.partition(lower, len(cs) - k, axis=1)[:, len(cs) - k])
+        live &= upper >= floor_[qs, None]
+        settled = np.count_nonzero(live, axis=1) <= 4 * k
+        if settled.any():
+            q, c = np.nonzero(live & settled[:, None])
+            found.append((qs[q], cs[c]))
+        stay = np.flatnonzero(~settled)
+        keep = np.flatnonzero(live[stay].any(axis=0))
+        qs, cs, seen, live = qs[stay], cs[keep], seen[np.ix_(stay, keep)], live[np.ix_(stay, keep)]
+        if not len(qs):
             break
     q, c = np.nonzero(live)
+    q, c = (np.concatenate(p) for p in zip(*found, (qs[q], cs[c])))
     score = np.empty(len(q), np.int64)
     wide, whole = weights.astype(np.int64), x.astype(np.int64)
     for i in range(0, len(q), 1 << 16):
@@ -92,7 +108,7 @@ def block_top_k(weights: np.ndarray, x: np.ndarray, query_id: np.ndarray, vec_id
 def search_blocks(k: int):
     def run(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or candidates.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_row", "query_id", "vec_id", "score")})
         dims = max(queries["v"].map(len).max(), candidates["v"].map(len).max())
 
         def matrix(rows: pd.Series) -> np.ndarray:
@@ -102,38 +118,40 @@ def search_blocks(k: int):
             return out
 
         w, x = matrix(queries["v"]), matrix(candidates["v"])
-        query_id, vec_id = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+        query_row, row, vec_id = queries["row"].to_numpy(), candidates["row"].to_numpy(), candidates["vec_id"].to_numpy()
         floor_ = np.full(len(w), -np.inf)
-        parts = [(q, c + i, s) for i in range(0, len(x), CANDIDATE_ROWS) for q, c, s in [block_top_k(w, x[i : i + CANDIDATE_ROWS], query_id, vec_id[i : i + CANDIDATE_ROWS], k, floor_)]]
+        blocks = (slice(i, i + CANDIDATE_ROWS) for i in range(0, len(x), CANDIDATE_ROWS))
+        parts = [(q, c + b.start, s) for b in blocks for q, c, s in [block_top_k(w, x[b], query_row, row[b], vec_id[b], k, floor_)]]
         q, c, s = (np.concatenate(p) for p in zip(*parts))
-        out = pd.DataFrame({"query_id": query_id[q], "vec_id": vec_id[c], "score": s}).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return out.groupby("query_id", sort=False).head(k)
+        out = pd.DataFrame({"query_row": query_row[q], "query_id": queries["vec_id"].to_numpy()[q], "vec_id": vec_id[c], "score": s})
+        return out.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True]).groupby("query_row", sort=False).head(k)
 
     return run
 
 
 def exact_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: for rows whose vec_id is divisible by ``query_every`` the k best other rows."""
-    rows = shared_table(vectors.select("vec_id", integers(F.col("embedding")).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL"), "vectors")
-    queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_every == 0).alias("q")).first()
+    rows = vectors.select("vec_id", integers(F.col("embedding")).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL")
+    # the number of a row, fixed by writing it, tells rows of one vec_id apart
+    rows = shared_table(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    is_query = F.col("vec_id") % query_every == 0
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     n_c, n_q = max(1, -(-sizes["n"] // (4 * candidate_rows))), max(1, -(-sizes["q"] // query_rows))
-    spread = F.xxhash64("vec_id")
-    left = queries.withColumn("qb", F.pmod(spread, F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    # rows of one vec_id may be many: their block is drawn from the vector too
-    right = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    spread = F.xxhash64("row")
+    left = rows.where(is_query).withColumn("qb", F.pmod(spread, F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    right = rows.withColumn("cb", F.pmod(spread, F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search_blocks(k), RESULT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)]) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
-), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.n <> q.n WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
