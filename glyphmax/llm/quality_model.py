@@ -7,7 +7,8 @@ sample of labelled documents (``TRAIN_DOCS``, of at most ``TRAIN_BYTES`` each);
 
 Defined results: null or empty text is one empty passage and has that passage's score; repeated rows each get a row;
 without usable labels, or with one class only, every score is the share of label 1 (0.5 with none); an empty table
-gives an empty result; further columns are ignored. Ids, languages, sources and labels are no inputs of a score.
+gives an empty result; further columns are ignored. Ids, languages, sources and labels are no inputs of a score. A
+text over ``STRETCH`` bytes is scored a stretch of passages at a time; of rows that share a labelled id one text is learned.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import flat_text, held_out, slices
+from glyphmax.llm.common import flat_text, held_out, lean, slices
 
 PASSAGE = 400
+#: Bytes of a longer text whose passages are held at once.
+STRETCH = PASSAGE * 2500
 BUCKETS = 512
 TRAIN_DOCS = 3000
 TRAIN_BYTES = 1 << 16
@@ -84,10 +87,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def forward(m: Weights, x: np.ndarray, first: np.ndarray) -> tuple:
+def attended(m: Weights, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passages' representations, the two factors of their gated attention, and its logits."""
     h = np.tanh(x @ m.w + m.b)
     t, g = np.tanh(h @ m.v), sigmoid(h @ m.u)
-    e = (t * g) @ m.a
+    return h, t, g, (t * g) @ m.a
+
+
+def forward(m: Weights, x: np.ndarray, first: np.ndarray) -> tuple:
+    h, t, g, e = attended(m, x)
     at = first[:-1]
     bag = np.repeat(np.arange(len(at)), np.diff(first))
     p = np.exp(e - np.maximum.reduceat(e, at)[bag])
@@ -96,6 +104,28 @@ def forward(m: Weights, x: np.ndarray, first: np.ndarray) -> tuple:
     return sigmoid(z @ m.c + m.d[0]), h, t, g, p, z, bag
 
 
+def long_score(m: Weights, data: np.ndarray) -> float:
+    """:func:`forward` of one text of any length, ``STRETCH`` bytes of it at a time."""
+    top, weight, z = -np.inf, 0.0, np.zeros(len(m.c))
+    for a in range(0, len(data), STRETCH):
+        part = data[a : a + STRETCH + 2]  # trigrams that begin in the stretch reach two bytes further
+        x = passage_features(part, np.array([0, len(part)]))[0][: -(-min(STRETCH, len(data) - a) // PASSAGE)]
+        h, _, _, e = attended(m, x)
+        new = max(top, float(e.max()))
+        p, old = np.exp(e - new), np.exp(top - new)
+        top, weight, z = new, weight * old + float(p.sum()), z * old + p @ h
+    return float(sigmoid(z / weight @ m.c + m.d[0]))
+
+
+def scores(model: Weights | float, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Scores of the documents of a slice."""
+    if isinstance(model, float):
+        return np.full(len(ends) - 1, model)
+    if len(ends) == 2 and len(data) > STRETCH:
+        return np.array([long_score(model, data)])
+    return forward(model, *passage_features(data, ends))[0].astype(np.float64)
+
+
 def gradients(m: Weights, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
     s, h, t, g, p, z, bag = forward(m, x, first)
     ds = (s - y) / len(y)
@@ -134,8 +164,10 @@ def training_bags(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     # at most train_docs rows of two numbers
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").limit(train_docs)
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(2))
@@ -165,15 +197,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, t
     """``doc_id, held_out, score, predicted`` (score >= threshold) for every row of ``docs``."""
     model = fit(docs, labels, train_docs)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(2))
             for i, j in slices(ends):
-                if isinstance(model, float):
-                    score = np.full(j - i, model)
-                else:
-                    x, first = passage_features(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                    score = forward(model, x, first)[0].astype(np.float64)
+                score = scores(model, data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(1).slice(i, j - i), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                     names=["doc_id", "held_out", "score", "predicted"],
@@ -187,15 +216,12 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, t
     model = fit(docs, labels, train_docs)
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(at))
             for i, j in slices(ends):
-                if isinstance(model, float):
-                    good = np.full(j - i, model >= threshold)
-                else:
-                    x, first = passage_features(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                    good = forward(model, x, first)[0] >= threshold
+                good = scores(model, data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]) >= threshold
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
