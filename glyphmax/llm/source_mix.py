@@ -11,7 +11,8 @@ over ``MISS`` at the minimum (no rates reach them, or the ridge outweighs a rare
 
 Defined results: null or empty text has 0 tokens and takes the posteriors of a text without words; repeated rows each
 get a rate; without labels all posteriors are equal; an empty table gives an empty result; further columns are
-ignored. Tokens are words, ``[^\\x20\\x09-\\x0D]+``.
+ignored; a long text is read in stretches that end at white space; of rows that share a labelled id one text is learned.
+Tokens are words, ``[^\\x20\\x09-\\x0D]+``.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import flat_text, held_out, shared_table, slices
+from glyphmax.llm.common import SLICE_BYTES, flat_text, held_out, lean, shared_table, slices
 from glyphmax.llm.quality_model import CLASSES
 from glyphmax.llm.quality_rules import SPACE
 
 BUCKETS = 1 << 13
 FEATURES = BUCKETS + CLASSES.shape[1] + 1
-#: Documents whose feature rows (96 KB each) are held at once.
-SLICE_DOCS = 256
+#: Documents whose feature rows (32 KB each, and 64 KB of counts) are held at once.
+SLICE_DOCS = 128
 TRAIN_DOCS = 2500
 TRAIN_BYTES = 1 << 16
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 100, 0.05, 1e-4, 11
@@ -52,8 +53,8 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "low")
 
 
-def document_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rooted shares of hashed lower-case words and of byte classes per document, and word counts."""
+def raw_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of hashed lower-case words and of bytes of each class per document, and of words."""
     n = len(ends) - 1
     out = np.zeros((n, FEATURES), np.float32)
     words = np.zeros(n, np.int64)
@@ -72,11 +73,36 @@ def document_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
         bucket = (h >> np.uint64(51)).astype(np.int64)
         words = np.bincount(doc[at], minlength=n)
         out[:, :BUCKETS] = np.bincount(doc[at] * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    for k in range(CLASSES.shape[1]):
+        out[:, BUCKETS + k] = np.bincount(doc, CLASSES[data, k], minlength=n)
+    return out, words
+
+
+def word_stretches(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of one text of about ``SLICE_BYTES`` that end at white space; a longer word is in one range."""
+    at = 0
+    while at < len(data):
+        to = min(at + SLICE_BYTES, len(data))
+        while to < len(data) and not SPACE[data[to]]:
+            found = np.flatnonzero(SPACE[data[to : to + (1 << 16)]])
+            to = to + int(found[0]) if len(found) else min(to + (1 << 16), len(data))
+        yield at, to
+        at = to
+
+
+def document_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rooted shares of hashed lower-case words and of byte classes per document, and word counts."""
+    if len(ends) == 2 and len(data) > SLICE_BYTES:
+        out, words = np.zeros((1, FEATURES), np.float32), np.zeros(1, np.int64)
+        for a, b in word_stretches(data):
+            part, n = raw_features(data[a:b], np.array([0, b - a]))
+            out, words = out + part, words + n
+    else:
+        out, words = raw_features(data, ends)
     shares = out[:, :BUCKETS]
     out[:, -1] = (shares > 0).sum(axis=1) / np.maximum(words, 1)
     np.sqrt(shares / np.maximum(words, 1)[:, None], out=shares)
-    for k in range(CLASSES.shape[1]):
-        out[:, BUCKETS + k] = np.bincount(doc, CLASSES[data, k], minlength=n) / np.maximum(np.diff(ends), 1)
+    out[:, BUCKETS:-1] /= np.maximum(np.diff(ends), 1)[:, None]
     return out, words
 
 
@@ -111,8 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], train_docs: int
     known = labels.select("doc_id", domain_of().alias("domain")).where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     # at most train_docs short rows
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id").select("doc_id", "domain", "text").limit(train_docs)
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("domain").alias("domain"), F.min("text").alias("text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(2))
@@ -137,6 +165,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, domains: list[str], keep: l
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", *(f"p_{d} double" for d in domains)])
     names = [*keep, "n_tokens", *(f"p_{d}" for d in domains)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(len(keep)))
@@ -229,9 +258,11 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TAR
     """Rows of ``docs`` as often as their rate says: its whole part, and once more with its fraction's probability,
     drawn from a hash of the row."""
     key = F.xxhash64("doc_id", "text")
-    rates = mix_rates(docs.select("doc_id", "text", key.alias("__key")), labels, targets, keep=("doc_id", "__key"))
-    rates = rates.groupBy(F.col("doc_id").alias("__id"), "__key").agg(F.first("rate").alias("__rate"))
-    rows = docs.withColumn("__row", key).join(rates, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "__key"), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("__rate") + (draw < F.col("__rate") - F.floor("__rate")).cast("long")
-    return rows.withColumn("__copies", copies).where("__copies > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
+    rates = mix_rates(docs.select("doc_id", "text", key.alias("rk")), labels, targets, keep=("doc_id", "rk"))
+    rates = rates.groupBy(F.col("doc_id").alias("rate_id"), F.col("rk").alias("rate_rk")).agg(F.first("rate").alias("rate"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id", key.alias("rk"))
+    rows = rows.join(rates, (F.col("rk") == F.col("rate_rk")) & F.col("doc_id").eqNullSafe(F.col("rate_id")))
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "rk"), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
+    rows = rows.select("row", copies.alias("copies")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
