@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import flat_text, slices
+from glyphmax.llm.common import flat_text, lean, slices
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 #: Documents on which rules are measured.
@@ -146,6 +146,7 @@ def cascade(c: Counted, order: list[str]) -> np.ndarray:
 def best_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rules by rejection per cost on up to ``sample_rows`` documents; rules that reject none come last, cheapest first."""
 
+    @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seconds, rejected, n = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0), 0
         for batch in batches:
@@ -170,6 +171,7 @@ def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", orde
     """Counters, ``base_failed`` and ``kept`` for every row of ``docs``."""
     order = order or best_order(docs, text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(1))

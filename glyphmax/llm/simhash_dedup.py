@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import broadcast_small, flat_text, row_key, shared_table
+from glyphmax.llm.common import broadcast_small, flat_text, lean, row_key, shared_table
 from glyphmax.llm.components import connected_components
 
 BOUND = 6
@@ -56,6 +56,7 @@ def fingerprint(raw: bytes) -> bytes:
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, rk, fp``: the row's content key and the fingerprint, as signed 64-bit integers."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = flat_text(batch.column(2))
@@ -138,6 +139,7 @@ def link_buckets(group: np.ndarray, table: np.ndarray, fp: np.ndarray, weight: n
     return node_fp[linked].view(np.int64), near[linked], node_fp[roots(parent, linked)].view(np.int64)
 
 
+@lean
 def link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets arrive sorted; whole ones are linked a chunk at a time."""
 
@@ -205,9 +207,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = shared_table(rows.groupBy("component", "doc_id", "rk").agg(F.count("*").alias("n")), "grouped")
     stays = rows.groupBy("component").agg(F.min(F.struct("doc_id", "rk")).alias("stays"))
     gone = rows.join(stays, "component").where(F.struct("doc_id", "rk") != F.col("stays"))
-    gone = broadcast_small(shared_table(gone.select(F.col("doc_id").alias("__id"), F.col("rk").alias("__gone")), "near-duplicates"))
-    keyed = docs.withColumn("__rk", row_key("doc_id", "text"))
-    kept = keyed.join(gone, (F.col("__rk") == F.col("__gone")) & docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    if not rows.where("n > 1").isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", "__rk"])
-    return kept.drop("__rk")
+    gone = broadcast_small(shared_table(gone.select(F.col("doc_id").alias("gone_id"), F.col("rk").alias("gone_rk")), "near-duplicates"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("rk"))
+    kept = keyed.join(gone, (F.col("rk") == F.col("gone_rk")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    if not rows.where("n > 1").isEmpty():  # repeated rows: the least by all columns that have an order
+        order = [F.col(f"row.`{f.name}`").cast("string") for f in docs.schema.fields]
+        one = kept.groupBy("doc_id", "rk").agg(F.min_by("row", F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in order])).alias("row"))
+        kept = one
+    return kept.select("row.*")
