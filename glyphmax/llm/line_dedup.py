@@ -1,22 +1,22 @@
-r"""Operator 8, line dedup by a deletion-neighbourhood join.
+r"""Operator 8, line dedup: earliest lines stay, those within a few edits of an earlier one go.
 
-A line (of at least ``MIN_CHARS`` code points; texts are split at ``\n``) is removed if an earlier line of the corpus,
-by (doc_id, content key, line number), is within one edit (insertion, deletion or substitution) of it; the earliest
-stays. Equal lines are collapsed by a 128-bit hash first. Two different lines within one edit agree in their first or
-their last half, so only lines that share a half with another (the suspects) can have a neighbour. Each suspect emits
-its own hash and those of all its one-character deletions; lines join on equal variants: a line with another's
-deletion, or two deletions at the same place. Survivors are verified by their edit distance. Within a variant only the
-earliest line matters, so a window's minimum takes the place of the pairs.
+Lines are what ``\n`` separates; those of white space only take no part, unless they have ``MIN_CHARS`` code points. A line is removed if an
+earlier line of the corpus, by (doc_id, content key, line number), equals it, or is within the bound of edits (insertion,
+deletion or substitution of a code point): one for every ``EDIT_CHARS`` code points of the shorter line of the two, one at
+least and ``EDITS`` at most, for lines of at least ``MIN_CHARS`` code points. The earlier line need not stay itself.
 
-With ``edits`` over 1 the bound grows with the shorter line of a pair, one edit for every ``EDIT_CHARS`` code points (1 at
-least, ``edits`` at most). The shorter line is cut into bound + 1 segments, one of which is whole in the other line, moved
-by no more than the edits on its either side; lines that share such a seed are verified by their edit distance.
+Equal lines: a scan writes every line's 128-bit hash and place; a worker that has met a line earlier in the order decides
+at once, so of a hot line about one row a task is exchanged. Rows sorted by hash give each line's first place.
 
-Shorter lines stay by default; with ``short``, those that are not blank are removed where an earlier line equals them.
+Near lines: the deletion neighbourhood of a line of 60 code points within three edits has 36,000 variants, so it is not
+emitted whole. Two lines within e edits agree, after deleting what differs, in one of e + 1 segments of the shorter one,
+moved by no more than the edits on its either side. So a line emits its variants with all but one segment deleted, as
+hashed keys (26 for three edits); keys are exchanged as sorted blocks of 32-bit numbers, the few that a line's own segment
+shares with another line come back, and only lines that have such a key are joined and verified by their edit distance.
 
-Defined results: null text is an empty one (one empty line); blank short lines always stay; repeated rows are one document
-and are decided alike; rows with null doc_id come first in the order; an empty table gives an empty result; further
-columns are ignored.
+Defined results: null text is an empty one (one empty line); short blank lines always stay; repeated rows are one document and
+are decided alike; rows with null doc_id come first in the order; an empty table gives an empty result; further columns
+are kept, and may have any names but those that :func:`deduplicated` adds.
 """
 
 from __future__ import annotations
@@ -25,82 +25,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from glyphmax.llm.common import broadcast_small, flat_text, row_key, shared_table, slices
+from glyphmax.llm.common import broadcast_small, flat_text, lean, row_key, shared_table, slices
 
 MIN_CHARS = 16
-NOT_BLANK = r"[^\x20\x09-\x0D]"
-#: Code points of a line for each edit that a bound over 1 allows.
-EDIT_CHARS = 16
-#: The whole job, of the pipeline and of ``op8_line_dedup_whole``.
-WHOLE = {"short": True, "edits": 3}
+#: Edits at most, and code points of the shorter line for each of them.
+EDITS, EDIT_CHARS = 3, 16
+#: Lines whose earliest place a task remembers.
+SEEN_LINES = 100_000
+#: Keys of a line, about, and those of a bucket of the exchange; a key has 31 bits within its bucket.
+KEYS_A_LINE, BUCKET_KEYS, KEY_BITS = 26, 1 << 20, 31
+#: Lines whose keys are made at once.
+KEY_LINES = 1 << 14
+#: Shared keys that are sent to all workers (8 bytes each); more are joined.
+SENT_KEYS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
+PLACE = ["doc_id", "rk", "line"]
+LINE = "h1 long, h2 long, doc_id long, rk long, line int, again boolean, text string"
 
-def hashes(line: Column) -> tuple[Column, Column]:
-    return F.xxhash64(line), F.xxhash64(F.lit(7), line)
 
+def occurrences(min_chars: int):
+    """(doc_id, rk, text) to a row a line, but for short blank ones; ``again``: this task has met it at an earlier place. Texts of
+    at least ``min_chars`` code points come along, unless it is met again."""
 
-def half_keys(line: Column) -> Column:
-    """Keys of the halves that a line shares with any line one edit away."""
-    n = F.length(line)
-
-    def pair(short: Column) -> list[Column]:
-        half = F.floor(short / 2).cast("int")
-        return [F.xxhash64(short, F.lit(0), F.left(line, half)), F.xxhash64(short, F.lit(1), F.right(line, short - half))]
-
-    return F.array(*pair(n), *pair(n - 1))
-
-
-def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, text) to (h1, h2, variant, place): the line itself at -1 and its deletions."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple] = {}
+        for batch in batches:
+            data, ends = flat_text(batch.column(2))
+            ids, keys = batch.column(0).cast(pa.int64()), batch.column(1)
+            for i, j in slices(ends):
+                digests, owner, number, again, texts = [], [], [], [], []
+                for d, doc_id, rk in zip(range(i, j), ids.slice(i, j - i).to_pylist(), keys.slice(i, j - i).to_pylist()):
+                    for n, line in enumerate(data[ends[d] : ends[d + 1]].tobytes().split(b"\n")):
+                        if len(line) < min_chars and (not line or line.isspace()):
+                            continue
+                        digest = xxh3_128_digest(line)
+                        here, before = (doc_id is not None, doc_id or 0, rk, n), seen.get(digest)
+                        known = before is not None and before < here
+                        if not known:
+                            if len(seen) >= SEEN_LINES:
+                                seen.clear()
+                            seen[digest] = here
+                        digests.append(digest)
+                        owner.append(d)
+                        number.append(n)
+                        again.append(known)
+                        # a line has no more code points than bytes, and no fewer than a quarter of them
+                        long = not known and len(line) >= min_chars and (len(line) >= 4 * min_chars or len(line.decode()) >= min_chars)
+                        texts.append(line if long else None)
+                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                at = pa.array(owner, pa.int64())
+                columns = [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), ids.take(at), keys.take(at), pa.array(number, pa.int32()), pa.array(again, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary()).cast(pa.string())], names=["h1", "h2", *PLACE, "again", "text"])
+
+    return run
+
+
+@lean
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hash and place: ``again`` is set for all but a line's first; rows at the first's very place go."""
+    last = None
     for batch in batches:
-        h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, line in enumerate(batch.column(2).to_pylist()):
-            c = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-            n = len(c)
-            power = np.full(n, BASE)
-            power[:1] = 1
-            power = np.multiply.accumulate(power)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(c * power, out=total[1:])
-            v = np.concatenate([total[-1:], total[:-1] + (total[-1] - total[1:]) * BASE_INVERSE])
-            v = (v ^ (v >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            for a in range(0, n + 1, 1 << 16):
-                part = v[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), h1[i])), pa.array(np.full(len(part), h2[i])), pa.array((part ^ (part >> np.uint64(29))).view(np.int64)), pa.array(np.arange(a - 1, a - 1 + len(part), dtype=np.int32))],
-                    names=["h1", "h2", "variant", "place"],
-                )
-
-
-def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``h1, h2`` of distinct lines with an earlier line one edit away. ``lines``: h1, h2, first-seen place and text."""
-    keys = distinct.select(F.explode("halves").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keys = shared_table(keys, "line-keys")
-    rows = distinct.select("h1", "h2", "first", F.explode("halves").alias("key"))
-    suspects = shared_table(rows.join(broadcast_small(keys), "key", "left_semi").select("h1", "h2", "first").distinct(), "suspects")
-    at = suspects.select("h1", "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.rk").alias("rk"), F.col("first.line").alias("line"))
-    match = [lines["rk"] == at["rk"], lines["line"] == at["line"], lines["doc_id"].eqNullSafe(at["doc_id"])]
-    texts = lines.join(broadcast_small(at), match).select(at["h1"], at["h2"], at["first"], lines["text"])
-    texts = shared_table(texts.dropDuplicates(["h1", "h2"]), "suspect-lines")
-    made = texts.select("h1", "h2", "text").repartition(F.col("h1")).mapInArrow(variants, "h1 long, h2 long, variant long, place int")
-    known = texts.select("h1", "h2", "first")
-    made = made.join(known, ["h1", "h2"])
-    me = F.struct("first", "h1", "h2")
-    made = made.select("h1", "h2", "variant", "place", me.alias("me"))
-    every = Window.partitionBy("variant")
-    alike = Window.partitionBy("variant", "place")
-    made = made.withColumn("whole", F.min(F.when(F.col("place") < 0, F.col("me"))).over(every)).withColumn("any", F.min("me").over(every)).withColumn("same", F.min("me").over(alike))
-    other = F.when(F.col("place") < 0, F.array("any")).otherwise(F.array("whole", "same"))
-    pairs = made.select("h1", "h2", "me", F.explode(other).alias("other")).where(F.col("other") < F.col("me")).select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
-    a = texts.select("h1", "h2", F.col("text").alias("a"))
-    b = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("b"))
-    near = pairs.join(a, ["h1", "h2"]).join(b, ["o1", "o2"]).where(F.levenshtein("a", "b", 1) >= 0)
-    return near.select("h1", "h2").distinct()
+        some = np.flatnonzero(~batch.column(5).to_numpy(zero_copy_only=False))
+        keep = np.ones(batch.num_rows, bool)
+        again = np.ones(batch.num_rows, bool)
+        if len(some):
+            doc_id = batch.column(2)
+            cols = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), doc_id.is_null().to_numpy(zero_copy_only=False), doc_id.fill_null(0).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy()]).astype(np.int64)[:, some]
+            cols = np.concatenate([cols[:, :1] if last is None else last[:, None], cols], axis=1)
+            new = (cols[:2, 1:] != cols[:2, :-1]).any(axis=0)
+            if last is None:
+                new[0] = True
+            first = np.maximum.accumulate(np.where(new, np.arange(1, len(new) + 1), 0))  # 0: the first stood in a batch before
+            at_first = (cols[:, 1:] == cols[:, first]).all(axis=0)
+            again[some] = ~at_first
+            keep[some] = new | ~at_first
+            last = cols[:, first[-1]]
+        out = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(again), batch.column(6)], names=batch.schema.names)
+        yield out.filter(pa.array(keep))
 
 
 def seeds(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,87 +141,133 @@ def seeds(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(found)
 
 
-def lines_of_edits(distinct: DataFrame, edits: int) -> DataFrame:
-    """``h1, h2`` of distinct lines (h1, h2, first, text; null texts have no part) with an earlier one within the bound."""
-    texts = distinct.where("text IS NOT NULL")
+def located(seed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit number of seeds; the number's lowest bit is the seed's."""
+    u = seed.view(np.uint64) >> np.uint64(1)
+    low = (u & np.uint64((1 << KEY_BITS) - 1)) << np.uint64(1) | seed.view(np.uint64) & np.uint64(1)
+    return ((u >> np.uint64(KEY_BITS)) % np.uint64(buckets)).astype(np.int64), low.astype(np.uint32)
+
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def key_blocks(edits: int, buckets: int):
+    """(text) to rows (bucket, block): the numbers of many lines' keys."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
             lines = batch.column(0)
-            for i, j in slices(flat_text(lines)[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(seeds(lines.slice(i, j - i).to_pylist(), edits)[1])], names=["seed"])
-
-    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys that a line owns and another row has."""
-        held = [batch.column(0).to_numpy() for batch in batches]
+            for i, j in slices(flat_text(lines)[1], rows=KEY_LINES):
+                held.append(seeds(lines.slice(i, j - i).to_pylist(), edits)[1])
+            if sum(map(len, held)) >= 1 << 21:
+                yield coded(np.concatenate(held))
+                held = []
         if held:
-            seed = np.sort(np.concatenate(held))
-            start = np.flatnonzero(np.diff(seed >> 1, prepend=~(seed[:1] >> 1)))
-            some = start[(np.add.reduceat(seed & 1, start) > 0) & (np.diff(start, append=len(seed)) > 1)] if len(seed) else start
-            yield pa.RecordBatch.from_arrays([pa.array(seed[some] >> 1)], names=["key"])
+            yield coded(np.concatenate(held))
 
+    def coded(seed: np.ndarray) -> pa.RecordBatch:
+        bucket, low = located(seed, buckets)
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+        bucket, low = bucket[order], low[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        blocks = [x.tobytes() for x in np.split(low, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+    return run
+
+
+@lean
+def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket to the keys that a line owns and another key equals."""
+
+    def found(bucket: int, held: list[bytes]) -> pa.RecordBatch:
+        low = np.sort(np.frombuffer(b"".join(held), np.uint32))
+        start = np.flatnonzero(np.diff(low >> np.uint32(1), prepend=~(low[:1] >> np.uint32(1))))
+        some = start[(np.add.reduceat(low & np.uint32(1), start) > 0) & (np.diff(start, append=len(low)) > 1)]
+        return pa.RecordBatch.from_arrays([pa.array((low[some] >> np.uint32(1)).astype(np.int64) | np.int64(bucket) << KEY_BITS)], names=["key"])
+
+    at, held = -1, []
+    for batch in batches:
+        for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if bucket != at and held:
+                yield found(at, held)
+                held = []
+            at = bucket
+            held.append(block)
+    if held:
+        yield found(at, held)
+
+
+def lines_of_edits(distinct: DataFrame, edits: int, sent_keys: int = SENT_KEYS) -> DataFrame:
+    """The places of distinct lines (h1, h2, place, text; null texts have no part) with an earlier one within the bound."""
+    texts = distinct.where("text IS NOT NULL")
+    spark = distinct.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() * KEYS_A_LINE // BUCKET_KEYS)
+    blocks = texts.select("text").mapInArrow(key_blocks(edits, buckets), "bucket int, block binary")
+    shared = blocks.repartition(min(buckets, 1 << 16), "bucket").sortWithinPartitions("bucket").mapInArrow(shared_keys, "key long")
+    shared = shared_table(shared, "line-keys")
+    few = shared.count() <= sent_keys
+    known = spark.sparkContext.broadcast(np.sort(np.array(shared.toArrow().column(0), np.int64))) if few else None
+
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = batch.column(2)
-            for i, j in slices(flat_text(lines)[1]):
+            for i, j in slices(flat_text(lines)[1], rows=KEY_LINES):
                 at, seed = seeds(lines.slice(i, j - i).to_pylist(), edits)
+                bucket, low = located(seed, buckets)
+                key = (low >> np.uint32(1)).astype(np.int64) | bucket << KEY_BITS
+                if known is not None:
+                    place = np.searchsorted(known.value, key)
+                    there = np.flatnonzero(known.value[np.minimum(place, len(known.value) - 1)] == key) if len(known.value) else np.zeros(0, np.int64)
+                    at, key, low = at[there], key[there], low[there]
                 h1, h2 = (batch.column(k).slice(i, j - i).to_numpy()[at] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(seed >> 1), pa.array((seed & 1).astype(bool))], names=["h1", "h2", "key", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(key), pa.array((low & np.uint32(1)).astype(bool))], names=["h1", "h2", "key", "own"])
 
-    shared = texts.select("text").mapInArrow(keys, "seed long").repartition(F.shiftright("seed", 1)).mapInArrow(hot, "key long")
-    shared = broadcast_small(shared_table(shared, "line-seeds"))
-    held = texts.select("h1", "h2", "text").mapInArrow(rows, "h1 long, h2 long, key long, own boolean").join(shared, "key", "left_semi")
-    held = shared_table(held.distinct(), "seed-lines")
+    held = texts.select("h1", "h2", "text").mapInArrow(rows, "h1 long, h2 long, key long, own boolean")
+    if not few:
+        held = held.join(shared, "key", "left_semi")
+    held = shared_table(held.distinct(), "key-lines")
     own = held.where("own").select("key", F.struct("h1", "h2").alias("a"))
     pairs = own.join(held.select("key", F.struct("h1", "h2").alias("b")), "key").where("a != b")
-    pairs = shared_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "seed-pairs")
+    pairs = shared_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     ends = broadcast_small(shared_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().select("h.*"), "pair-lines"))
-    ends = shared_table(texts.select("h1", "h2", "first", "text").join(ends, ["h1", "h2"], "left_semi"), "pair-texts")
+    ends = shared_table(texts.join(ends, ["h1", "h2"], "left_semi").select("h1", "h2", F.struct(*PLACE).alias("first"), "text"), "pair-texts")
     a, b = (ends.select(F.struct("h1", "h2").alias(x), F.struct("first", "h1", "h2", "text").alias(f"line_{x}")) for x in ("a", "b"))
     n = F.least(F.length("line_a.text"), F.length("line_b.text"))
     bound = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(n / EDIT_CHARS)))
     near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a.text", "line_b.text", edits).between(0, bound))
-    return near.select(F.greatest("line_a", "line_b").alias("late")).select("late.h1", "late.h2").distinct()
-
-
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False, edits: int = 1) -> DataFrame:
-    """``doc_id, rk, lines``: the numbers (from 0) of removed lines, for documents that have any.
-
-    With ``short``, exact repeats of non-blank lines under ``min_chars`` are removed too.
-    """
-    long = F.length("text") >= min_chars
-    src = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text"))
-    split = src.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).where(long | F.col("text").rlike(NOT_BLANK) if short else long)
-    h1, h2 = hashes(F.col("text"))
-    place = F.struct("doc_id", "rk", "line")
-    if edits > 1:
-        grouped = split.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), F.when(long, F.col("text")).alias("text")).groupBy("h1", "h2")
-        distinct = shared_table(grouped.agg(F.min("place").alias("first"), F.min("text").alias("text"), F.count("*").alias("n")), "lines")
-        near = lines_of_edits(distinct, edits)
-    else:
-        grouped = split.select(h1.alias("h1"), h2.alias("h2"), place.alias("place"), F.when(long, half_keys(F.col("text"))).alias("halves")).groupBy("h1", "h2")
-        distinct = shared_table(grouped.agg(F.min("place").alias("first"), F.min("halves").alias("halves"), F.count("*").alias("n")), "lines")
-        near = near_lines(split, distinct)
-    near = near.withColumn("near", F.lit(True))
-    acted = distinct.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    seen = split.select("doc_id", "rk", "line", h1.alias("h1"), h2.alias("h2")).join(acted, ["h1", "h2"])
-    gone = seen.where(F.col("near") | (place != F.col("first")))
+    return near.select(F.greatest("line_a", "line_b").alias("late")).select("late.first.*").distinct()
+
+
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", edits: int = EDITS) -> DataFrame:
+    """``doc_id, rk, lines``: the numbers (from 0) of removed lines, for documents that have any."""
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = src.mapInArrow(occurrences(min_chars), LINE)
+    # rows that are decided need not meet the others of their line
+    rows = rows.repartition(F.when(F.col("again"), F.xxhash64("doc_id", "line")).otherwise(F.col("h1")))
+    lines = shared_table(rows.sortWithinPartitions("h1", "h2", *PLACE).mapInArrow(settled, LINE), "lines")
+    gone = lines.where("again").select(*PLACE).unionByName(lines_of_edits(lines.where("NOT again").drop("again"), edits))
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", short: bool = False, edits: int = 1) -> DataFrame:
-    """The rows of ``docs``, all columns, with ``kept_text``, ``n_lines`` and ``n_removed`` added."""
-    gone = removed_lines(docs, min_chars, text, key, short, edits).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("lines").alias("__lines"))
-    rows = docs.withColumn("__key", row_key(key, text))
-    rows = rows.join(gone, (F.col("__key") == F.col("__rk")) & F.col(key).eqNullSafe(F.col("__id")), "left")
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    return rows.select(
-        *[docs[c] for c in docs.columns],
-        F.when(F.col("__lines").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept).alias("kept_text"),
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", edits: int = EDITS) -> DataFrame:
+    """The rows of ``docs``, all columns, and ``kept_text``, ``n_lines`` and ``n_removed``, which take the place of columns of
+    these names."""
+    added = ("kept_text", "n_lines", "n_removed")
+    gone = removed_lines(docs, min_chars, text, key, edits)
+    mine = [c for c in docs.columns if c not in added]
+    src = docs.select(F.struct(*[docs[c] for c in mine]).alias("row"), F.coalesce(text, F.lit("")).alias("text"), row_key(key, text).alias("rk"), F.col(key).cast("long").alias("doc_id"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("rk").alias("gone_rk"), F.col("lines").alias("gone_lines"))
+    rows = src.join(gone, (F.col("rk") == F.col("gone_rk")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
+    rows = rows.select(
+        "row",
+        F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
+    return rows.select("row.*", *added)
 
 
 def line_digest(docs: DataFrame, **how) -> DataFrame:
@@ -223,30 +277,6 @@ def line_digest(docs: DataFrame, **how) -> DataFrame:
 
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, i - 1 AS line, ls[i] AS t FROM d, unnest(range(1, len(ls) + 1)) AS u(i) WHERE length(ls[i]) >= 16),
-f AS (SELECT t, length(t) AS n, min((doc_id, line)) AS first FROM l GROUP BY t),
-k AS (
-  SELECT t, n, first, s AS short, side, CASE WHEN side = 0 THEN left(t, s // 2) ELSE right(t, s - s // 2) END AS half
-  FROM f, unnest([n, n - 1]) AS a(s), unnest([0, 1]) AS b(side)
-),
-near AS (
-  SELECT DISTINCT x.t FROM k x JOIN k y ON x.short = y.short AND x.side = y.side AND x.half = y.half AND x.t <> y.t
-  WHERE y.first < x.first AND levenshtein(x.t, y.t) <= 1
-),
-gone AS (
-  SELECT l.doc_id, l.line FROM l JOIN f USING (t) LEFT JOIN near USING (t) WHERE near.t IS NOT NULL OR (l.doc_id, l.line) <> f.first
-),
-g AS (SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id),
-k2 AS (
-  SELECT doc_id, len(ls) AS n_lines, coalesce(len(lines), 0) AS n_removed,
-    array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(coalesce(lines, []), i - 1)], chr(10)) AS kept
-  FROM d LEFT JOIN g USING (doc_id)
-)
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM k2
-"""
-
-WHOLE_SQL = """
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (
   SELECT doc_id, i - 1 AS line, ls[i] AS t FROM d, unnest(range(1, len(ls) + 1)) AS u(i)
   WHERE length(ls[i]) >= 16 OR regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]')

@@ -44,17 +44,13 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_digest(table(spark, sf_dir, "documents"))
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
-def op8_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_digest(table(spark, sf_dir, "documents"), **line_dedup.WHOLE)
-
-
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.with_probe(table(spark, sf_dir, "conversations")))
 
@@ -64,9 +60,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_classifier, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_exact_top_k, op6_simhash_dedup, op7_substring_dedup, op8_line_dedup, op8_line_dedup_whole, op9_chat_format, op10_source_mix)
+    found = (op1_quality_classifier, op2_sentence_pieces, op3_token_counts, op4_quality_rules, op5_exact_top_k, op6_simhash_dedup, op7_substring_dedup, op8_line_dedup, op9_chat_format, op10_source_mix)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op5_exact_top_k": top_k.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op8_line_dedup_whole": line_dedup.WHOLE_SQL, "op9_chat_format": chat_format.ORACLE_SQL}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op5_exact_top_k": top_k.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op9_chat_format": chat_format.ORACLE_SQL}

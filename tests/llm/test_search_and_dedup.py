@@ -1,5 +1,6 @@
 """Top-k search, near-duplicates, substrings, lines, mixing and the pipeline, against brute force."""
 
+import ast
 import collections
 import hashlib
 import re
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from fixtures import documents, prose, texts
+from pyspark.sql import functions as F
 
 from glyphmax.llm import line_dedup, simhash_dedup, source_mix, substring_dedup, top_k
 from glyphmax.llm.components import connected_components
@@ -24,16 +26,16 @@ def test_top_k_equals_sql_and_ties(spark, sf, blocks):
 
 def test_top_k_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [1.0, float(i % 3)]) for i in range(1, 9)] + [(50, [1.0, 1.0]), (100, [1.0]), (20, None), (21, [None, 1.0]), (22, [nan, 1.0]), (23, [inf, 0.0]), (None, [9.0, 9.0]), (7, [1.0, 1.0])]
+    rows = [(i, [1.0, float(i % 3)]) for i in range(1, 9)] + [(50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [1.0, -2.0]), (100, [1.0]), (20, None), (21, [None, 1.0]), (22, [nan, 1.0]), (23, [inf, 0.0]), (None, [9.0, 9.0]), (7, [1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, score int")
-    got = {}
-    for r in top_k.exact_top_k(df).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    got = sorted(map(tuple, top_k.exact_top_k(df).collect()))
     ok = [(i, np.floor(256 * np.array((v + [0.0])[:2]))) for i, v in rows if i is not None and i not in (20, 21, 22, 23)]
-    for q in (50, 100):
-        w = dict(ok)[q]
-        best = sorted(((-int(w @ v), i) for i, v in ok if i != q))[:5]
-        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    want = []
+    for n, (q, w) in enumerate(ok):  # every row of a repeated query is one, and no candidate of itself only
+        if q % 50 == 0:
+            best = sorted(((-int(w @ v), i) for m, (i, v) in enumerate(ok) if m != n))[:5]
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    assert got == sorted(want) and len(got) == 20
     assert top_k.exact_top_k(df.limit(0)).count() == 0
 
 
@@ -110,12 +112,15 @@ def test_substrings_equal_brute_force(spark, how):
     r = __import__("random").Random(9)
     core = prose(r, 120)
     rows = texts() + [(200 + k, prose(r, r.randint(0, 30)) + core[r.randint(0, 200) : r.randint(450, len(core))] + prose(r, r.randint(0, 20))) for k in range(40)]
-    got = substring_dedup.substring_digest(documents(spark, rows), **how).collect()
-    assert sorted(str(tuple(x)) for x in got) == slow_cut(rows)
+    got = substring_dedup.deduplicated(documents(spark, rows), **how).collect()
+    assert sorted(str(tuple(x)[:5]) for x in got) == slow_cut(rows)
+    for x in got:
+        assert x["kept_bytes"] == x["n_bytes"] - x["n_removed"] and sum(s["length"] for s in x["removed"]) == x["n_removed"] and len(x["removed"]) == x["n_spans"]
+        assert "\ufffd" in x["kept_text"] or hashlib.sha256(x["kept_text"].encode()).hexdigest() == x["kept_sha256"]
 
 
 def test_substrings_of_an_empty_table(spark):
-    assert substring_dedup.substring_digest(documents(spark, [])).count() == 0
+    assert substring_dedup.deduplicated(documents(spark, [])).count() == 0
 
 
 def test_merge_of_front_coded_runs():
@@ -151,47 +156,72 @@ def test_settling_by_depth_equals_pairs(monkeypatch):
     assert (found[0] == want).all() and (found[1] == want).all()
 
 
-def one_edit(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b)) <= 1
-    a, b = sorted((a, b), key=len)
-    return any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+def distance(a, b, most):
+    """Edit distance, or more than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = {j: j for j in range(most + 1)}
+    for i in range(1, len(a) + 1):
+        row = {j: i if not j else min(row.get(j, most + 1) + 1, row.get(j - 1, most + 1) + (a[i - 1] != b[j - 1])) for j in range(max(0, i - most), min(len(b), i + most) + 1)}
+        for j in sorted(row):
+            row[j] = min(row[j], row.get(j - 1, most + 1) + 1)
+    return row[len(b)]
 
 
-def test_lines_equal_brute_force(spark):
-    r = __import__("random").Random(8)
-    long = prose(r, 9)
-    rows = [x for x in texts() if x[0] not in (54, 55, 56, 60)]
-    rows += [(300, long), (301, long[:-1]), (302, long[1:]), (303, long[:9] + "#" + long[10:]), (304, long[:9] + "##" + long[10:]), (305, "short\nshort"), (306, long + "\nnew line of some length\n" + long)]
-    # each distinct document once, in order of id (null first) and content
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
-    earlier, want = [], []
-    for i, t in order:
-        kept = []
-        lines = (t or "").split("\n")
+def slow_lines(rows, edits=3):
+    """(doc_id, kept text, lines, removed lines) of documents in order of id (null first), each one once."""
+    earlier, seen, out = [], set(), []
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines, kept = (t or "").split("\n"), []
         for x in lines:
-            if len(x) >= 16 and any(one_edit(x, y) for y in earlier):
-                earlier.append(x)
+            if len(x) < 16 and not re.search(r"[^\x20\x09-\x0D]", x):
+                kept.append(x)
                 continue
-            if len(x) >= 16:
+            bound = lambda y: max(1, min(edits, min(len(x), len(y)) // 16))
+            if x not in seen and not (len(x) >= 16 and any(distance(x, y, bound(y)) <= bound(y) for y in earlier if len(y) >= 16)):
+                kept.append(x)
+            if x not in seen:
                 earlier.append(x)
-            kept.append(x)
-        want.append(str((i, "\n".join(kept), len(lines), len(lines) - len(kept))))
-    got = line_dedup.deduplicated(documents(spark, rows)).select("doc_id", "kept_text", "n_lines", "n_removed").collect()
-    assert sorted(str(tuple(x)) for x in got) == sorted(want)
+            seen.add(x)
+        out.append(str((i, "\n".join(kept), len(lines), len(lines) - len(kept))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("edits", [1, 3])
+def test_lines_equal_brute_force(spark, edits):
+    r = __import__("random").Random(8)
+    long = prose(r, 9)
+    rows = [x for n, x in enumerate(texts()) if x[0] != 60 or n % 2]  # 60 is there twice
+    rows += [(300, long), (301, long[:-1]), (302, long[1:]), (303, long[:9] + "#" + long[10:]), (304, long[:9] + "##" + long[10:]), (305, "short\nshort"), (306, long + "\nnew line of some length\n" + long)]
+    rows += [(307, " " * 20 + "\n  \n  \n" + " " * 20), (308, "é漢🙂 " * 5 + "\n" + "é漢🙂 " * 4 + "é漢🙂"), (309, "é漢🙂" * 5), (310, "é漢🙂" * 5 + "x"), (311, "x" * 4999 + "y"), (312, "x" * 4996)]
+    got = line_dedup.deduplicated(documents(spark, rows), edits=edits).select("doc_id", "kept_text", "n_lines", "n_removed").collect()
+    assert sorted(str(tuple(x)) for x in got) == slow_lines(rows, edits)
     assert line_dedup.line_digest(documents(spark, [])).count() == 0
 
 
-def test_whole_lines_equal_sql_and_short_repeats_go(spark, sf):
+def test_lines_equal_sql_and_short_repeats_go(spark, sf, monkeypatch):
     from comparing import same_rows
 
     rows = [(1, "Les.\n\n \nLes."), (2, "Les.\nLet.\n "), (3, "Les.")]
-    got = line_dedup.deduplicated(documents(spark, rows), **line_dedup.WHOLE).select("doc_id", "kept_text").collect()
+    got = line_dedup.deduplicated(documents(spark, rows)).select("doc_id", "kept_text").collect()
     assert sorted(map(tuple, got)) == [(1, "Les.\n\n "), (2, "Let.\n "), (3, "")]
     duckdb.sql(f"create or replace view documents as select * from '{sf}/documents.parquet'")
-    same_rows(line_dedup.line_digest(spark.read.parquet(f"{sf}/documents.parquet"), **line_dedup.WHOLE).toPandas(), duckdb.sql(line_dedup.WHOLE_SQL).df())
+    want = duckdb.sql(line_dedup.ORACLE_SQL).df()
+    same_rows(line_dedup.line_digest(spark.read.parquet(f"{sf}/documents.parquet")).toPandas(), want)
+    for name, value in (("SENT_KEYS", 0), ("SEEN_LINES", 3), ("BUCKET_KEYS", 1000)):  # joined keys, forgetful scans, many buckets
+        monkeypatch.setattr(line_dedup, name, value)
+    monkeypatch.setattr(line_dedup.lines_of_edits, "__defaults__", (0,))
+    same_rows(line_dedup.line_digest(spark.read.parquet(f"{sf}/documents.parquet").repartition(5)).toPandas(), want)
+
+
+def test_columns_of_clashing_names(spark):
+    odd = documents(spark, [(1, "a line of more than sixteen\na line of more than sixteen"), (2, None)]).withColumnsRenamed({"source": "n_removed", "lang": "gone_lines", "lines": "row"})
+    odd = odd.withColumn("kept_text", F.lit(1)).withColumn("__rk", F.lit(2)).withColumn("__key", F.lit(2)).withColumn("text2", F.col("text"))
+    out = line_dedup.deduplicated(odd)
+    assert len(set(out.columns)) == len(out.columns) and {(r["doc_id"], r["kept_text"], r["n_removed"], r["gone_lines"]) for r in out.collect()} == {(1, "a line of more than sixteen", 1, "en"), (2, "", 0, "en")}
+    assert simhash_dedup.one_of_each(odd).columns == odd.columns
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert source_mix.mixed(odd, labels).columns == odd.columns
 
 
 @pytest.mark.parametrize("edits", [2, 3])
@@ -209,22 +239,14 @@ def test_lines_within_a_bound_equal_brute_force(spark, edits):
     lines += ["ab" * 20, "ab" * 21, "ba" * 20, "x" * 60, "x" * 63, "x" * 64, "y" * 16, "y" * 15, "y" * 17]
     r.shuffle(lines)
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
     def gone(i):
         return len(lines[i]) >= 16 and any(
-            x == lines[i] or len(x) >= 16 and distance(x, lines[i]) <= max(1, min(edits, min(len(x), len(lines[i])) // 16)) for x in lines[:i]
+            x == lines[i] or len(x) >= 16 and distance(x, lines[i], m := max(1, min(edits, min(len(x), len(lines[i])) // 16))) <= m for x in lines[:i]
         )
 
     want = [int(gone(i) or lines[i] in lines[:i]) for i in range(len(lines))]
     assert 20 < sum(want) < 100
-    got = line_dedup.deduplicated(documents(spark, list(enumerate(lines))), short=True, edits=edits).collect()
+    got = line_dedup.deduplicated(documents(spark, list(enumerate(lines))), edits=edits).collect()
     assert [x["n_removed"] for x in sorted(got, key=lambda x: x["doc_id"])] == want
 
 
@@ -233,13 +255,6 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.line_digest(documents(spark, rows)).collect()) == [(1, 0), (1, 0), (2, 1)]
 
 
-def test_lines_equal_sql(spark, sf):
-    from comparing import same_rows
-
-    duckdb.sql(f"create or replace view documents as select * from '{sf}/documents.parquet'")
-    same_rows(line_dedup.line_digest(spark.read.parquet(f"{sf}/documents.parquet")).toPandas(), duckdb.sql(line_dedup.ORACLE_SQL).df())
-
-
 def test_rates_equal_a_driver_side_descent(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = source_mix.mix_rates(docs, labels).toPandas()
@@ -307,9 +322,9 @@ def test_pipeline_stages(spark, sf):
         if name == "quality classifier":
             assert 0.5 * before < len(out) < before
         if name == "line dedup":
-            assert len(out) == docs.count() and (out["n_chars"] == out["text"].str.len()).all()
-            lines = [x for t in out["text"] for x in t.split("\n") if len(x) >= 16]
-            assert len(lines) == len(set(lines))
+            assert (out["n_chars"] == out["text"].str.len()).all()
+            rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+            assert sorted(map(str, zip(out["doc_id"], out["text"]))) == sorted(str(tuple(ast.literal_eval(x)[:2])) for x in slow_lines(rows))
         if name == "near-duplicates":
             fp = np.array([slow_fingerprint(t) for t in out["text"]], np.uint64)
             all_fp = np.array([slow_fingerprint(r["text"]) for r in docs.collect()], np.uint64)
