@@ -11,6 +11,7 @@ repeated rows each get a row; an empty table gives an empty result; further colu
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import flat_text, lean, slices
+from glyphmax.llm.common import SLICE_BYTES, flat_text, lean, slices
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 #: Documents on which rules are measured.
@@ -31,6 +32,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
@@ -56,13 +58,24 @@ class Counted:
         return self.data[self.ends[i] : self.ends[i + 1]]
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words in windows of five that are found at least twice."""
-    n = len(words) - WINDOW + 1
+def word_numbers(raw: bytes) -> np.ndarray:
+    """A number for each word, the same for equal ones; words are split a stretch at a time."""
+    seen: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(raw):
+        found = WHITE.search(raw, at + SLICE_BYTES) if at + SLICE_BYTES < len(raw) else None
+        to = found.start() if found else len(raw)
+        words = raw[at:to].split()
+        parts.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)))
+        at = to
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def repeated_words(ids: np.ndarray) -> int:
+    """Words (by number) in windows of five that are found at least twice."""
+    n = len(ids) - WINDOW + 1
     if n < 2:
         return 0
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
 
     def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
@@ -75,7 +88,7 @@ def repeated_words(words: list[bytes]) -> int:
         return 0
     five = joined(four[:n], ids[4:])
     often = np.flatnonzero(np.bincount(five)[five] > 1)
-    cover = np.zeros(len(words) + 1, np.int64)
+    cover = np.zeros(len(ids) + 1, np.int64)
     np.add.at(cover, often, 1)
     np.add.at(cover, often + WINDOW, -1)
     return int(np.count_nonzero(np.cumsum(cover)))
@@ -92,7 +105,7 @@ def count(data: np.ndarray, ends: np.ndarray) -> Counted:
         raw = data[a:b].tobytes()
         lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
         n_lines[i], dups[i] = len(lines), len(lines) - len(set(lines))
-        repeats[i] = repeated_words(raw.split())
+        repeats[i] = repeated_words(word_numbers(raw))
     return Counted(data, ends, per_row(start, ends), per_row(~space & LEAD[data], ends), per_row(SYMBOL[data], ends), n_lines, dups, repeats)
 
 
@@ -143,8 +156,8 @@ def cascade(c: Counted, order: list[str]) -> np.ndarray:
     return kept
 
 
-def best_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rules by rejection per cost on up to ``sample_rows`` documents; rules that reject none come last, cheapest first."""
+def best_order(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rules by rejection per cost on about ``sample_rows`` documents; rules that reject none come last, cheapest first."""
 
     @lean
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +174,9 @@ def best_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_RO
                     seconds[name] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array(list(RULES)), pa.array([seconds[k] for k in RULES]), pa.array([rejected[k] for k in RULES]), pa.array([n] * len(RULES))], names=["rule", "seconds", "rejected", "n"])
 
-    some = docs.select(text).limit(sample_rows).mapInArrow(measure, "rule string, seconds double, rejected long, n long")
+    # a sample by hash of the row, so that it is the same however rows lie; what is drawn is about sample_rows of all
+    share = max(1, docs.count() // sample_rows)
+    some = docs.select(text).where(F.pmod(F.xxhash64(F.lit(3), key, text), F.lit(share)) == 0).mapInArrow(measure, "rule string, seconds double, rejected long, n long")
     found = some.groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r")).collect()
     gain = {x["rule"]: (-x["r"] / max(x["s"], 1e-9), x["s"]) for x in found}
     return sorted(RULES, key=lambda name: gain.get(name, (0.0, 0.0)))
@@ -169,7 +184,7 @@ def best_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_RO
 
 def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", order: list[str] | None = None) -> DataFrame:
     """Counters, ``base_failed`` and ``kept`` for every row of ``docs``."""
-    order = order or best_order(docs, text)
+    order = order or best_order(docs, text, key)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
