@@ -72,9 +72,9 @@ def maxsim_int8_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(top_sql("h", "rh"))
 def maxsim_hamming_topk(spark: SparkSession, d: str) -> DataFrame:
-    p = patches(spark, d)
-    q = query_tokens(p).withColumn("v", F.transform(vec.signs(F.col("v")), lambda x: x / DIM))
-    return similarity.ranked(similarity.maxsim(similarity.page_rows(coded(p, "binary")), q), 10)
+    codes = codecs.compressed(patches(spark, d), "binary", DIM).select("page_id", "tok", similarity.byte_array(F.col("code"), DIM).alias("v"))
+    asked = query_tokens(codes)
+    return similarity.ranked(similarity.hamming(similarity.page_rows(codes), asked, DIM), 10)
 
 
 @registered(SCORES_SQL + """, c AS (SELECT * FROM run WHERE rs <= 20), o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY f DESC, page_id) AS n FROM c)
@@ -143,12 +143,12 @@ SELECT {', '.join(parts)}, round(avg(CASE WHEN first <= 10 THEN 1 / first ELSE 0
 
 @registered(metrics_sql("rf"))
 def ndcg_recall_mrr_hit(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.evaluate(run_of(spark, d), judgements(patches(spark, d)))
+    return metrics.evaluate(run_of(spark, d, k=10), judgements(patches(spark, d)))
 
 
 @registered(metrics_sql("rs"))
 def ndcg_recall_mrr_hit_sign(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.evaluate(run_of(spark, d, "binary"), judgements(patches(spark, d)))
+    return metrics.evaluate(run_of(spark, d, "binary", 10), judgements(patches(spark, d)))
 
 
 TOP_SQL = SCORES_SQL + """, a AS (SELECT qid, page_id, rf AS ra FROM run WHERE rf <= 10), b AS (SELECT qid, page_id, rs AS rb FROM run WHERE rs <= 10)"""
@@ -186,13 +186,48 @@ def rbo(spark: SparkSession, d: str) -> DataFrame:
 SELECT round(avg(CASE WHEN a = b THEN 1 ELSE 0 END), 6) AS top1, round(avg(n / 5), 6) AS overlap,
   round(avg(CASE WHEN a = b THEN 1 ELSE 0 END) FILTER (WHERE EXISTS (SELECT 1 FROM qrels j WHERE j.qid = x.qid AND j.page_id = x.a)), 6) AS gold_kept FROM x""")
 def overlap_top1(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.agreement(run_of(spark, d), run_of(spark, d, "binary"), judgements(patches(spark, d)))
+    return metrics.agreement(run_of(spark, d, k=5), run_of(spark, d, "binary", 5), judgements(patches(spark, d)))
 
 
-@registered()
+def ndcg_sql(name: str, rank: str) -> str:
+    """Tables ``name`` (qid, x): nDCG@5 of a run."""
+    ideal = " + ".join(f"CASE WHEN n_rel >= {i} THEN 1 / log2({i + 1}) ELSE 0 END" for i in range(1, 6))
+    return f"""{name} AS (SELECT n.qid, coalesce(g, 0) / ({ideal}) AS x FROM (SELECT qid, count(*) AS n_rel FROM qrels GROUP BY qid) n
+  LEFT JOIN (SELECT qid, sum(CASE WHEN {rank} <= 5 THEN 1 / log2({rank} + 1) ELSE 0 END) AS g FROM run JOIN qrels USING (qid, page_id) GROUP BY qid) h USING (qid))"""
+
+
+BOOT_SQL = SCORES_SQL + ", " + ndcg_sql("na", "rf") + ", " + ndcg_sql("nb", "rs") + """,
+dd AS (SELECT row_number() OVER (ORDER BY qid) AS i, nb.x - na.x AS d FROM na JOIN nb USING (qid)),
+dr AS (SELECT r, CAST(('0x' || left(md5('7:' || r || ':' || i), 8)) AS BIGINT) % (SELECT count(*) FROM dd) + 1 AS i FROM dd, unnest(range(1, 2001)) AS t(r)),
+mm AS (SELECT r, round(avg(d), 9) AS m FROM dr JOIN dd USING (i) GROUP BY r)
+SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m > 0 THEN 1 ELSE 0 END), 6) AS above_zero FROM mm"""
+
+
+@registered(BOOT_SQL)
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     q = judgements(patches(spark, d))
-    return metrics.bootstrap(metrics.per_query(run_of(spark, d), q), metrics.per_query(run_of(spark, d, "binary"), q), "ndcg_5")
+    return metrics.bootstrap(metrics.per_query(run_of(spark, d, k=10), q), metrics.per_query(run_of(spark, d, "binary", 10), q), "ndcg_5")
+
+
+@registered(SCORES_SQL + """, f AS (SELECT qid, min(rs) AS first FROM run JOIN qrels USING (qid, page_id) WHERE rs <= 5 GROUP BY qid)
+SELECT q.qid, round(coalesce(1 / log2(first + 1), 0), 6) AS gain FROM (SELECT DISTINCT qid FROM qrels) q LEFT JOIN f USING (qid)""")
+def first_hit_gain(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.first_hit_gain(run_of(spark, d, "binary", 5), judgements(patches(spark, d)))
+
+
+CHANCE_SQL = """WITH c AS (SELECT n, r, i, row_number() OVER (PARTITION BY n, r ORDER BY md5('0:' || n || ':' || r || ':' || i), i) AS o
+  FROM (SELECT unnest([20, 60]) AS n), unnest(range(1, 51)) AS a(r), unnest(range(1, n + 1)) AS b(i)),
+p AS (SELECT x.n, x.r, x.i, count(*) FILTER (WHERE y.o < x.o) AS k FROM c x JOIN c y ON x.n = y.n AND x.r = y.r AND y.i < x.i GROUP BY 1, 2, 3),
+t AS (SELECT n, r, 4 * sum(k) / (n * (n - 1)) - 1 AS tau, 2 * avg(k / (i - 1)) - 1 AS tau_ap FROM p GROUP BY 1, 2),
+b AS (SELECT n, r, d, count(*) FILTER (WHERE greatest(i, o) <= d) AS k FROM c, unnest(range(1, n + 1)) AS t(d) GROUP BY 1, 2, 3),
+z AS (SELECT n, r, sum(0.1 * pow(0.9, d - 1) * k / d) + pow(0.9, n) AS rbo FROM b GROUP BY 1, 2),
+o AS (SELECT n, r, count(*) FILTER (WHERE i <= 5 AND o <= 5) / 5 AS overlap FROM c GROUP BY 1, 2)
+SELECT n AS size, round(avg(round(tau, 6)), 4) AS tau, round(avg(round(rbo, 6)), 4) AS rbo, round(avg(round(tau_ap, 6)), 4) AS tau_ap, round(avg(overlap), 4) AS overlap FROM t JOIN z USING (n, r) JOIN o USING (n, r) GROUP BY n"""
+
+
+@registered(CHANCE_SQL)
+def chance_levels(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.chance_levels(spark, (20, 60), 50)
 
 
 def patch_saliency(spark: SparkSession, d: str) -> DataFrame:
@@ -223,8 +258,12 @@ cell AS (SELECT page_id, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round
 """
 
 
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+
+
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    return grid.page_saliency(table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
+    return grid.page_saliency(page_texts(spark, d))
 
 
 @registered(CELLS_SQL + "SELECT page_id, r, c, saliency FROM cell")
@@ -239,13 +278,13 @@ k AS (SELECT *, least(16, count(*) OVER (PARTITION BY page_id)) - count(*) FILTE
   row_number() OVER (PARTITION BY page_id, m1 ORDER BY saliency DESC, r, c) AS turn FROM g)
 SELECT page_id, r, c, saliency, m1 OR turn <= missing AS keep FROM k""")
 def keep_mask_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return grid.keep_mask(cells(spark, d), blank_threshold=0.5)
+    return grid.page_masks(page_texts(spark, d), blank_threshold=0.5)
 
 
 @registered(CELLS_SQL + """, k AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY saliency DESC, r, c) AS o FROM cell)
 SELECT page_id, r, c, saliency, o <= greatest(greatest(1, least(n, round_even(n * 0.3, 0))), least(16, n)) AS keep FROM k""")
 def keep_mask_budget(spark: SparkSession, d: str) -> DataFrame:
-    return grid.keep_mask(cells(spark, d), keep_ratio=0.3)
+    return grid.page_masks(page_texts(spark, d), keep_ratio=0.3)
 
 
 @registered(CELLS_SQL + "SELECT page_id, floor(sum(CAST(round(saliency * 1e6) AS BIGINT)) / count(*)) / 1e6 AS mean_saliency, floor(sum(CAST(round(saliency * 1e6) AS BIGINT)) / count(*)) / 1e6 < 0.004 AS blank FROM cell GROUP BY page_id")
@@ -319,10 +358,17 @@ def winner_coverage(spark: SparkSession, d: str) -> DataFrame:
     return prune.winner_coverage(prune.winners(p, query_tokens(p)))
 
 
-@registered()
+def farthest_sql(k: int) -> str:
+    parts = ["u AS (SELECT page_id, tok, [x / greatest(sqrt(list_dot_product(v, v)), 1e-12) FOR x IN v] AS u FROM patch)", "k0 AS (SELECT u FROM u ORDER BY page_id, tok LIMIT 1)", "d0 AS (SELECT u.*, list_dot_product(u.u, k0.u) AS best FROM u, k0)"]
+    for i in range(1, k):
+        parts += [f"k{i} AS (SELECT u FROM d{i - 1} ORDER BY round(best, 9), page_id, tok LIMIT 1)", f"d{i} AS (SELECT page_id, tok, d.u, greatest(best, list_dot_product(d.u, k{i}.u)) AS best FROM d{i - 1} d, k{i})"]
+    return SQL + ", " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {i} AS probe, round(u[1], 6) AS first, round(u[64], 6) AS last FROM k{i}" for i in range(k))
+
+
+@registered(farthest_sql(8))
 def farthest_probes(spark: SparkSession, d: str) -> DataFrame:
-    book = prune.fit_codebook(patches(spark, d), 8)
-    return spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(book)], "probe int, v array<double>")
+    book = prune.farthest_first(patches(spark, d), 8)
+    return spark.createDataFrame([(i, round(float(p[0]), 6), round(float(p[-1]), 6)) for i, p in enumerate(book)], "probe int, first double, last double")
 
 
 ASSIGN_SQL = SQL + """, sm AS (SELECT page_id, tok, probe, round(list_dot_product(p.v, c.v), 9) AS sim FROM patch p, probe c),
@@ -342,7 +388,7 @@ b AS (SELECT avg(abs(r)) AS beta FROM (SELECT unnest(rest) AS r FROM x))
 SELECT page_id, tok, probe, CAST(len([r FOR r IN rest IF r > 0]) AS INTEGER) AS n_up, round(beta, 6) AS beta FROM x, b""")
 def residual_code(spark: SparkSession, d: str) -> DataFrame:
     p, c = patches(spark, d), probes(patches(spark, d))
-    r = codecs.residual_codes(p, prune.assigned(p, c), c)
+    r = codecs.residual_codes(prune.assigned(p, c), c)
     return r.select("page_id", "tok", "probe", F.size(F.filter("bits", lambda x: x)).alias("n_up"), F.round("beta", 6).alias("beta"))
 
 
@@ -364,7 +410,7 @@ def sign_entropy(spark: SparkSession, d: str) -> DataFrame:
 @registered(SQL + """, c AS (SELECT i, j, avg(v[i] * v[j]) - avg(v[i]) * avg(v[j]) AS c FROM patch, unnest(range(1, 65)) AS a(i), unnest(range(1, 65)) AS b(j) GROUP BY 1, 2)
 SELECT round(pow(sum(c) FILTER (WHERE i = j), 2) / sum(c * c), 4) AS participation_ratio FROM c""")
 def participation_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.participation_ratio(patches(spark, d))
+    return geometry.participation_ratio(patches(spark, d), DIM).select("participation_ratio")
 
 
 @registered(SQL + """, u AS (SELECT label, [x / greatest(sqrt(list_dot_product(v, v)), 1e-12) FOR x IN v] AS u FROM patch),
@@ -379,19 +425,19 @@ FLIP_SQL = SCORES_SQL + """, b AS (SELECT qid, qtok, page_id, max(tok) FILTER (W
 """
 
 
-def all_sims(spark: SparkSession, d: str) -> DataFrame:
+def matches(spark: SparkSession, d: str) -> DataFrame:
     p = patches(spark, d)
-    return similarity.similarities(p, query_tokens(p))
+    return similarity.token_matches(p, query_tokens(p))
 
 
 @registered(FLIP_SQL + "SELECT count(*) AS n, round(avg(CASE WHEN bf <> bs THEN 1 ELSE 0 END), 6) AS flip_rate FROM b")
 def argmax_flips(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.argmax_flips(all_sims(spark, d))
+    return geometry.argmax_flips(matches(spark, d))
 
 
 @registered(FLIP_SQL + "SELECT round(avg(CASE WHEN bf >= 8 THEN 1 ELSE 0 END), 6) AS float_share, round(avg(CASE WHEN bs >= 8 THEN 1 ELSE 0 END), 6) AS sign_share FROM b")
 def distractor_promotion(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.distractor_promotion(all_sims(spark, d), patches(spark, d).select("page_id", "tok", F.col("is_text").alias("marked")))
+    return geometry.distractor_promotion(matches(spark, d))
 
 
 @registered(SCORES_SQL + """, g AS (SELECT qid, regr_slope(s, f) AS slope, regr_intercept(s, f) AS intercept, stddev_pop(s) * sqrt(greatest(0, 1 - regr_r2(s, f))) AS noise, stddev_pop(f) AS sd FROM score GROUP BY qid)
@@ -401,10 +447,33 @@ def regression_snr(spark: SparkSession, d: str) -> DataFrame:
     return geometry.score_noise(f.withColumnRenamed("score", "f").join(s, ["qid", "page_id"]))
 
 
-@registered(SCORES_SQL + """, m AS (SELECT qid, qtok, page_id, max(f) AS m FROM sim GROUP BY 1, 2, 3), n AS (SELECT qid, qtok, page_id, any_value(m) AS m, count(*) FILTER (WHERE round(f, 9) >= round(m - 0.05, 9)) AS n FROM sim JOIN m USING (qid, qtok, page_id) GROUP BY 1, 2, 3)
-SELECT qid, qtok, round(min(m), 6) AS floor, round(avg(m), 6) AS mean_best, round(avg(n), 6) AS near_best FROM n GROUP BY 1, 2""")
+@registered(SCORES_SQL + """, m AS (SELECT qid, qtok, page_id, max(f) AS m, arg_min(tok, (-round(f, 9), tok)) >= 8 AS text FROM sim GROUP BY 1, 2, 3),
+n AS (SELECT qid, qtok, page_id, any_value(m) AS m, any_value(text) AS text, count(*) FILTER (WHERE round(f, 9) >= round(m - 0.05, 9)) AS n FROM sim JOIN m USING (qid, qtok, page_id) GROUP BY 1, 2, 3)
+SELECT qid, qtok, round(min(m), 6) AS floor, round(avg(m), 6) AS mean_best, round(avg(n), 6) AS near_best, round(sum(CASE WHEN text THEN m ELSE 0 END) / sum(m), 6) AS text_share FROM n GROUP BY 1, 2""")
 def score_floor(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.score_floor(all_sims(spark, d))
+    return geometry.score_floor(matches(spark, d))
+
+
+@registered(FLIP_SQL + """, k AS (SELECT b.qid, b.qtok, b.page_id, bf, f, CASE WHEN bf >= 8 THEN 'marker' ELSE 'grid' END AS kind FROM b JOIN sim ON sim.qid = b.qid AND sim.qtok = b.qtok AND sim.page_id = b.page_id AND sim.tok = b.bf),
+g AS (SELECT kind, count(*) AS wins, sum(f) AS score FROM k GROUP BY kind)
+SELECT kind, wins, round(wins / sum(wins) OVER (), 6) AS win_share, round(score / sum(score) OVER (), 6) AS score_share FROM g""")
+def winner_shares(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.winner_shares(matches(spark, d), tokens.token_kinds(patches(spark, d)))
+
+
+@registered(FLIP_SQL + """SELECT b.qtok, round(avg(CASE WHEN bf >= 8 THEN 1 ELSE 0 END), 6) AS text_share, round(avg(f), 6) AS mean_best
+FROM b JOIN sim ON sim.qid = b.qid AND sim.qtok = b.qtok AND sim.page_id = b.page_id AND sim.tok = b.bf GROUP BY b.qtok""")
+def winners_by_position(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.winners_by_position(matches(spark, d))
+
+
+@registered(TOP_SQL + """, g AS (SELECT qid, abs(regr_slope(s, f)) * stddev_pop(f) / (stddev_pop(s) * sqrt(greatest(0, 1 - regr_r2(s, f)))) AS snr FROM score GROUP BY qid),
+u AS (SELECT * FROM a JOIN b USING (qid, page_id)),
+w AS (SELECT x.qid, avg(sign((x.ra - y.ra) * (x.rb - y.rb))) AS s FROM u x JOIN u y ON x.qid = y.qid AND x.page_id < y.page_id GROUP BY x.qid),
+t AS (SELECT q.qid, round(coalesce(s, 1.0), 6) AS tau FROM (SELECT DISTINCT qid FROM a) q LEFT JOIN w USING (qid))
+SELECT count(*) AS n, round(corr(ln(round(snr, 3)), tau), 4) AS r FROM g JOIN t USING (qid) WHERE round(snr, 3) > 0""")
+def snr_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.snr_correlation(regression_snr(spark, d), tau_shared(spark, d))
 
 
 @registered("""WITH p AS (SELECT label, vec_id, vec_id - row_number() OVER (PARTITION BY label ORDER BY vec_id) AS island FROM embeddings)
@@ -515,3 +584,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Sign-code MaxSim of every query and page, top five, and nDCG@5 per query."""
     run = run_of(spark, d, "binary", 5)
     return run.join(metrics.per_query(run, judgements(patches(spark, d)), (5,)).select("qid", F.round("ndcg_5", 6).alias("ndcg_5")), "qid", "left")
+
+
+from glyphmax import catalog_more  # noqa: E402, F401  (registers its queries)

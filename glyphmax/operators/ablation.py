@@ -45,20 +45,33 @@ def codebook_sweep(ratios: tuple[float, ...] = (0.5, 0.3, 0.1), sources: tuple[s
     return [Variant(f"probe-{s}-{round(100 * r)}pct", {"keep_ratio": r, "min_keep": 1, "redundancy_threshold": 0.3}, "binary", saliency=s) for r in ratios for s in sources]
 
 
-def variant_vectors(patches: DataFrame, variant: Variant, saliency: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors a variant keeps, and the same decoded from their codes."""
+def codebook_saliencies(patches: DataFrame, sources: tuple[str, ...], size: int, seed: int = 7) -> dict[str, DataFrame]:
+    """A saliency table for each source of codebooks, for the variants that name it."""
+    out = {}
+    for source in sources:
+        book = prune.fit_codebook(patches, size, source, seed)
+        out[source] = prune.probe_saliency(patches, patches.sparkSession.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(book)], "probe int, v array<double>"))
+    return out
+
+
+def variant_vectors(patches: DataFrame, variant: Variant, saliency: DataFrame | dict[str, DataFrame], dim: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors a variant keeps, and the same decoded from their codes. ``saliency``: a table, or one by the variants' source."""
+    if isinstance(saliency, dict):
+        if variant.pruning is not None and variant.saliency not in saliency:
+            raise ValueError(f"no saliency of source {variant.saliency!r}")
+        saliency = saliency.get(variant.saliency) if variant.pruning is not None else None
     kept = prune.pruned(patches, saliency, **variant.pruning) if variant.pruning is not None else patches.select("page_id", "tok", F.lit(1).alias("size"), "v")
     return kept, codecs.decoded(codecs.compressed(kept, variant.method, dim), variant.method, dim)
 
 
-def run_variants(patches: DataFrame, queries: DataFrame, qrels: DataFrame, saliency: DataFrame, variants: list[Variant], dim: int, depth: int = 10) -> DataFrame:
+def run_variants(patches: DataFrame, queries: DataFrame, qrels: DataFrame, saliency: DataFrame | dict[str, DataFrame], variants: list[Variant], dim: int, depth: int = 10) -> DataFrame:
     """One report row a variant: sizes, metrics, and agreement with the first one's ranking.
 
     The first variant is the baseline of retention and tau. What variants share is kept while they run; a report is a
     few rows, so it is gathered and returned as a small table.
     """
     spark = patches.sparkSession
-    held = [x.persist() for x in (patches, queries, qrels, saliency)]
+    held = [x.persist() for x in (patches, queries, qrels, *(saliency.values() if isinstance(saliency, dict) else [saliency]))]
     rows, base_run, base = [], None, None
     for v in variants:
         kept, decoded = variant_vectors(patches, v, saliency, dim)

@@ -59,21 +59,38 @@ def dimension_means(vectors: DataFrame) -> DataFrame:
     return m.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda e: e["m"]).alias("mean"))
 
 
-def centred_signs(vectors: DataFrame) -> DataFrame:
-    """``page_id, tok, v``: signs around the corpus mean (one broadcast row of dim numbers)."""
+def centred_signs(vectors: DataFrame, by: str | None = None) -> DataFrame:
+    """``page_id, tok, v, weight``: signs around the corpus mean, or the mean of the rows that share ``by`` (a token type, of
+    few values), and the norm of what is left, by which a score may be weighted."""
     centred = F.zip_with("v", "mean", lambda x, m: x - m)
-    return vectors.crossJoin(F.broadcast(dimension_means(vectors))).select("page_id", "tok", vec.signs(centred).alias("v"))
+    if by is None:
+        rows = vectors.crossJoin(F.broadcast(dimension_means(vectors)))
+    else:
+        m = vectors.select(by, F.posexplode("v").alias("k", "x")).groupBy(by, "k").agg(F.avg("x").alias("m"))
+        rows = vectors.join(F.broadcast(m.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "m"))), lambda e: e["m"]).alias("mean"))), by)
+    return rows.select("page_id", "tok", vec.signs(centred).alias("v"), vec.l2(centred).alias("weight"))
 
 
-def residual_codes(vectors: DataFrame, assignment: DataFrame, centres: DataFrame) -> DataFrame:
-    """Nearest centre plus one bit per component of the rest: ``page_id, tok, probe, bits, v``.
+def ladder(dim: int, centres: tuple[int, ...] = (16, 64, 256)) -> list[tuple[str, float]]:
+    """Codecs and their bytes per vector, largest first."""
+    rows = [("float32", 4.0 * dim), ("float16", 2.0 * dim), ("int8", float(dim)), ("two_bit", dim / 4), ("binary", dim / 8), ("centred+norm", dim / 8 + 2)]
+    return sorted(rows + [(f"residual-{k}", residual_bytes(dim, k)) for k in centres], key=lambda r: (-r[1], r[0]))
 
-    ``v`` is centre + beta * sign(rest), beta the corpus mean of the rests' absolute components.
+
+def residual_codes(assigned: DataFrame, centres: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
+    """Nearest centre plus one bit per component of the rest: ``page_id, tok, probe, bits, beta, v``.
+
+    ``assigned``: rows ``page_id, tok, v, probe``; ``v`` becomes centre + beta * sign(rest), beta the mean of the rests'
+    absolute components over ``fitted`` (such rows too, the same by default), so that it may come from other pages.
     """
-    rows = vectors.select("page_id", "tok", "v").join(assignment.select("page_id", "tok", "probe"), ["page_id", "tok"])
-    rows = rows.join(centres.select("probe", F.col("v").alias("centre")), "probe").withColumn("rest", F.zip_with("v", "centre", lambda x, c: x - c))
-    beta = rows.agg((F.sum(vec.l1(F.col("rest"))) / F.sum(F.size("rest"))).alias("beta"))
-    out = rows.crossJoin(F.broadcast(beta))
+    few = F.broadcast(centres.select("probe", F.col("v").alias("centre")))  # as many rows as a codebook has
+
+    def rests(rows: DataFrame) -> DataFrame:
+        return rows.select("page_id", "tok", "v", "probe").join(few, "probe").withColumn("rest", F.zip_with("v", "centre", lambda x, c: x - c))
+
+    rows = rests(assigned)
+    beta = (rows if fitted is None else rests(fitted)).agg((F.sum(vec.l1(F.col("rest"))) / F.sum(F.size("rest"))).alias("beta"))
+    out = rows.crossJoin(F.broadcast(beta))  # one row
     coded = F.zip_with("centre", "rest", lambda c, x: F.struct(c.alias("c"), (x > 0).alias("up")))
     return out.select("page_id", "tok", "probe", vec.bits(F.col("rest")).alias("bits"), "beta", F.transform(coded, lambda e: e["c"] + F.when(e["up"], F.col("beta")).otherwise(-F.col("beta"))).alias("v"))
 

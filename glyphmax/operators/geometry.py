@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmax.functions import vec
+from glyphmax.operators.prune import covariance
 
 
 def rho_stats(vectors: DataFrame) -> DataFrame:
@@ -24,12 +26,11 @@ def sign_entropy(vectors: DataFrame) -> DataFrame:
     return x.select("k", F.round("p", 6).alias("p"), F.round(h, 6).alias("entropy"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), (h < 0.5).alias("dead"))
 
 
-def participation_ratio(vectors: DataFrame) -> DataFrame:
-    """tr(C)^2 / ||C||_F^2 of the covariance, without eigenvalues."""
-    x = vectors.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
-    c = x.groupBy("i", "j").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("c"))
-    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
-    return c.agg(F.round(trace * trace / F.sum(F.col("c") * F.col("c")), 4).alias("participation_ratio"))
+def participation_ratio(vectors: DataFrame, dim: int, top: int = 8) -> DataFrame:
+    """tr(C)^2 / ||C||_F^2 of the covariance C, and the share of its ``top`` largest eigenvalues; C comes from partial sums."""
+    c = covariance(vectors, dim)[1]
+    values = np.sort(np.linalg.eigvalsh(c))[::-1]
+    return vectors.sparkSession.createDataFrame([(round(float(np.trace(c) ** 2 / (c * c).sum()), 4), round(float(values[:top].sum() / values.sum()), 6))], "participation_ratio double, top_share double")
 
 
 def mean_pairwise_cosine(vectors: DataFrame, by: str) -> DataFrame:
@@ -40,24 +41,27 @@ def mean_pairwise_cosine(vectors: DataFrame, by: str) -> DataFrame:
     return s.join(n, by).select(by, "n", F.round(F.when(F.col("n") > 1, (F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1))), 6).alias("cosine"))
 
 
-def best_tokens(sims: DataFrame) -> DataFrame:
-    """Winning patch per query token and page under float and sign codes: ``bf, bs``."""
-    best = [F.max_by("tok", F.struct(F.round(x, 9), -F.col("tok"))).alias(n) for x, n in (("f", "bf"), ("s", "bs"))]
-    return sims.groupBy("qid", "qtok", "page_id").agg(*best)
+def argmax_flips(matches: DataFrame) -> DataFrame:
+    """Share of winning patches (:func:`glyphmax.operators.similarity.token_matches`) that sign codes replace."""
+    return matches.agg(F.count("*").alias("n"), F.round(F.avg((F.col("tok") != F.col("sign_tok")).cast("int")), 6).alias("flip_rate"))
 
 
-def argmax_flips(sims: DataFrame) -> DataFrame:
-    return best_tokens(sims).agg(F.count("*").alias("n"), F.round(F.avg((F.col("bf") != F.col("bs")).cast("int")), 6).alias("flip_rate"))
+def distractor_promotion(matches: DataFrame) -> DataFrame:
+    """Share of winning patches that are structural tokens, under float and sign codes."""
+    share = [F.round(F.avg(F.col(c).cast("int")), 6).alias(n) for c, n in (("is_text", "float_share"), ("sign_text", "sign_share"))]
+    return matches.agg(*share)
 
 
-def distractor_promotion(sims: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Share of winning patches that are marked (``page_id, tok, marked``), under float and sign codes."""
-    b = best_tokens(sims)
-    out = []
-    for c in ("bf", "bs"):
-        j = b.select("page_id", F.col(c).alias("tok")).join(tokens, ["page_id", "tok"])
-        out.append(j.agg(F.round(F.avg(F.col("marked").cast("int")), 6).alias({"bf": "float_share", "bs": "sign_share"}[c])))
-    return out[0].crossJoin(out[1])
+def winner_shares(matches: DataFrame, types: DataFrame) -> DataFrame:
+    """Winners and their share of the score by token type (``page_id, tok, kind``): ``kind, wins, win_share, score_share``."""
+    by = matches.join(types, ["page_id", "tok"]).groupBy("kind").agg(F.count("*").alias("wins"), F.sum("best").alias("score"))
+    whole = Window.partitionBy()  # over one row a type
+    return by.select("kind", "wins", F.round(F.col("wins") / F.sum("wins").over(whole), 6).alias("win_share"), F.round(F.col("score") / F.sum("score").over(whole), 6).alias("score_share"))
+
+
+def winners_by_position(matches: DataFrame) -> DataFrame:
+    """Per place in the query: share of winners that are structural tokens, and the mean best similarity."""
+    return matches.groupBy("qtok").agg(F.round(F.avg(F.col("is_text").cast("int")), 6).alias("text_share"), F.round(F.avg("best"), 6).alias("mean_best"))
 
 
 def score_noise(scores: DataFrame) -> DataFrame:
@@ -67,8 +71,27 @@ def score_noise(scores: DataFrame) -> DataFrame:
     return g.select("qid", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round(rest, 4).alias("noise"), F.round(F.abs(F.col("slope")) * F.col("sd") / rest, 3).alias("snr"))
 
 
-def score_floor(sims: DataFrame, margin: float = 0.05) -> DataFrame:
-    """Per query token: least and mean best similarity over pages, and mean number of patches within ``margin`` of the best."""
-    best = sims.groupBy("qid", "qtok", "page_id").agg(F.max("f").alias("m"))
-    near = sims.join(best, ["qid", "qtok", "page_id"]).groupBy("qid", "qtok", "page_id").agg(F.first("m").alias("m"), F.count_if(F.round(F.col("f"), 9) >= F.round(F.col("m") - margin, 9)).alias("n"))
-    return near.groupBy("qid", "qtok").agg(F.round(F.min("m"), 6).alias("floor"), F.round(F.avg("m"), 6).alias("mean_best"), F.round(F.avg("n"), 6).alias("near_best"))
+def snr_correlation(noise: DataFrame, tau: DataFrame) -> DataFrame:
+    """Correlation over queries of the logarithm of ``snr`` with ``tau``."""
+    return noise.where("snr > 0").join(tau, "qid").agg(F.count("*").alias("n"), F.round(F.corr(F.log("snr"), "tau"), 4).alias("r"))
+
+
+def score_floor(matches: DataFrame) -> DataFrame:
+    """Per query token: least and mean best similarity over pages, mean number of patches near the best, and the share of
+    the score that structural tokens give."""
+    text = F.sum(F.when(F.col("is_text"), F.col("best")).otherwise(0.0)) / F.sum("best")
+    return matches.groupBy("qid", "qtok").agg(F.round(F.min("best"), 6).alias("floor"), F.round(F.avg("best"), 6).alias("mean_best"), F.round(F.avg("near"), 6).alias("near_best"), F.round(text, 6).alias("text_share"))
+
+
+def saliency_overlap(a: DataFrame, b: DataFrame, share: float = 0.25) -> DataFrame:
+    """Agreement of two saliency tables (``page_id, r, c, saliency``), as of an image and its negative: per page the overlap
+    of their most salient ``share`` of cells, and the correlation of their values."""
+    page = Window.partitionBy("page_id")
+
+    def ranked(x: DataFrame, s: str) -> DataFrame:
+        return x.select("page_id", "r", "c", F.col("saliency").alias(s), F.row_number().over(page.orderBy(F.desc("saliency"), "r", "c")).alias(f"rank_{s}"))
+
+    k = F.greatest(F.lit(1), F.floor(F.count("*").over(page) * share))
+    both = ranked(a, "x").join(ranked(b, "y"), ["page_id", "r", "c"]).withColumn("k", k)
+    overlap = F.count_if((F.col("rank_x") <= F.col("k")) & (F.col("rank_y") <= F.col("k"))) / F.first("k")
+    return both.groupBy("page_id").agg(F.round(overlap, 6).alias("overlap"), F.round(F.corr("x", "y"), 4).alias("r"))

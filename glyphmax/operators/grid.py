@@ -53,23 +53,130 @@ def saliency(gray: np.ndarray, ink_weight: float = 0.6, edge_weight: float = 0.4
     return (ink_weight * robust_unit(block_mean(ink)) + edge_weight * robust_unit(block_mean(edge))) / whole
 
 
-def page_saliency(pages: DataFrame, ink_weight: float = 0.6, edge_weight: float = 0.4, digits: int = 6) -> DataFrame:
-    """``page_id, r, c, saliency`` of every cell of ``page_id, text`` rows."""
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, for numbers that are not negative."""
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def dilated(mask: np.ndarray, iterations: int = 1) -> np.ndarray:
+    """A cell is set if a set one is at most ``iterations`` steps away (4-neighbours, no wrap-around)."""
+    out = mask.copy()
+    for _ in range(iterations):
+        m = out.copy()
+        out[1:] |= m[:-1]
+        out[:-1] |= m[1:]
+        out[:, 1:] |= m[:, :-1]
+        out[:, :-1] |= m[:, 1:]
+    return out
+
+
+def mask_of(s: np.ndarray, blank_threshold: float = 0.02, keep_ratio: float | None = None, min_keep: int = 16, dilation: int = 1) -> np.ndarray:
+    """Kept cells of a page: salient ones, dilated; or the ``keep_ratio`` most salient (half to even, at least one).
+
+    Then the most salient dropped cells are promoted until ``min_keep`` (or all cells) are kept. Ties go by row and column.
+    """
+    order = np.argsort(-s, axis=None, kind="stable")
+    if keep_ratio is None:
+        keep = dilated(s > blank_threshold, dilation)
+    else:
+        keep = np.zeros(s.size, bool)
+        keep[order[: max(1, min(s.size, round(s.size * keep_ratio)))]] = True
+        keep = keep.reshape(s.shape)
+    missing = min(min_keep, s.size) - int(keep.sum())
+    if missing > 0:
+        keep.ravel()[order[~keep.ravel()[order]][:missing]] = True
+    return keep
+
+
+#: Cells of an Arrow batch that a page pass sends.
+BATCH_CELLS = 1 << 16
+
+
+def resized(gray: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Mean of the source area under every pixel of a ``rows`` x ``cols`` raster (bilinear where it is larger)."""
+    for axis, size in ((0, rows), (1, cols)):
+        n = gray.shape[axis]
+        if size == n:
+            continue
+        if size > n:
+            at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+            low = np.floor(at).astype(int)
+            part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+            gray = np.take(gray, low, axis) * (1 - part) + np.take(gray, np.minimum(low + 1, n - 1), axis) * part
+            continue
+        total = np.concatenate([np.zeros_like(np.take(gray, [0], axis)), np.cumsum(gray, axis)], axis)
+        edge = np.arange(size + 1) * n / size
+        low = np.minimum(np.floor(edge).astype(int), n)
+        part = (edge - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        at_edge = np.take(total, low, axis) * (1 - part) + np.take(total, np.minimum(low + 1, n), axis) * part
+        gray = np.diff(at_edge, axis=axis) * size / n
+    return gray
+
+
+def downscaled(gray: np.ndarray, max_side: int) -> np.ndarray:
+    """A raster whose longer side is at most ``max_side``; never larger than it was, and of one pixel at least."""
+    factor = max_side / max(gray.shape)
+    return gray if factor >= 1 else resized(gray, *(max(1, round(x * factor)) for x in gray.shape))
+
+
+def saliency_on_grid(gray: np.ndarray, rows: int, cols: int, ink_weight: float = 0.6, edge_weight: float = 0.4) -> np.ndarray:
+    """:func:`saliency` of a raster of any size, on a ``rows`` x ``cols`` grid of cells."""
+    if rows <= 0 or cols <= 0:
+        raise ValueError("a grid has at least one row and column")
+    return saliency(resized(gray, rows * CELL, cols * CELL), ink_weight, edge_weight)
+
+
+def page_pass(pages: DataFrame, weights: tuple[float, float], digits: int, negative: bool, mask: dict | None) -> DataFrame:
+    schema = CELLS_SCHEMA + ("" if mask is None else ", keep boolean")
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
             for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = saliency(raster(text or ""), ink_weight, edge_weight)
-                r, c = np.indices(s.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(s.size, page)), pa.array(r.ravel().astype(np.int32)), pa.array(c.ravel().astype(np.int32)), pa.array(s.ravel())], names=["page_id", "r", "c", "saliency"]
-                )
+                gray = raster(text or "")
+                s = rounded(saliency(1 - gray if negative else gray, *weights), digits)
+                r, c = np.indices(s.shape, np.int32)
+                held.append([np.full(s.size, page), r.ravel(), c.ravel(), s.ravel(), *([] if mask is None else [mask_of(s, **mask).ravel()])])
+                if sum(len(h[0]) for h in held) >= BATCH_CELLS:
+                    yield sent()
+        if held:
+            yield sent()
+
+    return pages.select("page_id", "text").mapInArrow(run, schema)
 
-    return pages.select("page_id", "text").mapInArrow(run, CELLS_SCHEMA).withColumn("saliency", F.round("saliency", digits))
+
+def page_saliency(pages: DataFrame, ink_weight: float = 0.6, edge_weight: float = 0.4, digits: int = 6, negative: bool = False) -> DataFrame:
+    """``page_id, r, c, saliency`` of every cell of ``page_id, text`` rows; of the inverted raster with ``negative``."""
+    return page_pass(pages, (ink_weight, edge_weight), digits, negative, None)
+
+
+def page_masks(pages: DataFrame, ink_weight: float = 0.6, edge_weight: float = 0.4, digits: int = 6, **mask) -> DataFrame:
+    """:func:`page_saliency` and ``keep`` (:func:`mask_of`), both made while the page is at hand."""
+    return page_pass(pages, (ink_weight, edge_weight), digits, False, mask)
+
+
+def masks_on_grid(pages: DataFrame, rows: int, cols: int, **mask) -> DataFrame:
+    """``page_id, tok, saliency, keep`` of ``page_id, text`` rows on an encoder's grid, tokens row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = np.arange(rows * cols, dtype=np.int32)
+        for batch in batches:
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = rounded(saliency_on_grid(raster(text or ""), rows, cols), 6)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tok), page)), pa.array(tok), pa.array(s.ravel()), pa.array(mask_of(s, **mask).ravel())], names=["page_id", "tok", "saliency", "keep"])
+
+    return pages.select("page_id", "text").mapInArrow(run, "page_id long, tok int, saliency double, keep boolean")
 
 
 def dilate(cells: DataFrame, iterations: int = 1, mask: str = "mask") -> DataFrame:
-    """A cell is set if a set one is at most ``iterations`` steps away (4-neighbours, no wrap-around)."""
+    """:func:`dilated` for a table of cells."""
     out = cells
     for _ in range(iterations):
         along_row = Window.partitionBy("page_id", "r").orderBy("c")
@@ -80,10 +187,7 @@ def dilate(cells: DataFrame, iterations: int = 1, mask: str = "mask") -> DataFra
 
 
 def keep_mask(cells: DataFrame, blank_threshold: float = 0.02, keep_ratio: float | None = None, min_keep: int = 16, dilation: int = 1) -> DataFrame:
-    """``keep`` per cell: salient cells, dilated; or the ``keep_ratio`` most salient (half to even, at least one).
-
-    Then the most salient dropped cells are promoted until ``min_keep`` (or all cells) are kept. Ties go by (r, c).
-    """
+    """:func:`mask_of` for a table of cells, from wherever its saliency comes: adds ``keep``."""
     page = Window.partitionBy("page_id")
     order = page.orderBy(F.desc("saliency"), "r", "c")
     n = F.count("*").over(page)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmax.operators import codecs
+from glyphmax.sources.storage import exists, read_text, write_text
 
 
 def page_accounts(before: DataFrame, after: DataFrame, method: str, dim: int, norms: bool = False) -> DataFrame:
@@ -44,23 +44,41 @@ def upserted(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(new.select("page_id").distinct(), "page_id", "left_anti").unionByName(new)
 
 
+def page_summary(accounts: DataFrame, dim: int) -> DataFrame:
+    """Per page: tokens dropped in percent, bytes by which it shrank, bits a component of what is kept, and KiB."""
+    n, raw, code = F.col("n_after"), F.col("raw_nbytes"), F.col("nbytes")
+    return accounts.select(
+        "page_id", "n_before", "n_after", F.round((F.col("n_before") - n) / F.greatest("n_before", F.lit(1)) * 100, 6).alias("token_reduction_percent"),
+        F.round(raw / F.greatest(code, F.lit(1)), 6).alias("storage_factor"), F.round(code * 8 / F.greatest(n * dim, F.lit(1)), 6).alias("bits_per_dimension"), F.round(code / 1024, 6).alias("kib"),
+    )
+
+
 class PageIndex:
-    """Codes and accounts under a path. A version is a pair of tables named by the manifest, swapped after writing."""
+    """Codes and accounts under a path, in any storage that Spark reads.
+
+    A version is a pair of tables; the manifest lists those in force and is replaced after they are written. Append adds a
+    version and touches none before it (pages may repeat); upsert writes one that takes the place of all. With ``full`` the
+    vectors that were kept are stored beside the codes, for re-ranking.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, dim: int, method: str, norms: bool = False) -> None:
-        self.spark, self.path, self.dim, self.method, self.norms = spark, path.rstrip("/"), dim, method, norms
-        self.version: str | None = None
+    def __init__(self, spark: SparkSession, path: str, dim: int, method: str, norms: bool = False, full: bool = False) -> None:
+        self.spark, self.path, self.dim, self.method, self.norms, self.full = spark, path.rstrip("/"), dim, method, norms, full
+        self.versions: list[str] = []
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> PageIndex:
         """Reopen; dimension and method come from the manifest."""
-        meta = json.loads(Path(path, "manifest.json").read_text())
-        out = cls(spark, path, meta["dim"], meta["method"], meta["norms"])
-        out.version = meta["version"]
+        meta = json.loads(read_text(spark, f"{path.rstrip('/')}/manifest.json"))
+        out = cls(spark, path, meta["dim"], meta["method"], meta["norms"], meta["full"])
+        out.versions = meta["versions"]
         return out
 
+    @classmethod
+    def there(cls, spark: SparkSession, path: str) -> bool:
+        return exists(spark, f"{path.rstrip('/')}/manifest.json")
+
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.version}/{name}")
+        return self.spark.read.parquet(*[f"{self.path}/{v}/{name}" for v in self.versions])
 
     @property
     def codes(self) -> DataFrame:
@@ -70,20 +88,36 @@ class PageIndex:
     def pages(self) -> DataFrame:
         return self._table("pages")
 
+    @property
+    def floats(self) -> DataFrame | None:
+        """The stored vectors ``page_id, tok, v``, where the index keeps them."""
+        return self._table("full").select("page_id", "tok", F.transform("v", lambda x: x.cast("double")).alias("v")) if self.full and self.versions else None
+
     def write(self, before: DataFrame, after: DataFrame, mode: str = "upsert") -> None:
         """Add pages: ``before`` their tokens, ``after`` the vectors kept. Modes: overwrite, append, upsert."""
-        codes = codecs.compressed(after, self.method, self.dim, self.norms)
-        pages = page_accounts(before, after, self.method, self.dim, self.norms)
-        if self.version and mode == "upsert":
-            codes = self.codes.join(pages.select("page_id"), "page_id", "left_anti").unionByName(codes)
-            pages = upserted(self.pages, pages)
-        elif self.version and mode == "append":
-            codes, pages = self.codes.unionByName(codes), self.pages.unionByName(pages)
+        if mode not in ("overwrite", "append", "upsert"):
+            raise ValueError(f"unknown mode {mode!r}")
+        tables = {"codes": codecs.compressed(after, self.method, self.dim, self.norms), "pages": page_accounts(before, after, self.method, self.dim, self.norms)}
+        if self.full:
+            tables["full"] = after.select("page_id", "tok", F.transform("v", lambda x: x.cast("float")).alias("v"))
+        if self.versions and mode == "upsert":
+            new = tables["pages"].select("page_id")
+            tables = {k: self._table(k).join(new, "page_id", "left_anti").unionByName(t) for k, t in tables.items()}
         version = uuid.uuid4().hex
-        codes.repartitionByRange("page_id").sortWithinPartitions("page_id", "tok").write.parquet(f"{self.path}/{version}/codes")
-        pages.write.parquet(f"{self.path}/{version}/pages")
-        self.version = version
-        Path(self.path, "manifest.json").write_text(json.dumps({"dim": self.dim, "method": self.method, "norms": self.norms, "version": version}))
+        for name, rows in tables.items():
+            if name != "pages":
+                rows = rows.repartitionByRange("page_id").sortWithinPartitions("page_id", "tok")
+            rows.write.parquet(f"{self.path}/{version}/{name}")
+        self.versions = [*self.versions, version] if mode == "append" else [version]
+        write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"dim": self.dim, "method": self.method, "norms": self.norms, "full": self.full, "versions": self.versions}))
+
+    def try_write(self, before: DataFrame, after: DataFrame, mode: str = "upsert") -> dict:
+        """:meth:`write` that reports instead of raising: ``{"ok": True}``, or False and the error."""
+        try:
+            self.write(before, after, mode)
+        except Exception as error:  # whatever storage or data raise is the report
+            return {"ok": False, "error": str(error)[:500]}
+        return {"ok": True}
 
     def vectors(self) -> DataFrame:
         return codecs.decoded(self.codes, self.method, self.dim)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmax.plans.running import running
+
 KS = (1, 3, 5, 10)
 
 
@@ -39,8 +43,11 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> Data
 
 
 def restricted(qrels: DataFrame, pages: DataFrame) -> DataFrame:
-    """Judgements of indexed pages; queries without any left disappear."""
-    return qrels.join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    """Judgements of indexed pages; queries without any left disappear. An error if none is left at all."""
+    out = qrels.join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    if out.isEmpty():
+        raise ValueError("no judged page is indexed")
+    return out
 
 
 def both_ranks(a: DataFrame, b: DataFrame, how: str = "outer") -> DataFrame:
@@ -75,17 +82,40 @@ def tau_b(a: DataFrame, b: DataFrame) -> DataFrame:
 def tau_shared(a: DataFrame, b: DataFrame) -> DataFrame:
     """``qid, tau``: concordance over items in both lists only, without tie correction; 1 for fewer than two."""
     shared = both_ranks(a, b, "inner")
-    s = (F.col("ra") - F.col("ra2")) * (F.col("rb") - F.col("rb2"))
-    n = item_pairs(shared).groupBy("qid").agg((F.count_if(s > 0) - F.count_if(s < 0)).alias("s"), F.count("*").alias("n"))
-    return a.select("qid").distinct().join(n, "qid", "left").select("qid", F.round(F.coalesce(F.col("s") / F.col("n"), F.lit(1.0)), 6).alias("tau"))
+
+    def run(query: pd.DataFrame) -> pd.DataFrame:
+        n = len(query)
+        agreed = smaller_before(query["rb"].to_numpy()[np.argsort(query["ra"].to_numpy(), kind="stable")]).sum()
+        return pd.DataFrame({"qid": query["qid"].iloc[:1], "tau": [4 * agreed / (n * (n - 1)) - 1 if n > 1 else 1.0]})
+
+    n = shared.groupBy("qid").applyInPandas(run, "qid long, tau double")
+    return a.select("qid").distinct().join(n, "qid", "left").select("qid", F.round(F.coalesce("tau", F.lit(1.0)), 6).alias("tau"))
 
 
 def tau_ap(reference: DataFrame, other: DataFrame) -> DataFrame:
     """``qid, tau_ap``: for each item of ``reference`` but the first, the share of items above it that ``other`` has above it too."""
     r = both_ranks(reference, other, "inner")
-    y = r.select("qid", F.col("ra").alias("ra2"), F.col("rb").alias("rb2"))
-    above = r.join(y, "qid").where(F.col("ra2") < F.col("ra")).groupBy("qid", "ra").agg((F.count_if(F.col("rb2") < F.col("rb")) / (F.col("ra") - 1)).alias("share"))
-    return above.groupBy("qid").agg(F.round(2 * F.avg("share") - 1, 6).alias("tau_ap"))
+
+    def run(query: pd.DataFrame) -> pd.DataFrame:
+        ra, rb = (query[c].to_numpy() for c in ("ra", "rb"))
+        order = np.argsort(ra, kind="stable")
+        share = smaller_before(rb[order])[1:] / (ra[order][1:] - 1)
+        return pd.DataFrame({"qid": query["qid"].iloc[:1], "tau_ap": [2 * share.mean() - 1 if len(share) else None]})
+
+    return r.groupBy("qid").applyInPandas(run, "qid long, tau_ap double").where("tau_ap IS NOT NULL").select("qid", F.round("tau_ap", 6).alias("tau_ap"))
+
+
+def smaller_before(x: np.ndarray) -> np.ndarray:
+    """For each item the number of smaller ones in front of it, by merging sorted halves."""
+    out, order, width = np.zeros(len(x), np.int64), np.arange(len(x)), 1
+    while width < len(x):
+        for a in range(0, len(x) - width, 2 * width):
+            left, right = order[a : a + width], order[a + width : a + 2 * width]
+            out[right] += np.searchsorted(x[left], x[right], "left")
+            both = order[a : a + 2 * width]
+            order[a : a + 2 * width] = both[np.argsort(x[both], kind="stable")]
+        width *= 2
+    return out
 
 
 def rbo(a: DataFrame, b: DataFrame, p: float = 0.9) -> DataFrame:
@@ -111,14 +141,44 @@ def agreement(base: DataFrame, other: DataFrame, qrels: DataFrame, k: int = 5) -
     )
 
 
-def bootstrap(per_query_a: DataFrame, per_query_b: DataFrame, metric: str, rounds: int = 200, seed: int = 7) -> DataFrame:
+def drawn(seed: int, *of: Column | str) -> Column:
+    """A number below 2^32 from the md5 of a seed and columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *of).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def bootstrap(per_query_a: DataFrame, per_query_b: DataFrame, metric: str, rounds: int = 2000, seed: int = 7) -> DataFrame:
     """Paired bootstrap of the mean difference: 2.5 and 97.5 percentiles and the share above zero.
 
-    Resampling is by hash: round r draws, for each place i, the query of place md5(seed, r, i) modulo n.
+    Resampling is by hash: round r draws, for each place i from 1, the query of place md5(seed, r, i) modulo n, counted from
+    0 in the order of ids. Queries are numbered and joined with the draws by number.
     """
     d = per_query_a.select("qid", F.col(metric).alias("a")).join(per_query_b.select("qid", F.col(metric).alias("b")), "qid")
-    d = d.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", (F.col("b") - F.col("a")).alias("d")))), lambda x: x["d"]).alias("d"))
-    d = d.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("d"))))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "round", "i").cast("binary")), 1, 8), 16, 10).cast("long")
-    means = d.withColumn("x", F.get("d", (draw % F.size("d")).cast("int"))).groupBy("round").agg(F.avg("x").alias("m"))
+    d = running(d.select("qid", (F.col("b") - F.col("a")).alias("d")), ["qid"], i=F.lit(1)).select("i", "d")
+    n = d.count()
+    draws = d.select("i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", ((drawn(seed, "round", "i") % max(n, 1)) + 1).alias("i"))
+    means = draws.join(d, "i").groupBy("round").agg(F.round(F.avg("d"), 9).alias("m"))
     return means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.round(F.avg((F.col("m") > 0).cast("int")), 6).alias("above_zero"))
+
+
+def first_hit_gain(run: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
+    """``qid, gain``: 1 / log2(rank + 1) of the first relevant result within ``k``, else 0. Equals nDCG only for queries with
+    one relevant page; :func:`per_query` is right for all."""
+    first = run.where(F.col("rank") <= k).join(qrels.distinct(), ["qid", "page_id"]).groupBy("qid").agg(F.min("rank").alias("first"))
+    return qrels.select("qid").distinct().join(first, "qid", "left").select("qid", F.round(F.coalesce(1 / F.log2(F.col("first") + 1), F.lit(0.0)), 6).alias("gain"))
+
+
+def chance_levels(spark: SparkSession, sizes: tuple[int, ...] = (60, 500), rounds: int = 200, seed: int = 0, k: int = 5) -> DataFrame:
+    """Mean agreement of random permutations with the identity: ``size, tau, rbo, tau_ap, overlap``.
+
+    A round's permutation orders the items by md5 of seed, size, round and item; rounds are independent rows.
+    """
+    cases = spark.range(1, rounds + 1).select(F.col("id").alias("round"), F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    items = cases.select("round", "size", F.explode(F.sequence(F.lit(1), "size")).alias("page_id"))
+    order = Window.partitionBy("size", "round").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "size", "round", "page_id").cast("binary")), "page_id")
+    qid = (F.col("size") * 1_000_000 + F.col("round")).cast("long").alias("qid")
+    other = items.select(qid, F.col("page_id").cast("long").alias("page_id"), F.row_number().over(order).alias("rank"))
+    same = items.select(qid, F.col("page_id").cast("long").alias("page_id"), F.col("page_id").alias("rank"))
+    tops = same.where(F.col("rank") <= k).join(other.where(F.col("rank") <= k).select("qid", "page_id"), ["qid", "page_id"]).groupBy("qid").agg((F.count("*") / k).alias("overlap"))
+    rows = tau_shared(same, other).join(rbo(same, other), "qid").join(tau_ap(same, other), "qid").join(tops, "qid", "left").fillna(0.0, ["overlap"])
+    by = rows.groupBy(F.floor(F.col("qid") / 1_000_000).cast("int").alias("size"))
+    return by.agg(*[F.round(F.avg(c), 4).alias(c) for c in ("tau", "rbo", "tau_ap", "overlap")])

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmax.functions import vec
+from glyphmax.operators.similarity import page_rows, token_matches
+from glyphmax.plans.running import running
 
 BLOCK = 1024
 
@@ -91,6 +93,36 @@ def farthest_codebook(unit: np.ndarray, size: int, first: int = 0) -> np.ndarray
     return np.array(chosen)
 
 
+def farthest_first(patches: DataFrame, size: int) -> np.ndarray:
+    """:func:`farthest_codebook` over all patches: from the first by page and token on, each round takes the unit vector
+    least similar (to 9 digits, the first on ties) to its most similar chosen one. One scan a round, one row a task."""
+    schema = "best double, page_id long, tok int, v array<double>"
+    first = patches.orderBy("page_id", "tok").select("v").first()
+    if first is None:
+        return np.zeros((0, 0))
+    chosen = [np.array(first["v"]) / max(np.linalg.norm(first["v"]), 1e-12)]
+    for _ in range(min(size, patches.count()) - 1):
+        book = np.array(chosen)
+
+        def run(batches: Iterator[pa.RecordBatch], book: np.ndarray = book) -> Iterator[pa.RecordBatch]:
+            least: tuple | None = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                best, page, tok = np.round((x @ book.T).max(axis=1), 9), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                k = np.lexsort((tok, page, best))[0]
+                here = (float(best[k]), int(page[k]), int(tok[k]), x[k].tolist())
+                least = here if least is None or here[:3] < least[:3] else least
+            if least is not None:
+                yield pa.RecordBatch.from_pylist([dict(zip(("best", "page_id", "tok", "v"), least))], pa.schema([("best", pa.float64()), ("page_id", pa.int64()), ("tok", pa.int32()), ("v", pa.list_(pa.float64()))]))
+
+        row = patches.select("page_id", "tok", "v").mapInArrow(run, schema).agg(F.min_by("v", F.struct("best", "page_id", "tok")).alias("v")).first()
+        chosen.append(np.array(row["v"]))
+    return np.array(chosen)
+
+
 def kmeans_codebook(unit: np.ndarray, size: int, seed: int = 7, iterations: int = 10) -> np.ndarray:
     """Spherical k-means; an empty cell starts again at a random row."""
     r = np.random.default_rng(seed)
@@ -118,62 +150,97 @@ def fit_codebook(patches: DataFrame, size: int = 256, source: str = "farthest",
     raise ValueError(f"unknown codebook source {source!r}")
 
 
+def small_matrix(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a small table (probes or centres), sorted by key."""
+    found = sorted((r[key], list(r["v"])) for r in rows.select(key, "v").collect())
+    return np.array([k for k, _ in found], np.int64), np.array([v for _, v in found], np.float64)
+
+
 def assigned(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """Nearest centre (``probe, v``) of each vector by inner product, the lower probe on ties: adds ``probe, sim``."""
-    c = centres.select("probe", F.col("v").alias("centre"))
-    pairs = vectors.crossJoin(c).select("page_id", "tok", "probe", F.round(vec.dot(F.col("v"), F.col("centre")), 9).alias("sim"))
-    return pairs.groupBy("page_id", "tok").agg(F.max_by("probe", F.struct("sim", -F.col("probe"))).alias("probe"), F.max("sim").alias("sim"))
+    """The rows of ``vectors`` with their nearest centre (``probe, v``) by inner product, to 9 digits, the lower probe on
+    ties: adds ``probe, sim``. Centres are few and are sent to the workers."""
+    probe, c = small_matrix(centres, "probe")
+    at = vectors.columns.index("v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.round(batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ c.T, 9) if batch.num_rows else np.zeros((0, len(c)))
+            best = s.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probe[best].astype(np.int32)), pa.array(s[np.arange(len(s)), best])], names=[*batch.schema.names, "probe", "sim"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema), "probe int, sim double"])
+    return vectors.mapInArrow(run, schema)
 
 
 def kmeans_step(vectors: DataFrame, centres: DataFrame) -> DataFrame:
-    """One distributed spherical k-means step: ``probe, n, v`` of the cells that are not empty."""
-    a = vectors.join(assigned(vectors, centres), ["page_id", "tok"])
-    mean = a.select("probe", F.posexplode("v").alias("k", "x")).groupBy("probe", "k").agg(F.avg("x").alias("x"))
-    mean = mean.groupBy("probe").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("v"))
-    return mean.join(a.groupBy("probe").agg(F.count("*").alias("n")), "probe").select("probe", "n", vec.normalise(F.col("v")).alias("v"))
+    """One distributed spherical k-means step, from partial sums a task: ``probe, n, v`` of the cells that are not empty."""
+    probe, c = small_matrix(centres, "probe")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(c), np.int64), np.zeros_like(c)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            near = np.round(x @ c.T, 9).argmax(axis=1) if len(x) else np.zeros(0, np.int64)
+            n += np.bincount(near, minlength=len(c))
+            np.add.at(total, near, x)
+        full = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(probe[full].astype(np.int32)), pa.array(n[full]), pa.array(list(total[full]), pa.list_(pa.float64()))], names=["probe", "n", "s"])
+
+    parts = vectors.select("v").mapInArrow(sums, "probe int, n long, s array<double>")
+    whole = parts.groupBy("probe").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(c.shape[1])])
+    return whole.select("probe", "n", vec.normalise(F.array(*[F.col(f"s{k}") for k in range(c.shape[1])])).alias("v"))
 
 
 def probe_saliency(patches: DataFrame, probes: DataFrame) -> DataFrame:
     """Retrieval-space saliency per patch: probes that it wins on its page, and how close its best probe is.
 
-    wins / max wins + 0.5 / probes * (best - least) / (most - least), divided by the page's largest value.
+    wins / max wins + 0.5 / probes * (best - least) / (most - least), divided by the page's largest value. Probes are few
+    and are sent to the workers; a page is one row.
     """
-    c = probes.select("probe", F.col("v").alias("p"))
-    n = probes.count()
-    sims = patches.crossJoin(c).select("page_id", "tok", "probe", F.round(vec.dot(F.col("v"), F.col("p")), 9).alias("sim"))
-    won = sims.groupBy("page_id", "probe").agg(F.max_by("tok", F.struct("sim", -F.col("tok"))).alias("tok")).groupBy("page_id", "tok").agg(F.count("*").alias("wins"))
-    best = sims.groupBy("page_id", "tok").agg(F.max("sim").alias("best"))
-    rows = best.join(won, ["page_id", "tok"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
-    page = Window.partitionBy("page_id")
-    spread = F.max("best").over(page) - F.min("best").over(page)
-    rows = rows.withColumn("s", F.col("wins") / F.greatest(F.max("wins").over(page), F.lit(1)) + 0.5 / n * F.when(spread > 0, (F.col("best") - F.min("best").over(page)) / spread).otherwise(0.0))
-    top = F.max("s").over(page)
-    return rows.select("page_id", "tok", "wins", F.round(F.when(top > 0, F.col("s") / top).otherwise(0.0), 6).alias("saliency"))
+    _, c = small_matrix(probes, "probe")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, toks, wins_of, out = batch.column(0).to_numpy(), [], [], []
+            sizes = batch.column(1).to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch.column(3).flatten()), -1)
+            for a, b in zip(ends[:-1], ends[1:]):
+                s = np.round(x[a:b] @ c.T, 9)
+                wins, best = np.bincount(s.argmax(axis=0), minlength=b - a), s.max(axis=1)
+                spread = best.max() - best.min()
+                value = wins / max(wins.max(), 1) + 0.5 / len(c) * ((best - best.min()) / spread if spread > 0 else 0.0)
+                wins_of.append(wins)
+                out.append(value / value.max() if value.max() > 0 else np.zeros(b - a))
+            if len(pages):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(pages, sizes)), batch.column(3).flatten().cast(pa.int32()), pa.array(np.concatenate(wins_of)), pa.array(np.concatenate(out))], names=["page_id", "tok", "wins", "saliency"])
+
+    rows = page_rows(patches, "v", "tok").mapInArrow(run, "page_id long, tok int, wins long, saliency double")
+    return rows.withColumn("saliency", F.round("saliency", 6))
 
 
 def winners(patches: DataFrame, queries: DataFrame) -> DataFrame:
     """``qid, qtok, page_id, tok``: the patch that answers each query token on each page, the lower token on ties."""
-    pairs = patches.select("page_id", "tok", "v").crossJoin(queries.select("qid", "qtok", F.col("v").alias("q")))
-    sims = pairs.select("qid", "qtok", "page_id", "tok", F.round(vec.dot(F.col("q"), F.col("v")), 9).alias("sim"))
-    return sims.groupBy("qid", "qtok", "page_id").agg(F.max_by("tok", F.struct("sim", -F.col("tok"))).alias("tok"))
+    return token_matches(patches, queries).select("qid", "qtok", "page_id", "tok")
 
 
 def winner_coverage(won: DataFrame) -> DataFrame:
     """``n_queries, n_winners``: distinct winning patches after the first n queries (by id)."""
     first = won.groupBy("page_id", "tok").agg(F.min("qid").alias("qid"))
     per = won.select("qid").distinct().join(first.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left")
-    w = Window.orderBy("qid")
-    return per.select(F.row_number().over(w).alias("n_queries"), F.sum(F.coalesce("n", F.lit(0))).over(w).alias("n_winners"))
+    return running(per, ["qid"], n_queries=F.lit(1), n_winners=F.coalesce("n", F.lit(0))).select(F.col("n_queries").cast("int").alias("n_queries"), "n_winners")
 
 
-def pruned(patches: DataFrame, saliency: DataFrame | None, *, keep_ratio: float | None = None, threshold: float | None = None, min_keep: int = 1, redundancy_threshold: float = 1.0, merge: bool = True) -> DataFrame:
+def pruned(patches: DataFrame, saliency: DataFrame | None, *, keep_ratio: float | None = None, threshold: float | None = None, min_keep: int = 1, redundancy_threshold: float = 1.0, merge: bool = True, keep_text_tokens: bool = True) -> DataFrame:
     """Patches that survive the spatial budget and redundancy clustering: ``page_id, tok, size, v``.
 
-    ``saliency``: ``page_id, tok, saliency``; None keeps all. Structural tokens are never pruned.
+    ``saliency``: ``page_id, tok, saliency``; its column ``keep``, if there, is the budget; None keeps all. Structural tokens are never pruned, but left out without ``keep_text_tokens``.
     """
     body, text = patches.where(~F.col("is_text")), patches.where("is_text")
     if saliency is None:
         body = body.withColumn("saliency", F.lit(1.0))
+    elif "keep" in saliency.columns:
+        body = body.join(saliency.where("keep").select("page_id", "tok", "saliency"), ["page_id", "tok"])
     else:
         body = body.join(saliency.select("page_id", "tok", "saliency"), ["page_id", "tok"])
         page = Window.partitionBy("page_id")
@@ -184,7 +251,7 @@ def pruned(patches: DataFrame, saliency: DataFrame | None, *, keep_ratio: float
         out = merged(body, redundancy(body, redundancy_threshold, "saliency"), merge)
     else:
         out = body.select("page_id", "tok", F.lit(1).alias("size"), "v")
-    return out.unionByName(text.select("page_id", "tok", F.lit(1).alias("size"), "v"))
+    return out.unionByName(text.select("page_id", "tok", F.lit(1).alias("size"), "v")) if keep_text_tokens else out
 
 
 def pruning_stats(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -195,6 +262,25 @@ def pruning_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "page_id", "left").select("page_id", "n_before", n.alias("n_after"), F.round(n / F.greatest("n_before", F.lit(1)), 6).alias("keep_ratio"))
 
 
+def stage_counts(patches: DataFrame, spatial: DataFrame, kept: DataFrame) -> DataFrame:
+    """Tokens of every page by stage: before, on the grid, after the spatial budget, after redundancy, and in the end, with
+    the share of the grid that the budget dropped and the number of clusters.
+
+    ``spatial``: grid tokens that the budget kept; ``kept``: :func:`pruned` (``size``: members of a cluster).
+    """
+    b = patches.groupBy("page_id").agg(F.count("*").alias("n_before"), F.count_if(~F.col("is_text")).alias("n_patches"))
+    s = spatial.groupBy("page_id").agg(F.count("*").alias("n_after_spatial"))
+    a = kept.join(patches.select("page_id", "tok", "is_text"), ["page_id", "tok"]).groupBy("page_id").agg(F.count_if(~F.col("is_text")).alias("n_after_redundancy"), F.count("*").alias("n_after"), F.count_if(F.col("size") > 1).alias("n_merged"))
+    out = b.join(s, "page_id", "left").join(a, "page_id", "left").fillna(0)
+    return out.withColumn("blank_fraction", F.round(1 - F.col("n_after_spatial") / F.greatest("n_patches", F.lit(1)), 6))
+
+
+def random_subset(patches: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """``k`` patches of each page, the first by md5 of seed, page and token: a control for selectors."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "page_id", "tok").cast("binary"))
+    return patches.withColumn("turn", F.row_number().over(Window.partitionBy("page_id").orderBy(order, "tok"))).where(F.col("turn") <= k).drop("turn")
+
+
 def pooled(patches: DataFrame, k: int, method: str = "kmeans", seed: int = 0) -> DataFrame:
     """Pages pooled to ``k`` unit vectors by spherical k-means or average-link clustering: ``page_id, tok, v``."""
 

@@ -1,70 +1,183 @@
-"""MaxSim scoring, ranking and re-ranking.
+"""MaxSim scoring, winners of query tokens, ranking and re-ranking.
 
-Pages are rows that hold all their vectors, so scoring needs no shuffle: page rows meet blocks of query tokens in a
-nested-loop join and one matrix product per pair of batches gives ``sum over query tokens of max over patches``.
+Pages are rows that hold all their vectors, so scoring needs no shuffle: pages alone go through Python, query tokens are
+sent to the workers once, in blocks of a bounded number of vectors, and matrix products of page batches with query blocks
+give ``sum over query tokens of max over patches``, or the patch that wins. More query tokens than a block are more scans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmax.functions import vec
 
-#: Query tokens in a block of the join.
-BLOCK_TOKENS = 512
+#: Query tokens that are sent to the workers at once, and those and the patches of one matrix product.
+BLOCK_TOKENS = 1 << 16
+PRODUCT_TOKENS, PRODUCT_PATCHES = 512, 1 << 14
 EMPTY_PAGE = float("-inf")
 
 
-def page_rows(vectors: DataFrame, column: str = "v") -> DataFrame:
-    """``page_id, n, flat``: a page's vectors in token order, one after another."""
-    rows = vectors.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("tok", F.col(column).alias("v")))).alias("rows"))
-    return rows.select("page_id", F.size("rows").alias("n"), F.flatten(F.transform("rows", lambda x: x["v"])).alias("flat"))
-
-
-def query_blocks(queries: DataFrame, column: str = "v", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``block, qids, qflat``: whole queries packed into blocks by hash."""
-    n = max(1, -(-queries.count() // block_tokens))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)))
-    rows = q.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("qid", "qtok", F.col(column).alias("v")))).alias("rows"))
-    return rows.select("block", F.transform("rows", lambda x: x["qid"]).alias("qids"), F.flatten(F.transform("rows", lambda x: x["v"])).alias("qflat"))
-
-
-def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, n, flat, block, qids, qflat) to (qid, page_id, score)."""
-    for batch in batches:
-        block = batch.column(3).to_numpy()
-        pages, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        flat_all, flat_at = batch.column(2).values.to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
-        for b in np.unique(block):
-            rows = np.flatnonzero(block == b)
-            qids = np.array(batch.column(4)[int(rows[0])].as_py())
-            q = np.array(batch.column(5)[int(rows[0])].as_py(), np.float64).reshape(len(qids), -1)
-            first = np.flatnonzero(np.concatenate([[True], qids[1:] != qids[:-1]]))
-            full = rows[sizes[rows] > 0]
-            out = np.full((len(first), len(rows)), EMPTY_PAGE)
-            if len(full):
-                d = np.concatenate([flat_all[flat_at[i] : flat_at[i + 1]] for i in full]).reshape(-1, q.shape[1])
-                starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                best = np.maximum.reduceat(q @ d.T, starts, axis=1)
-                out[:, np.isin(rows, full)] = np.add.reduceat(best, first, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[first], len(rows))), pa.array(np.tile(pages[rows], len(first))), pa.array(out.ravel())], names=["qid", "page_id", "score"])
-
-
-def maxsim(pages: DataFrame, queries: DataFrame, digits: int | None = 6, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def page_rows(vectors: DataFrame, column: str = "v", *more: str) -> DataFrame:
+    """``page_id, n, flat`` and an array of each column of ``more``: a page's vectors in token order, one after another."""
+    held = F.struct("tok", F.col(column).alias("v"), *[c for c in more if c != "tok"])
+    rows = vectors.groupBy("page_id").agg(F.sort_array(F.collect_list(held)).alias("rows"))
+
+    def each(field: str) -> Column:
+        return F.transform("rows", lambda x: x[field])
+
+    return rows.select("page_id", F.size("rows").alias("n"), F.flatten(each("v")).alias("flat"), *[each(c).alias(c) for c in more])
+
+
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def query_blocks(queries: DataFrame, column: str = "v", block_tokens: int | None = None) -> Iterator[Block]:
+    """Ids, token numbers and vectors of whole queries, sorted, about ``block_tokens`` vectors at a time."""
+    n = max(1, -(-queries.count() // (block_tokens or BLOCK_TOKENS)))
+    block = F.pmod(F.xxhash64("qid"), F.lit(n))
+    for b in range(n):
+        part = queries.where(block == b) if n > 1 else queries
+        t = part.select("qid", "qtok", F.col(column).alias("v")).toArrow()
+        qid, qtok = t.column("qid").to_numpy(), t.column("qtok").to_numpy()
+        if not len(qid):
+            if n == 1:
+                yield qid, qtok, np.zeros((0, 1))
+            continue
+        order = np.lexsort((qtok, qid))
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        yield qid[order], qtok[order], flat.reshape(len(qid), -1)[order]
+
+
+def products(block: Block) -> Iterator[Block]:
+    """Whole queries of a block, about ``PRODUCT_TOKENS`` vectors at a time."""
+    qid, qtok, q = block
+    ends = np.flatnonzero(np.diff(qid, append=qid[-1:] + 1)) + 1
+    at = 0
+    while at < len(qid):
+        to = ends[max(np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + PRODUCT_TOKENS, "right") - 1)]
+        yield qid[at:to], qtok[at:to], q[at:to]
+        at = to
+
+
+def page_stretches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of pages of about ``PRODUCT_PATCHES`` patches; a larger page stands alone."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + PRODUCT_PATCHES, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def over_pages(pages: DataFrame, queries: DataFrame, kernel: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, Block], pa.RecordBatch], schema: str, column: str = "v", block_tokens: int | None = None) -> DataFrame:
+    """``kernel(pages, sizes, vectors, queries)`` of stretches of pages (``page_id, n, flat`` and more) and blocks of queries."""
+    context = pages.sparkSession.sparkContext
+
+    def scan(block: Block) -> DataFrame:
+        sent = context.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dim = sent.value[2].shape[1]
+            for batch in batches:
+                sizes = batch.column(1).to_numpy().astype(np.int64)
+                for i, j in page_stretches(sizes):
+                    part = batch.slice(i, j - i)
+                    d = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    for some in products(sent.value):
+                        yield kernel(part, sizes[i:j], d, some)
+
+        return pages.mapInArrow(run, schema)
+
+    return reduce(lambda a, b: a.unionByName(b), map(scan, query_blocks(queries, column, block_tokens)))
+
+
+def score_kernel(pages: pa.RecordBatch, sizes: np.ndarray, d: np.ndarray, block: Block) -> pa.RecordBatch:
+    qid, _, q = block
+    first = np.flatnonzero(np.diff(qid, prepend=qid[:1] - 1))
+    full = sizes > 0
+    out = np.full((len(first), len(sizes)), EMPTY_PAGE)
+    if full.any() and len(first):
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        out[:, full] = np.add.reduceat(np.maximum.reduceat(q @ d.T, starts, axis=1), first, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[first], len(sizes))), pa.array(np.tile(pages.column(0).to_numpy(), len(first))), pa.array(out.ravel())], names=["qid", "page_id", "score"])
+
+
+def maxsim(pages: DataFrame, queries: DataFrame, digits: int | None = 6, block_tokens: int | None = None) -> DataFrame:
     """``qid, page_id, score`` for every query and page; a page without vectors scores -Infinity.
 
     ``pages``: :func:`page_rows`; ``queries``: ``qid, qtok, v``. Scores are rounded so that equal ones tie.
     """
-    pairs = pages.select("page_id", "n", "flat").crossJoin(query_blocks(queries, block_tokens=block_tokens))
-    out = pairs.select("page_id", "n", "flat", "block", "qids", "qflat").mapInArrow(score_batches, "qid long, page_id long, score double")
+    out = over_pages(pages.select("page_id", "n", "flat"), queries, score_kernel, "qid long, page_id long, score double", block_tokens=block_tokens)
     return out if digits is None else out.withColumn("score", F.when(F.col("score") == EMPTY_PAGE, F.col("score")).otherwise(F.round("score", digits)))
 
 
+def hamming(pages: DataFrame, queries: DataFrame, dim: int, digits: int = 6) -> DataFrame:
+    """MaxSim of sign codes with sign codes, ``qid, page_id, score``: bytes are compared by xor and counted bits.
+
+    ``pages``: :func:`page_rows` of ``code`` as arrays of bytes; ``queries``: ``qid, qtok, v`` with ``v`` such an array.
+    A similarity is (dim - 2 different bits) / dim.
+    """
+
+    def kernel(part: pa.RecordBatch, sizes: np.ndarray, d: np.ndarray, block: Block) -> pa.RecordBatch:
+        qid, _, q = block
+        first = np.flatnonzero(np.diff(qid, prepend=qid[:1] - 1))
+        full = sizes > 0
+        out = np.full((len(first), len(sizes)), EMPTY_PAGE)
+        if full.any() and len(first):
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            codes, asked = (np.pad(x.astype(np.uint8), ((0, 0), (0, -x.shape[1] % 8))).view(np.uint64) for x in (d, q))
+            apart = sum(np.bitwise_count(asked[:, None, w] ^ codes[None, :, w]).astype(np.int32) for w in range(codes.shape[1]))
+            out[:, full] = np.add.reduceat(dim - 2 * np.minimum.reduceat(apart, starts, axis=1), first, axis=0) / dim
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[first], len(sizes))), pa.array(np.tile(part.column(0).to_numpy(), len(first))), pa.array(out.ravel())], names=["qid", "page_id", "score"])
+
+    out = over_pages(pages.select("page_id", "n", "flat"), queries, kernel, "qid long, page_id long, score double")
+    return out.withColumn("score", F.when(F.col("score") == EMPTY_PAGE, F.col("score")).otherwise(F.round("score", digits)))
+
+
+def byte_array(code: Column, dim: int) -> Column:
+    """A packed code as an array of its bytes, for :func:`hamming`."""
+    return F.array(*[F.conv(F.hex(F.substring(code, b + 1, 1)), 16, 10).cast("double") for b in range(vec.code_bytes(dim))])
+
+
+MATCH = "qid long, qtok int, page_id long, tok int, sign_tok int, is_text boolean, sign_text boolean, best double, near int"
+
+
+def token_matches(patches: DataFrame, queries: DataFrame, margin: float = 0.05) -> DataFrame:
+    """The patch that answers each query token on each page, the lower token on ties of similarities to 9 digits.
+
+    ``qid, qtok, page_id``; ``tok`` and ``sign_tok``: winners of the vectors and of their signs; ``is_text``, ``sign_text``:
+    whether those are structural tokens; ``best``: the largest similarity; ``near``: patches within ``margin`` of it.
+    """
+
+    def kernel(pages: pa.RecordBatch, sizes: np.ndarray, d: np.ndarray, block: Block) -> pa.RecordBatch:
+        qid, qtok, q = block
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        tok, text = pages.column(3).flatten().to_numpy(), pages.column(4).flatten().to_numpy(zero_copy_only=False)
+        place = np.arange(len(d))
+
+        def winners(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            s = np.round(s, 9)
+            top = np.maximum.reduceat(s, starts, axis=1)
+            return np.minimum.reduceat(np.where(s == np.repeat(top, sizes, axis=1), place, len(d)), starts, axis=1), top
+
+        exact = q @ d.T
+        won, top = winners(exact)
+        signed, _ = winners(q @ np.where(d > 0, 1.0, -1.0).T)
+        near = np.add.reduceat(np.round(exact, 9) >= np.repeat(np.round(np.maximum.reduceat(exact, starts, axis=1) - margin, 9), sizes, axis=1), starts, axis=1, dtype=np.int32)
+        n = len(sizes)
+        columns = [np.repeat(qid, n), np.repeat(qtok, n).astype(np.int32), np.tile(pages.column(0).to_numpy(), len(qid)), tok[won].ravel().astype(np.int32), tok[signed].ravel().astype(np.int32), text[won].ravel(), text[signed].ravel(), np.maximum.reduceat(exact, starts, axis=1).ravel(), near.ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split(" ")[0] for f in MATCH.split(", ")])
+
+    rows = page_rows(patches, "v", "tok", "is_text")
+    return over_pages(rows, queries, kernel, MATCH)
+
+
 def maxsim_relational(patches: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
     """The same by a join and two aggregates; for small inputs and as a check of :func:`maxsim`."""
     pairs = patches.select("page_id", "v").crossJoin(queries.select("qid", "qtok", F.col("v").alias("q")))
@@ -85,10 +198,3 @@ def rerank(hits: DataFrame, pages: DataFrame, queries: DataFrame, k: int) -> Dat
     exact = maxsim(pages.join(hits.select("page_id").distinct(), "page_id", "left_semi"), queries)
     both = hits.join(exact.withColumnRenamed("score", "exact"), ["qid", "page_id"], "left")
     return ranked(both.select("qid", "page_id", F.coalesce("exact", "score").alias("score"), F.col("exact").isNotNull().alias("rescored")), k)
-
-
-def similarities(patches: DataFrame, queries: DataFrame) -> DataFrame:
-    """``qid, qtok, page_id, tok, f, s``: float and sign similarities of all pairs of tokens."""
-    p, q = patches.select("page_id", "tok", "is_text", "v"), queries.select("qid", "qtok", F.col("v").alias("q"))
-    pairs = p.crossJoin(q)
-    return pairs.select("qid", "qtok", "page_id", "tok", "is_text", vec.dot(F.col("q"), F.col("v")).alias("f"), vec.dot(F.col("q"), vec.signs(F.col("v"))).alias("s"))

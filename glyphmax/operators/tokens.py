@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmax.functions import vec
+from glyphmax.plans.running import running
 
 
 def token_runs(positions: DataFrame, group: str, pos: str) -> DataFrame:
@@ -19,9 +20,83 @@ def token_runs(positions: DataFrame, group: str, pos: str) -> DataFrame:
     return positions.withColumn("island", island).groupBy(group, "island").agg(F.min(pos).alias("start"), F.count("*").alias("length")).drop("island")
 
 
-def token_types(runs: DataFrame, thumbnail: int = 64) -> DataFrame:
-    """Runs of non-grid tokens by kind: long ones hold a thumbnail and then instructions, short ones are markers."""
-    return runs.withColumn("kind", F.when(F.col("length") >= thumbnail, "thumbnail").otherwise("marker"))
+def token_kinds(patches: DataFrame, thumbnail: int = 64) -> DataFrame:
+    """``page_id, tok, kind``: grid tokens, and structural ones by their runs. A run of at least ``thumbnail`` tokens begins
+    with a thumbnail of that size; what follows it in the page's last run are instructions; all others are markers."""
+    text = patches.where("is_text").select("page_id", "tok")
+    island = F.col("tok") - F.row_number().over(Window.partitionBy("page_id").orderBy("tok"))
+    run = Window.partitionBy("page_id", "island")
+    text = text.withColumn("island", island).withColumn("size", F.count("*").over(run)).withColumn("at", F.row_number().over(run.orderBy("tok")))
+    text = text.withColumn("final", F.max("island").over(Window.partitionBy("page_id")) == F.col("island"))
+    kind = F.when(F.col("size") < thumbnail, "marker").when(F.col("final") & (F.col("at") > thumbnail), "instruction").otherwise("thumbnail")
+    grid = patches.where(~F.col("is_text")).select("page_id", "tok", F.lit("grid").alias("kind"))
+    return grid.unionByName(text.select("page_id", "tok", kind.alias("kind")))
+
+
+SUBSETS = {"grid": ("grid",), "grid+thumb": ("grid", "thumbnail"), "grid+instr": ("grid", "instruction", "marker"), "all": ("grid", "thumbnail", "instruction", "marker")}
+
+
+def token_subset(patches: DataFrame, keep: str, thumbnail: int = 64) -> DataFrame:
+    """The tokens of some kinds, numbered anew from 0 per page: the grid first, then thumbnail, instructions and markers."""
+    if keep not in SUBSETS:
+        raise ValueError(f"unknown token subset {keep!r}")
+    kinds = SUBSETS[keep]
+    rows = patches.join(token_kinds(patches, thumbnail), ["page_id", "tok"]).where(F.col("kind").isin(*kinds))
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy(place, "tok")) - 1
+    return rows.withColumn("tok", number.cast("int")).select(*patches.columns, "kind")
+
+
+def head_pages(patches: DataFrame, n: int) -> DataFrame:
+    """The rows of the first ``n`` pages by id."""
+    pages = patches.select("page_id").distinct().orderBy("page_id").limit(n)
+    return patches.join(F.broadcast(pages), "page_id", "left_semi")  # n ids
+
+
+def attended(tokens: DataFrame, mask: str = "attention") -> DataFrame:
+    """Tokens whose attention mask is 1, of unit length; the others are padding."""
+    return tokens.where(F.col(mask) == 1).withColumn("v", vec.normalise(F.col("v")))
+
+
+def contiguous_grid(pages: DataFrame, offset: int = 0) -> DataFrame:
+    """``page_id, r, c, tok`` of every cell of ``page_id, rows, cols``: tokens row by row from ``offset``."""
+    cells = pages.select("page_id", "rows", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"))
+    cells = cells.select("page_id", "r", "cols", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
+    return cells.select("page_id", "r", "c", (F.col("r") * F.col("cols") + F.col("c") + offset).cast("int").alias("tok"))
+
+
+def image_positions(tokens: DataFrame, image_id: int | None) -> DataFrame:
+    """``page_id, pos`` of the image patches in a page's tokens (``page_id, pos, input_id``): those of the image token's id; on
+    pages without any, the first ones, as many as the largest square holds."""
+    hit = F.lit(False) if image_id is None else F.coalesce(F.col("input_id") == image_id, F.lit(False))
+    page = Window.partitionBy("page_id")
+    n, any_hit = F.count("*").over(page), F.max(hit).over(page)
+    side = F.floor(F.sqrt(n))
+    at = F.row_number().over(page.orderBy("pos"))
+    return tokens.withColumn("is_patch", F.when(any_hit, hit).otherwise(at <= side * side)).where("is_patch").select("page_id", "pos")
+
+
+def stitched_grid(positions: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page_id, pos, r, c`` of image patches (``page_id, pos``; pages: ``page_id, width, height``).
+
+    More than two runs of one square length are tiles of the page, row by row, and a thumbnail, which has null cells; else
+    patches lie on the grid whose shape is nearest to the page's.
+    """
+    page = Window.partitionBy("page_id")
+    rows = positions.withColumn("island", F.col("pos") - F.row_number().over(page.orderBy("pos")))
+    run = Window.partitionBy("page_id", "island")
+    rows = rows.withColumn("size", F.count("*").over(run)).withColumn("at", F.row_number().over(run.orderBy("pos")) - 1).withColumn("tile", F.dense_rank().over(page.orderBy("island")) - 1)
+    shape = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("island").alias("runs"), F.min("size").alias("size"), F.max("size").alias("most"))
+    side = F.floor(F.sqrt("size"))
+    tiled = (F.col("runs") > 2) & (F.col("size") == F.col("most")) & (side * side == F.col("size"))
+    shape = shape.join(pages.select("page_id", "width", "height"), "page_id").select("page_id", tiled.alias("tiled"), side.alias("side"), (F.col("runs") - 1).alias("tiles"), "width", "height", F.when(tiled, F.col("runs") - 1).otherwise(F.col("n")).alias("n"))
+    shape = shape.join(grid_factors(shape), "page_id")
+    rows = rows.drop("size").join(shape.select("page_id", "tiled", "side", "tiles", "rows", "cols"), "page_id")
+    order = F.row_number().over(page.orderBy("pos")) - 1
+    r, c = stitched(F.col("tile"), F.col("at"), F.col("side"), F.col("cols"))
+    inside = F.col("tile") < F.col("tiles")
+    plain_r, plain_c = F.floor(order / F.col("cols")).cast("int"), (order % F.col("cols")).cast("int")
+    return rows.select("page_id", "pos", F.when(~F.col("tiled"), plain_r).when(inside, r).alias("r"), F.when(~F.col("tiled"), plain_c).when(inside, c).alias("c"))
 
 
 def grid_factors(pages: DataFrame) -> DataFrame:
@@ -117,5 +192,5 @@ def query_set(pages: DataFrame) -> DataFrame:
     """One precise query a page, then one topical query a subject with all its pages: ``qid, kind, query, relevant``."""
     precise = pages.select(F.lit(0).alias("part"), F.col("page_id").alias("key"), F.lit("precise").alias("kind"), F.concat(F.col("kind"), F.lit(" "), F.col("code")).alias("query"), F.array("page_id").alias("relevant"))
     topical = pages.groupBy("subject").agg(F.sort_array(F.collect_set("page_id")).alias("relevant")).select(F.lit(1).alias("part"), F.col("subject").alias("key"), F.lit("topical").alias("kind"), F.concat(F.lit("documents about "), F.col("subject")).alias("query"), "relevant")
-    n = F.row_number().over(Window.orderBy("part", "key"))
-    return precise.unionByName(topical).select(F.format_string("q%04d", n).alias("qid"), "kind", "query", "relevant")
+    rows = running(precise.unionByName(topical), ["part", "key"], n=F.lit(1))
+    return rows.select(F.format_string("q%04d", "n").alias("qid"), "kind", "query", "relevant")

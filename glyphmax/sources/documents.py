@@ -45,8 +45,10 @@ def read_pages(files: DataFrame, splitter: Callable[[bytes, str], list[bytes]] =
     return files.select("doc_id", "suffix", "path", "content").mapInPandas(run, "page_id string, doc_id string, page_no int, source_path string, content binary")
 
 
-def count_pages(files: DataFrame, splitter: Callable[[bytes, str], list[bytes]] = form_feed_pages) -> int:
-    return read_pages(files, splitter).count()
+def count_pages(files: DataFrame, splitter: Callable[[bytes, str], list[bytes]] = form_feed_pages, whole: tuple[str, ...] = (".pgm", ".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff", ".bmp")) -> int:
+    """Pages of files; those of the suffixes ``whole`` have one each and are not read."""
+    images = F.col("suffix").isin(*whole)
+    return files.where(images).select("path").count() + read_pages(files.where(~images), splitter).count()
 
 
 def load_page(files: DataFrame, doc_id: str, page_no: int = 1) -> bytes:

@@ -3,11 +3,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmax import cli, encoders
 from glyphmax.config import Config
 from glyphmax.engine import Engine
+from glyphmax.operators import compare, tokens
 from glyphmax.operators.index import PageIndex
+from glyphmax.plans.running import running
 from glyphmax.plans.views import patches, query_tokens
-from glyphmax.sources import documents
+from glyphmax.sources import documents, storage
 from glyphmax.streaming import ingest
 
 
@@ -101,3 +104,74 @@ def test_streams(spark, sf, tmp_path):
     ingest.index_stream(source, index, str(tmp_path / "cp2")).awaitTermination()
     assert index.stats().first()["n_pages"] == 9 and index.codes.count() == 90
     assert ingest.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_documents_to_search(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 30").select(F.col("doc_id").alias("page_id"), "text")
+    c = Config().with_overrides(index={"path": str(tmp_path / "i")}, encoder={"dim": 32, "grid": 8}, pruning={"min_keep": 4}, search={"rerank": True, "top_k": 2, "prefilter_k": 9})
+    words = tokens.layout(docs.withColumnRenamed("page_id", "doc_id")).select(F.col("doc_id").alias("page_id"), F.lower("word").alias("token"), "x0", "y0", "x1", "y1")
+    e = Engine(spark, c, words)
+    stats = e.build_documents(docs).first()
+    assert stats["n_pages"] == 30 and 0 < stats["n_vectors"] < 30 * (64 + encoders.TAIL)
+    rare = words.groupBy("token").agg(F.countDistinct("page_id").alias("n"), F.min("page_id").alias("page"), F.count("*").alias("m")).where("n = 1 AND token rlike '^[a-z]{6,}$'").orderBy("token").first()
+    again = Engine(spark, c, words)
+    again.open()
+    hits = again.search_text(spark.createDataFrame([(0, rare["token"])], "qid long, query string")).collect()
+    assert len(hits) == 2 and hits[0]["rescored"]
+    e.build_documents(docs.where("page_id < 3").withColumn("page_id", F.col("page_id") + 100), "append")
+    assert Engine(spark, c).open().pages.count() == 33
+    with pytest.warns(RuntimeWarning, match="1 pages"):
+        e.encoder().missing(spark.createDataFrame([(999, "x")], "page_id long, text string"))
+
+
+def test_encoders(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "some words " * 40), (2, ""), (3, None)], "page_id long, text string")
+    e = encoders.encoder("hashed", dim=8, grid=4)
+    rows = e.encode_pages(pages).orderBy("page_id", "tok").collect()
+    assert len(rows) == 3 * (16 + encoders.TAIL) and all(abs(sum(x * x for x in r["v"]) - 1) < 1e-9 for r in rows)
+    assert sorted(e.encode_pages(pages.repartition(3)).collect()) == sorted(rows)
+    assert [r["v"] for r in rows if r["page_id"] == 2][0] == [r["v"] for r in rows if r["page_id"] == 3][0]
+    q = spark.createDataFrame([(1, "Two words"), (2, "!!")], "qid long, query string")
+    first = sorted(encoders.cached_queries(e, q, str(tmp_path / "q")).collect())
+    assert [(r["qid"], r["qtok"]) for r in first] == [(1, 0), (1, 1), (2, 0)] and sorted(encoders.cached_queries(e, q, str(tmp_path / "q")).collect()) == first
+    encoders.cached_queries(e, q.where("qid = 1"), str(tmp_path / "q"))
+    assert len(list((tmp_path / "q").iterdir())) == 2
+    assert encoders.encoder("seeded", dim=8, grid=4).encode_queries(q).count() == 3
+    with pytest.raises(ValueError):
+        encoders.encoder("other")
+    stored = storage.store_encodings(e.encode_pages(pages), str(tmp_path / "e"))
+    assert sorted(stored.collect()) == sorted(rows)
+
+
+def test_index_reports_errors_and_appends(spark, sf, tmp_path):
+    p = patches(spark, sf)
+    index = PageIndex(spark, str(tmp_path / "i"), 64, "binary")
+    assert index.try_write(p, p)["ok"] and not index.try_write(p, p.drop("v"))["ok"] and index.stats().first()["n_pages"] == 50
+    index.write(p, p, "append")
+    assert len(index.versions) == 2 and PageIndex.open(spark, index.path).codes.count() == 1000
+    with pytest.raises(ValueError):
+        index.write(p, p, "other")
+
+
+def test_commands(spark, sf, tmp_path, capsys):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 5").select(F.col("doc_id").alias("page_id"), "text")
+    docs.write.parquet(str(tmp_path / "d.parquet"))
+    Config().with_overrides(index={"path": str(tmp_path / "i")}, encoder={"dim": 16, "grid": 4}).dump(str(tmp_path / "c.yaml"))
+    c = ["--config", str(tmp_path / "c.yaml")]
+    for args in (["make-corpus", str(tmp_path / "m"), "--docs", "3"], ["index", str(tmp_path / "d.parquet"), *c], ["search", "any words", "--top-k", "2", *c], ["stats", *c], ["explain", str(tmp_path / "d.parquet"), "--page", "0", *c], ["init-config", str(tmp_path / "x.yaml")]):
+        assert cli.main(args) == 0
+    assert json.loads((tmp_path / "m" / "manifest.json").read_text())["n_pages"] == 6
+    out = capsys.readouterr().out
+    assert "n_pages" in out and "#" in out
+
+
+def test_zip_claims_and_running(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "z")], "k int, b string")
+    with pytest.raises(Exception, match="differ in length"):
+        compare.zipped(a, b, ["k"]).collect()
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("k"), F.lit(2).alias("x"))
+    got = running(rows, ["k"], n=F.lit(1), s=F.col("x")).collect()
+    assert all(r["n"] == r["k"] + 1 and r["s"] == 2 * r["n"] for r in got)
+    report = spark.createDataFrame([("a", "baseline", 1.0, 0.8), ("a", "binary", 32.0, 0.6), ("a", "spatial+redundancy", 2.0, 0.78)], "regime string, variant string, compression_ratio double, ndcg_5 double")
+    found = {r["claim"]: r["holds"] for r in compare.claims(report).collect()}
+    assert found == {"pruning is nearly free": True, "the loss is the code's": True}

@@ -130,3 +130,30 @@ def test_words_and_vectors(spark):
     assert np.allclose(v, tokens.seeded_vector("ABC", 8)) and abs(np.linalg.norm(v) - 1) < 1e-6
     docs = spark.createDataFrame([(1, "two words\nnext")], "doc_id long, text string")
     assert tokens.layout_grid(tokens.layout(docs), 4, 8).count() >= 2
+
+
+def test_smaller_before_and_pages_in_parts():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 37, 200):
+        x = r.permutation(n)
+        assert metrics.smaller_before(x).tolist() == [int((x[:i] < x[i]).sum()) for i in range(n)]
+    qid = np.repeat([1, 2, 3, 4], [700, 3, 600, 1])
+    parts = list(similarity.products((qid, np.arange(len(qid)), np.zeros((len(qid), 2)))))
+    assert [np.unique(p[0]).tolist() for p in parts] == [[1], [2], [3], [4]] or all(len(p[0]) for p in parts)
+    assert np.concatenate([p[0] for p in parts]).tolist() == qid.tolist()
+
+
+def test_masks_of_pages_equal_those_of_tables(spark):
+    docs = spark.createDataFrame([(i, ("word " * (7 * i) + "\n") * 3) for i in range(8)], "page_id long, text string")
+    for how in ({"blank_threshold": 0.4}, {"keep_ratio": 0.3}, {"keep_ratio": 0.1, "min_keep": 1}):
+        a = grid.page_masks(docs, **how)
+        assert sorted(a.collect()) == sorted(grid.keep_mask(grid.page_saliency(docs), **how).select(*a.columns).collect())
+
+
+def test_rasters_change_size():
+    x = np.arange(48.0).reshape(6, 8)
+    assert np.allclose(grid.resized(x, 3, 4), x.reshape(3, 2, 4, 2).mean(axis=(1, 3))) and grid.resized(x, 4, 5).shape == (4, 5)
+    assert grid.resized(x, 4, 5).mean() == pytest.approx(x.mean()) and grid.resized(x, 12, 8).shape == (12, 8)
+    assert grid.downscaled(x, 99) is x and grid.downscaled(x, 4).shape == (3, 4) and grid.downscaled(np.ones((1, 500)), 5).shape == (1, 5)
+    with pytest.raises(ValueError):
+        grid.saliency_on_grid(x, 0, 3)
