@@ -141,14 +141,15 @@ def image_positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 # five runs of four patches: four tiles of 2 x 2 on a 2 x 2 page of tiles, and a thumbnail
-@registered("""SELECT vec_id // 24 AS page_id, vec_id % 24 AS pos, CAST(CASE WHEN vec_id % 24 < 20 THEN (vec_id % 24 // 5 // 2) * 2 + vec_id % 24 % 5 // 2 END AS INTEGER) AS r,
-  CAST(CASE WHEN vec_id % 24 < 20 THEN (vec_id % 24 // 5 % 2) * 2 + vec_id % 24 % 5 % 2 END AS INTEGER) AS c FROM embeddings
+@registered("""SELECT vec_id // 24 AS page_id, vec_id % 24 AS pos, CAST(CASE WHEN vec_id % 24 < 20 THEN (vec_id % 24 // 5 // 2) * 2 + vec_id % 24 % 5 // 2 ELSE -1 END AS INTEGER) AS r,
+  CAST(CASE WHEN vec_id % 24 < 20 THEN (vec_id % 24 // 5 % 2) * 2 + vec_id % 24 % 5 % 2 ELSE -1 END AS INTEGER) AS c FROM embeddings
 WHERE vec_id % 24 % 5 < 4 AND vec_id // 24 < (SELECT count(*) // 24 FROM embeddings)""")
 def stitched_grids(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     page, pos = F.floor(F.col("vec_id") / 24).cast("long"), F.col("vec_id") % 24
     rows = e.where((pos % 5 < 4) & (page < e.count() // 24)).select(page.alias("page_id"), pos.alias("pos"))
-    return tokens.stitched_grid(rows, rows.select("page_id").distinct().withColumns({"width": F.lit(100), "height": F.lit(100)}))
+    out = tokens.stitched_grid(rows, rows.select("page_id").distinct().withColumns({"width": F.lit(100), "height": F.lit(100)}))
+    return out.select("page_id", "pos", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("r", "c")])
 
 
 @registered(SQL + """, b AS (SELECT page_id, count(*) AS n_before, count(*) FILTER (WHERE tok < 8) AS n_patches FROM patch GROUP BY 1)
