@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from glyphmax.llm.common import broadcast_small, flat_text, lean, row_key, shared_table, slices
+from glyphmax.llm.common import flat_text, lean, row_key, shared_table, slices
 
 MIN_CHARS = 16
 #: Edits at most, and code points of the shorter line for each of them.
@@ -41,7 +41,7 @@ KEYS_A_LINE, BUCKET_KEYS, KEY_BITS = 26, 1 << 20, 31
 #: Lines whose keys are made at once.
 KEY_LINES = 1 << 14
 #: Shared keys that are sent to all workers (8 bytes each); more are joined.
-SENT_KEYS = 2_000_000
+SENT_KEYS = 8_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -210,28 +210,33 @@ def lines_of_edits(distinct: DataFrame, edits: int, sent_keys: int = SENT_KEYS)
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines to a row a key; with the keys known, to those only, the line's place and text beside the first of them."""
         for batch in batches:
-            lines = batch.column(2)
-            for i, j in slices(flat_text(lines)[1], rows=KEY_LINES):
-                at, seed = seeds(lines.slice(i, j - i).to_pylist(), edits)
+            for i, j in slices(flat_text(batch.column(5))[1], rows=KEY_LINES):
+                part = batch.slice(i, j - i)
+                at, seed = seeds(part.column(5).to_pylist(), edits)
                 bucket, low = located(seed, buckets)
                 key = (low >> np.uint32(1)).astype(np.int64) | bucket << KEY_BITS
+                first = np.zeros(len(at), bool)
                 if known is not None:
                     place = np.searchsorted(known.value, key)
                     there = np.flatnonzero(known.value[np.minimum(place, len(known.value) - 1)] == key) if len(known.value) else np.zeros(0, np.int64)
-                    at, key, low = at[there], key[there], low[there]
-                h1, h2 = (batch.column(k).slice(i, j - i).to_numpy()[at] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(key), pa.array((low & np.uint32(1)).astype(bool))], names=["h1", "h2", "key", "own"])
-
-    held = texts.select("h1", "h2", "text").mapInArrow(rows, "h1 long, h2 long, key long, own boolean")
-    if not few:
-        held = held.join(shared, "key", "left_semi")
-    held = shared_table(held.distinct(), "key-lines")
-    own = held.where("own").select("key", F.struct("h1", "h2").alias("a"))
-    pairs = own.join(held.select("key", F.struct("h1", "h2").alias("b")), "key").where("a != b")
+                    at, key, low, first = at[there], key[there], low[there], first[there]
+                    first[np.unique(at, return_index=True)[1]] = True
+                pick, shown = pa.array(at), pa.array(np.where(first, at, 0), mask=~first)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pick), part.column(1).take(pick), *(part.column(k).take(shown) for k in range(2, 6)), pa.array(key), pa.array((low & np.uint32(1)).astype(bool))], names=["h1", "h2", *PLACE, "text", "key", "own"])
+
+    held = texts.select("h1", "h2", *PLACE, "text").mapInArrow(rows, "h1 long, h2 long, doc_id long, rk long, line int, text string, key long, own boolean")
+    held = shared_table(held if few else held.join(shared, "key", "left_semi"), "key-lines")
+    own = held.where("own").select("key", F.struct("h1", "h2").alias("a")).distinct()
+    pairs = own.join(held.select("key", F.struct("h1", "h2").alias("b")).distinct(), "key").where("a != b")
     pairs = shared_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    ends = broadcast_small(shared_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().select("h.*"), "pair-lines"))
-    ends = shared_table(texts.join(ends, ["h1", "h2"], "left_semi").select("h1", "h2", F.struct(*PLACE).alias("first"), "text"), "pair-texts")
+    if few:
+        ends = held.where("text IS NOT NULL")
+    else:
+        ends = texts.join(shared_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().select("h.*"), "pair-lines"), ["h1", "h2"], "left_semi")
+        ends = shared_table(ends, "pair-texts")
+    ends = ends.select("h1", "h2", F.struct(*PLACE).alias("first"), "text")
     a, b = (ends.select(F.struct("h1", "h2").alias(x), F.struct("first", "h1", "h2", "text").alias(f"line_{x}")) for x in ("a", "b"))
     n = F.least(F.length("line_a.text"), F.length("line_b.text"))
     bound = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(n / EDIT_CHARS)))
