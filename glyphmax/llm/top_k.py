@@ -8,8 +8,8 @@ lower bound (or the k-th best score that an earlier block gave); the remaining c
 full. A round's new terms and both bounds of all queries of a block are matrix products; queries with few candidates left
 and candidates that no query needs are not read for again.
 
-Queries are cut into blocks as well, so neither side is held or broadcast whole; each candidate block meets each query
-block once. Per block k rows a query are passed on and ranked.
+Queries go to the workers in rounds of a bounded number; a task keeps its k best of each and lets its later blocks begin
+with their scores as bounds. Per task k rows a query are passed on and ranked.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
 padded with zeros; a query's own row is no candidate, all other rows are, those of its vec_id too; each row of a
@@ -22,16 +22,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import shared_table
+from glyphmax.llm.common import lean, shared_table
 
 K = 5
 QUERY_EVERY = 50
 CANDIDATE_ROWS = 4096
 QUERY_ROWS = 2048
+#: Queries that are sent to the workers in one round, 16 MB of 64 components; more are more rounds.
+ROUND_QUERIES = 1 << 15
 #: Shares of a block's lists that are read before bounds are compared.
 DEPTHS = (0.2, 0.45, 0.7)
 RESULT = "query_row long, query_id long, vec_id long, score long"
@@ -105,42 +108,68 @@ def block_top_k(weights: np.ndarray, x: np.ndarray, query_row: np.ndarray, row:
     return q[keep], c[keep], score[keep]
 
 
-def search_blocks(k: int):
-    def run(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_row", "query_id", "vec_id", "score")})
-        dims = max(queries["v"].map(len).max(), candidates["v"].map(len).max())
+def matrix(column: pa.ListArray, dims: int) -> np.ndarray:
+    """Vectors as rows, shorter ones padded with zeros."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (sizes == dims).all():
+        return flat.reshape(-1, dims)
+    out = np.zeros((len(sizes), dims), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
 
-        def matrix(rows: pd.Series) -> np.ndarray:
-            out = np.zeros((len(rows), dims), np.int64)
-            for i, v in enumerate(rows):
-                out[i, : len(v)] = v
-            return out
 
-        w, x = matrix(queries["v"]), matrix(candidates["v"])
-        query_row, row, vec_id = queries["row"].to_numpy(), candidates["row"].to_numpy(), candidates["vec_id"].to_numpy()
+def search(sent, k: int, dims: int, candidate_rows: int, query_rows: int):
+    """Candidates (row, vec_id, v) to the ``k`` best of this task for each query that was sent (row, vec_id, matrix)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_row, query_id, w = sent.value
         floor_ = np.full(len(w), -np.inf)
-        blocks = (slice(i, i + CANDIDATE_ROWS) for i in range(0, len(x), CANDIDATE_ROWS))
-        parts = [(q, c + b.start, s) for b in blocks for q, c, s in [block_top_k(w, x[b], query_row, row[b], vec_id[b], k, floor_)]]
-        q, c, s = (np.concatenate(p) for p in zip(*parts))
-        out = pd.DataFrame({"query_row": query_row[q], "query_id": queries["vec_id"].to_numpy()[q], "vec_id": vec_id[c], "score": s})
-        return out.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True]).groupby("query_row", sort=False).head(k)
+        best = [np.zeros((3, 0), np.int64) for _ in range(0, len(w), query_rows)]  # query, vec_id and score of each block's queries
+
+        def met(x: np.ndarray, row: np.ndarray, vec_id: np.ndarray) -> None:
+            for n, a in enumerate(range(0, len(w), query_rows)):
+                part = slice(a, a + query_rows)
+                q, c, s = block_top_k(w[part], x, query_row[part], row, vec_id, k, floor_[part])
+                q, i, s = np.concatenate([best[n], np.stack([q, vec_id[c], s])], axis=1)
+                order = np.lexsort((i, -s, q))
+                q, i, s = q[order], i[order], s[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                best[n] = np.stack([q, i, s])[:, rank < k]
+                full = best[n][:, np.flatnonzero(np.arange(best[n].shape[1]) - np.searchsorted(best[n][0], best[n][0]) == k - 1)]
+                floor_[part][full[0]] = np.maximum(floor_[part][full[0]], full[2])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, candidate_rows):
+                part = batch.slice(i, candidate_rows)
+                met(matrix(part.column(2), dims), part.column(0).to_numpy(), part.column(1).to_numpy())
+        for n, a in enumerate(range(0, len(w), query_rows)):
+            q, i, s = best[n]
+            yield pa.RecordBatch.from_arrays([pa.array(query_row[a + q]), pa.array(query_id[a + q]), pa.array(i), pa.array(s)], names=["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS, round_queries: int = ROUND_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: for rows whose vec_id is divisible by ``query_every`` the k best other rows."""
+    spark = vectors.sparkSession
     rows = vectors.select("vec_id", integers(F.col("embedding")).alias("v")).where("v IS NOT NULL AND vec_id IS NOT NULL")
     # the number of a row, fixed by writing it, tells rows of one vec_id apart
-    rows = shared_table(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = shared_table(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
     is_query = F.col("vec_id") % query_every == 0
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    n_c, n_q = max(1, -(-sizes["n"] // (4 * candidate_rows))), max(1, -(-sizes["q"] // query_rows))
-    spread = F.xxhash64("row")
-    left = rows.where(is_query).withColumn("qb", F.pmod(spread, F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    right = rows.withColumn("cb", F.pmod(spread, F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search_blocks(k), RESULT)
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("v")).alias("dims")).first()
+    dims, rounds = max(1, sizes["dims"] or 1), max(1, -(-sizes["q"] // round_queries))
+    # a task holds the best of a round's queries only, so it may read many candidates
+    spread = rows.repartition(max(1, -(-sizes["n"] // (4 * candidate_rows))))
+    found = None
+    for r in range(rounds):
+        q = rows.where(is_query & (F.pmod("row", F.lit(rounds)) == r)).toArrow()
+        ids = [q.column(c).to_numpy() for c in ("row", "vec_id")]
+        sent = spark.sparkContext.broadcast((*ids, matrix(q.column("v").combine_chunks(), dims)))
+        part = spread.mapInArrow(search(sent, k, dims, candidate_rows, query_rows), RESULT)
+        found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
