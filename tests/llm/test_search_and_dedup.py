@@ -16,7 +16,7 @@ from glyphmax.llm import line_dedup, simhash_dedup, source_mix, substring_dedup,
 from glyphmax.llm.components import connected_components
 
 
-@pytest.mark.parametrize("blocks", [{}, {"candidate_rows": 8, "query_rows": 2}])
+@pytest.mark.parametrize("blocks", [{}, {"candidate_rows": 8, "query_rows": 2}, {"candidate_rows": 100, "round_queries": 3}])
 def test_top_k_equals_sql_and_ties(spark, sf, blocks):
     from comparing import same_rows
 
