@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from glyphmax import cli, encoders
 from glyphmax.config import Config
 from glyphmax.engine import Engine
-from glyphmax.operators import compare, tokens
+from glyphmax.operators import compare, metrics, tokens
 from glyphmax.operators.index import PageIndex
 from glyphmax.plans.running import running
 from glyphmax.plans.views import patches, query_tokens
@@ -165,6 +165,15 @@ def test_commands(spark, sf, tmp_path, capsys):
     assert "n_pages" in out and "#" in out
 
 
+def test_first_texts_and_restricted_judgements(spark):
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 3)], "t string, n int")
+    assert sorted((r["t"], r["n"]) for r in documents.first_per_text(rows, "t", "n").collect()) == [("a", 1), ("b", 3)]
+    judged = spark.createDataFrame([(1, 10), (2, 11)], "qid long, page_id long")
+    assert metrics.restricted(judged, spark.createDataFrame([(10,)], "page_id long")).first()["qid"] == 1
+    with pytest.raises(ValueError):
+        metrics.restricted(judged, spark.createDataFrame([(12,)], "page_id long"))
+
+
 def test_zip_claims_and_running(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "z")], "k int, b string")
     with pytest.raises(Exception, match="differ in length"):
