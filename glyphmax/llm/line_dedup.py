@@ -255,24 +255,36 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", edits: int = EDITS) -> DataFrame:
-    """The rows of ``docs``, all columns, and ``kept_text``, ``n_lines`` and ``n_removed``, which take the place of columns of
-    these names."""
-    added = ("kept_text", "n_lines", "n_removed")
-    gone = removed_lines(docs, min_chars, text, key, edits)
-    mine = [c for c in docs.columns if c not in added]
-    src = docs.select(F.struct(*[docs[c] for c in mine]).alias("row"), F.coalesce(text, F.lit("")).alias("text"), row_key(key, text).alias("rk"), F.col(key).cast("long").alias("doc_id"))
+ADDED = ("kept_text", "n_lines", "n_removed")
+
+
+def kept_rows(docs: DataFrame, columns: list[str], text: str, key: str, **how) -> DataFrame:
+    """``row`` (a struct of ``columns``), ``kept_text``, ``n_lines`` and ``n_removed`` of every row of ``docs``."""
+    gone = removed_lines(docs, text=text, key=key, **how)
+    src = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.coalesce(text, F.lit("")).alias("text"), row_key(key, text).alias("rk"), F.col(key).cast("long").alias("doc_id"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("rk").alias("gone_rk"), F.col("lines").alias("gone_lines"))
     rows = src.join(gone, (F.col("rk") == F.col("gone_rk")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
-    rows = rows.select(
+    return rows.select(
         "row",
         F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return rows.select("row.*", *added)
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, and ``kept_text``, ``n_lines`` and ``n_removed``, which take the place of columns of
+    these names. ``how``: ``min_chars`` and ``edits`` of :func:`removed_lines`."""
+    return kept_rows(docs, [c for c in docs.columns if c not in ADDED], text, key, **how).select("row.*", *ADDED)
+
+
+def cleaned(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` with the same columns, whose ``text`` is what is kept and whose ``n_chars``, if there, is its length."""
+    rows = kept_rows(docs, docs.columns, "text", "doc_id", **how)
+    own = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return rows.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def line_digest(docs: DataFrame, **how) -> DataFrame:
