@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphmax.llm.common import shared_table, small_batches
-from glyphmax.llm.line_dedup import deduplicated
+from glyphmax.llm.line_dedup import cleaned
 from glyphmax.llm.quality_model import good_documents
 from glyphmax.llm.sentence_pieces import encode_documents
 from glyphmax.llm.simhash_dedup import one_of_each
@@ -28,8 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line equals or nearly equals."""
-    kept = deduplicated(docs)
-    return kept.select(*[F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
