@@ -153,11 +153,15 @@ def bootstrap(per_query_a: DataFrame, per_query_b: DataFrame, metric: str, round
     0 in the order of ids. Queries are numbered and joined with the draws by number.
     """
     d = per_query_a.select("qid", F.col(metric).alias("a")).join(per_query_b.select("qid", F.col(metric).alias("b")), "qid")
-    d = running(d.select("qid", (F.col("b") - F.col("a")).alias("d")), ["qid"], i=F.lit(1)).select("i", "d")
+    d = d.select("qid", (F.col("b") - F.col("a")).alias("d")).persist()  # a row a query, read by every step below
+    d_numbered = running(d, ["qid"], i=F.lit(1)).select("i", "d")
     n = d.count()
-    draws = d.select("i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", ((drawn(seed, "round", "i") % max(n, 1)) + 1).alias("i"))
-    means = draws.join(d, "i").groupBy("round").agg(F.round(F.avg("d"), 9).alias("m"))
-    return means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.round(F.avg((F.col("m") > 0).cast("int")), 6).alias("above_zero"))
+    draws = d_numbered.select("i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", ((drawn(seed, "round", "i") % max(n, 1)) + 1).alias("i"))
+    means = draws.join(d_numbered, "i").groupBy("round").agg(F.round(F.avg("d"), 9).alias("m"))
+    out = means.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.round(F.avg((F.col("m") > 0).cast("int")), 6).alias("above_zero"))
+    row = tuple(out.first())
+    d.unpersist()
+    return out.sparkSession.createDataFrame([row], out.schema)
 
 
 def first_hit_gain(run: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
