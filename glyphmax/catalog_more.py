@@ -14,6 +14,7 @@ from glyphmax.engine import Engine
 from glyphmax.functions import ids
 from glyphmax.operators import codecs, compare, corpus, geometry, grid, index, metrics, prune, selectors, similarity, tokens
 from glyphmax.plans.views import DIM, SCORES_SQL, SQL, judgements, patches, probes, query_tokens, table
+from glyphmax.sources import documents
 
 GRID, HASH_DIM = 4, 16
 
@@ -352,3 +353,14 @@ def corpus_lines(spark: SparkSession, d: str) -> DataFrame:
 SELECT page_id, line, token, round(least(1.0, col * s / 80), 6)::DOUBLE AS x0, round(least(1.0, line / 40), 6)::DOUBLE AS y0, round(least(1.0, (col + length(token)) * s / 80), 6)::DOUBLE AS x1, round(least(1.0, (line + s) / 40), 6)::DOUBLE AS y1 FROM w""")
 def corpus_boxes(spark: SparkSession, d: str) -> DataFrame:
     return corpus.word_boxes(corpus.page_lines(page_catalogue(spark, d)), 1.5)
+
+
+@registered("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def first_texts(spark: SparkSession, d: str) -> DataFrame:
+    return documents.first_per_text(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
+
+
+@registered(SQL + "SELECT qid, page_id FROM qrels WHERE page_id % 2 = 0")
+def restricted_judgements(spark: SparkSession, d: str) -> DataFrame:
+    p = patches(spark, d)
+    return metrics.restricted(judgements(p), p.where("page_id % 2 = 0"))
