@@ -73,6 +73,26 @@ def merged(patches: DataFrame, clusters: DataFrame, merge: bool = True) -> DataF
     return mean.join(size, ["page_id", "leader"]).select("page_id", F.col("leader").alias("tok"), "size", vec.normalise(F.col("v")).alias("v"))
 
 
+def clustered(patches: DataFrame, threshold: float, order: str | None = None, merge: bool = True) -> DataFrame:
+    """:func:`merged` of :func:`redundancy`, made while a page is at hand: no join and no row a component."""
+    rows = patches.select("page_id", "tok", (F.col(order) if order else F.lit(0.0)).cast("double").alias("o"), "v")
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["o", "tok"], ascending=[False, True])
+        x = np.stack(page["v"].to_numpy()).astype(np.float64)
+        leader = greedy_clusters(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), threshold)
+        size = np.bincount(leader, minlength=len(x))
+        kept = np.flatnonzero(size)
+        if merge:
+            total = np.zeros_like(x)
+            np.add.at(total, leader, x)
+            x = total / np.maximum(size, 1)[:, None]
+        v = x[kept] / np.maximum(np.linalg.norm(x[kept], axis=1, keepdims=True), 1e-12)
+        return pd.DataFrame({"page_id": page["page_id"].to_numpy()[kept], "tok": page["tok"].to_numpy()[kept], "size": size[kept].astype(np.int32), "v": list(v)})
+
+    return rows.groupBy("page_id").applyInPandas(run, "page_id long, tok int, size int, v array<double>")
+
+
 def sample_vectors(patches: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """The ``n`` vectors that come first by a hash of their place: the same for any partitioning."""
     return patches.orderBy(F.xxhash64(F.lit(seed), "page_id", "tok"), "page_id", "tok").limit(n)
@@ -248,7 +268,7 @@ def pruned(patches: DataFrame, saliency: DataFrame | None, *, keep_ratio: float
         chosen = rank <= F.greatest(F.lit(1.0), F.rint(n * keep_ratio)) if keep_ratio is not None else F.col("saliency") > (threshold or 0.0)
         body = body.withColumn("keep", chosen | (rank <= F.least(F.lit(min_keep), n))).where("keep").drop("keep")
     if redundancy_threshold < 1:
-        out = merged(body, redundancy(body, redundancy_threshold, "saliency"), merge)
+        out = clustered(body, redundancy_threshold, "saliency", merge)
     else:
         out = body.select("page_id", "tok", F.lit(1).alias("size"), "v")
     return out.unionByName(text.select("page_id", "tok", F.lit(1).alias("size"), "v")) if keep_text_tokens else out

@@ -89,6 +89,8 @@ def test_merge_modes(spark):
     for merge in (True, False):
         rows = prune.merged(v, c, merge).collect()
         assert sum(r["size"] for r in rows) == 10 and all(abs(np.linalg.norm(r["v"]) - 1) < 1e-9 for r in rows)
+        at_once = {(r["page_id"], r["tok"]): r for r in prune.clustered(v, 0.2, None, merge).collect()}
+        assert len(at_once) == len(rows) and all(at_once[r["page_id"], r["tok"]]["size"] == r["size"] and np.allclose(at_once[r["page_id"], r["tok"]]["v"], r["v"]) for r in rows)
 
 
 def test_codebooks_and_rotations(spark):
