@@ -3,7 +3,9 @@ r"""Operator 8, line dedup: earliest lines stay, those within a few edits of an
 Lines are what ``\n`` separates; those of white space only take no part, unless they have ``MIN_CHARS`` code points. A line is removed if an
 earlier line of the corpus, by (doc_id, content key, line number), equals it, or is within the bound of edits (insertion,
 deletion or substitution of a code point): one for every ``EDIT_CHARS`` code points of the shorter line of the two, one at
-least and ``EDITS`` at most, for lines of at least ``MIN_CHARS`` code points. The earlier line need not stay itself.
+least and ``EDITS`` at most, for lines of at least ``MIN_CHARS`` code points. The earlier line need not stay itself. With
+``byte_edits`` the edits are of UTF-8 bytes, as those of the SQL's ``levenshtein`` are, and :func:`line_digest` counts them so;
+lengths are code points all the same.
 
 Equal lines: a scan writes every line's 128-bit hash and place; a worker that has met a line earlier in the order decides
 at once, so of a hot line about one row a task is exchanged. Rows sorted by hash give each line's first place.
@@ -197,7 +199,7 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(at, held)
 
 
-def lines_of_edits(distinct: DataFrame, edits: int, sent_keys: int = SENT_KEYS) -> DataFrame:
+def lines_of_edits(distinct: DataFrame, edits: int, sent_keys: int = SENT_KEYS, *, byte_edits: bool = False) -> DataFrame:
     """The places of distinct lines (h1, h2, place, text; null texts have no part) with an earlier one within the bound."""
     texts = distinct.where("text IS NOT NULL")
     spark = distinct.sparkSession
@@ -241,17 +243,21 @@ def lines_of_edits(distinct: DataFrame, edits: int, sent_keys: int = SENT_KEYS)
     n = F.least(F.length("line_a.text"), F.length("line_b.text"))
     bound = F.greatest(F.lit(1), F.least(F.lit(edits), F.floor(n / EDIT_CHARS)))
     near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("line_a.text", "line_b.text", edits).between(0, bound))
+    if byte_edits:
+        # texts are never fewer byte edits apart than edits of code points: every edited code point has an edited byte of its own
+        one, two = (F.decode(F.encode(f"line_{x}.text", "UTF-8"), "ISO-8859-1") for x in ("a", "b"))
+        near = near.where(F.levenshtein(one, two, edits).between(0, bound))
     return near.select(F.greatest("line_a", "line_b").alias("late")).select("late.first.*").distinct()
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", edits: int = EDITS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id", edits: int = EDITS, byte_edits: bool = False) -> DataFrame:
     """``doc_id, rk, lines``: the numbers (from 0) of removed lines, for documents that have any."""
     src = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(key, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text"))
     rows = src.mapInArrow(occurrences(min_chars), LINE)
     # rows that are decided need not meet the others of their line
     rows = rows.repartition(F.when(F.col("again"), F.xxhash64("doc_id", "line")).otherwise(F.col("h1")))
     lines = shared_table(rows.sortWithinPartitions("h1", "h2", *PLACE).mapInArrow(settled, LINE), "lines")
-    gone = lines.where("again").select(*PLACE).unionByName(lines_of_edits(lines.where("NOT again").drop("again"), edits))
+    gone = lines.where("again").select(*PLACE).unionByName(lines_of_edits(lines.where("NOT again").drop("again"), edits, byte_edits=byte_edits))
     return gone.groupBy("doc_id", "rk").agg(F.collect_set("line").alias("lines"))
 
 
@@ -276,7 +282,7 @@ def kept_rows(docs: DataFrame, columns: list[str], text: str, key: str, **how) -
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs``, all columns, and ``kept_text``, ``n_lines`` and ``n_removed``, which take the place of columns of
-    these names. ``how``: ``min_chars`` and ``edits`` of :func:`removed_lines`."""
+    these names. ``how``: ``min_chars``, ``edits`` and ``byte_edits`` of :func:`removed_lines`."""
     return kept_rows(docs, [c for c in docs.columns if c not in ADDED], text, key, **how).select("row.*", *ADDED)
 
 
@@ -288,7 +294,8 @@ def cleaned(docs: DataFrame, **how) -> DataFrame:
 
 
 def line_digest(docs: DataFrame, **how) -> DataFrame:
-    out = deduplicated(docs.select("doc_id", "text"), **how)
+    """Sizes and digests of what is kept, edits counted in bytes."""
+    out = deduplicated(docs.select("doc_id", "text"), **{"byte_edits": True} | how)
     return out.select("doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

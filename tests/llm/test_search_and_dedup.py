@@ -214,6 +214,23 @@ def test_lines_equal_sql_and_short_repeats_go(spark, sf, monkeypatch):
     same_rows(line_dedup.line_digest(spark.read.parquet(f"{sf}/documents.parquet").repartition(5)).toPandas(), want)
 
 
+@pytest.mark.parametrize("sent_keys", [8_000_000, 0])
+def test_byte_edits_equal_sql(spark, sent_keys, monkeypatch):
+    from comparing import same_rows
+
+    monkeypatch.setattr(line_dedup.lines_of_edits, "__defaults__", (sent_keys,))
+    line = "é漢🙂 line of some length that is repeated with few edits, "
+    lines = [line]
+    for n, (a, b) in enumerate((("é", "è"), ("é", "e"), ("é", ""), ("漢", "字"), ("漢", "a"), ("🙂", "🙃"), ("🙂", ""), ("🙂", "#"), ("é漢", "éé漢"), ("line", "lïnë"), ("few", "fëw"))):
+        lines += [2 * f"{n * 1111111} {line}", 2 * f"{n * 1111111} {line}".replace(a, b), f"{n * 1111111} {line}" + f"{n * 1111111} {line}".replace(a, b)]
+    docs = documents(spark, list(enumerate(lines))).select("doc_id", "text")
+    duckdb.sql("create or replace table byte_lines as select * from (values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(lines)) + ") v(doc_id, text)")
+    want = duckdb.sql(line_dedup.ORACLE_SQL.replace("FROM documents", "FROM byte_lines")).df()
+    same_rows(line_dedup.line_digest(docs).toPandas(), want)
+    gone = {n: sum(r["n_removed"] for r in line_dedup.deduplicated(docs, byte_edits=n).collect()) for n in (False, True)}
+    assert gone[False] > gone[True] == want["n_removed"].sum() > 0
+
+
 def test_columns_of_clashing_names(spark):
     odd = documents(spark, [(1, "a line of more than sixteen\na line of more than sixteen"), (2, None)]).withColumnsRenamed({"source": "n_removed", "lang": "gone_lines", "lines": "row"})
     odd = odd.withColumn("kept_text", F.lit(1)).withColumn("__rk", F.lit(2)).withColumn("__key", F.lit(2)).withColumn("text2", F.col("text"))
