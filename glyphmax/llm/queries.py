@@ -44,7 +44,7 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("removed")
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("removed", "passages")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,10 @@ All suffixes of a corpus cannot be exchanged, so a sparse suffix array over cont
    prefixes give, for any two contexts, how far they agree right and left of the anchor, and so which windows repeat.
 4. Repeated windows go back to their documents, where overlapping ones are merged and cut out.
 
+A passage of over 50 words may be shorter than 400 bytes. Passages of at least ``PASSAGE_WORDS`` words that repeat, whatever
+white space parts their words, are found the same way in texts whose words are replaced by codes of ``CODE_BYTES`` bytes (a
+window is 50 codes then), and reported beside the cut, which is by bytes alone.
+
 Groups of more than ``GROUP_ROWS`` different contents go another way: their windows are hashed (128 bits) and counted,
 so no task ever holds such a group.
 
@@ -36,6 +40,9 @@ from glyphmax.llm.common import broadcast_small, flat_text, lean, row_key, share
 
 LENGTH = 400
 GRAM = 64
+#: Bytes of a word's code (of 7 bits each), and words of a window of codes.
+CODE_BYTES = 8
+PASSAGE_WORDS = LENGTH // CODE_BYTES
 #: Different contents of one anchor that a task sorts; larger groups are settled by window hashes.
 GROUP_ROWS = 20_000
 #: Contents that are compared pair by pair; larger groups are compared by depth.
@@ -411,22 +418,66 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
-CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, kept_text string, removed array<struct<start:long,length:long>>"
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, what ASCII white space parts."""
+    word = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
+@lean
+def word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, rk, text) with each word of the text replaced by its code of ``CODE_BYTES`` ASCII characters."""
+    for batch in batches:
+        data, ends = flat_text(batch.column(2))
+        for i, j in slices(ends):
+            base = data[ends[i] : ends[j]]
+            # a text's end parts words too
+            start, end = words_of(base)
+            inner = np.setdiff1d(ends[i + 1 : j] - ends[i], np.concatenate([start, end, [0, len(base)]]))
+            inner = inner[np.searchsorted(start, inner, "right") > np.searchsorted(end, inner, "right")]
+            start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
+            code = Rolling(base).get(start, end) if len(start) else np.zeros(0, np.uint64)
+            text = (code[:, None] >> np.arange(0, 7 * CODE_BYTES, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8)
+            offsets = CODE_BYTES * np.searchsorted(start, ends[i : j + 1] - ends[i])
+            coded = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(1).slice(i, j - i), coded.cast(pa.string())], names=["doc_id", "rk", "text"])
+
+
+def passage_runs(src: DataFrame, group_rows: int, broadcast_rows: int) -> DataFrame:
+    """``doc_id, rk, start, last``: runs of first words (from 0) of windows of ``PASSAGE_WORDS`` words that repeat."""
+    runs = repeated_runs(src.mapInArrow(word_codes, "doc_id long, rk long, text string"), group_rows, broadcast_rows)
+    first, final = F.ceil(F.col("start") / CODE_BYTES), F.floor((F.col("start") + F.col("last")) / CODE_BYTES)
+    return runs.select("doc_id", "rk", first.alias("start"), (final - first).alias("last")).where("last >= 0")
+
+
+def ranges_of(raw: np.ndarray, runs: list[dict]) -> list[dict]:
+    """Byte ranges of the passages of window runs of words, joined where they share a word or touch."""
+    start, last = np.array([s["start"] for s in runs]), np.array([s["last"] for s in runs])
+    _, start, last = merged_runs(np.zeros(len(start), np.int64), start, last + PASSAGE_WORDS - 1)
+    begin, end = words_of(raw)
+    return [{"start": a, "length": b - a} for a, b in zip(begin[start].tolist(), end[start + last].tolist())]
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes long, kept_text string, n_passages long, passage_bytes long, removed array<struct<start:long,length:long>>, passages array<struct<start:long,length:long>>"
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 @lean
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to what is left, its digest and the byte ranges that went."""
+    """(doc_id, text, spans) to what is left, its digest, the byte ranges that went and those of the passages."""
     for batch in batches:
         data, ends = flat_text(batch.column(1))
         found = batch.column(2).to_pylist()
         for i, j in slices(ends):
-            removed, marks, left, ranges = [], [], [], []
+            removed, marks, left, ranges, passages = [], [], [], [], []
             for d in range(i, j):
                 raw = data[ends[d] : ends[d + 1]]
                 spans = []
-                if found[d]:
-                    start, last = np.array([s["start"] for s in found[d]]), np.array([s["last"] for s in found[d]])
+                by_word = [s for s in found[d] or [] if s["words"]]
+                passages.append(ranges_of(raw, by_word) if by_word else [])
+                if found[d] and len(by_word) < len(found[d]):
+                    start, last = (np.array([s[k] for s in found[d] if not s["words"]]) for k in ("start", "last"))
                     _, start, last = merged_runs(np.zeros(len(start), np.int64), start, last + LENGTH - 1)
                     spans = [{"start": a, "length": n} for a, n in zip(start.tolist(), (last + 1).tolist())]
                     edges = [0, *(x for s in spans for x in (s["start"], s["start"] + s["length"])), len(raw)]
@@ -438,7 +489,8 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ranges.append(spans)
             size = np.diff(ends[i : j + 1])
             columns = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(removed, pa.int64()), pa.array([len(r) for r in ranges], pa.int64()), pa.array(marks, pa.string())]
-            columns += [pa.array(size - np.array(removed, np.int64)), pa.array(left, pa.string()), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+            columns += [pa.array(size - np.array(removed, np.int64)), pa.array(left, pa.string()), pa.array([len(p) for p in passages], pa.int64()), pa.array([sum(x["length"] for x in p) for p in passages], pa.int64())]
+            columns += [pa.array(ranges, RANGES), pa.array(passages, RANGES)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in CUT.split(", ")])
 
 
@@ -484,12 +536,14 @@ def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows:
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, then ``kept_bytes``, ``kept_text`` and ``removed`` (byte ranges
-    of the input) for every row of ``docs``. ``kept_text`` has U+FFFD where a cut went through a character; the digest is of
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, then ``kept_bytes``, ``kept_text``, ``n_passages`` and
+    ``passage_bytes`` (repeated passages of at least ``PASSAGE_WORDS`` words: number and size, removed or not), ``removed`` and
+    ``passages`` (byte ranges of the input) for every row of ``docs``. ``kept_text`` has U+FFFD where a cut went through a character; the digest is of
     the bytes."""
     src = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text"))
-    runs = repeated_runs(src, group_rows, broadcast_rows)
-    spans = runs.groupBy(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("start", "last")).alias("spans"))
+    runs = repeated_runs(src, group_rows, broadcast_rows).withColumn("words", F.lit(False))
+    runs = runs.unionByName(passage_runs(src, group_rows, broadcast_rows).withColumn("words", F.lit(True)))
+    spans = runs.groupBy(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("start", "last", "words")).alias("spans"))
     spans = shared_table(spans, "spans")
     joined = src.join(broadcast_small(spans, broadcast_rows // 4, "spans"), (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(cut, CUT)

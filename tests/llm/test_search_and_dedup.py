@@ -119,6 +119,26 @@ def test_substrings_equal_brute_force(spark, how):
         assert "\ufffd" in x["kept_text"] or hashlib.sha256(x["kept_text"].encode()).hexdigest() == x["kept_sha256"]
 
 
+@pytest.mark.parametrize("how", [{}, {"group_rows": 1, "broadcast_rows": 0}])
+def test_passages_of_words_equal_brute_force(spark, how):
+    r = __import__("random").Random(3)
+    core = [r.choice("abcdefgé") + str(r.randint(0, 9)) for _ in range(70)]
+    rows = texts() + [(200 + k, prose(r, r.randint(0, 9)) + " " + " \n"[k % 2].join(core[k % 5 : k % 5 + 46 + k]) + "\t" + prose(r, r.randint(0, 9))) for k in range(12)]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    said = [[(t or "").encode()[a:b] for a, b in w] for (_, t), w in zip(rows, words)]
+    n = collections.Counter(tuple(w[k : k + 50]) for w in said for k in range(len(w) - 49))
+    want = []
+    for (i, _), w, at in zip(rows, said, words):
+        ins = {k + x for k in range(len(w) - 49) if n[tuple(w[k : k + 50])] > 1 for x in range(50)}
+        first, last = [k for k in sorted(ins) if k - 1 not in ins], [k for k in sorted(ins) if k + 1 not in ins]
+        want.append(str((i, len(first), sum(at[b][1] - at[a][0] for a, b in zip(first, last)))))
+    got = substring_dedup.deduplicated(documents(spark, rows), **how).collect()
+    assert sorted(str((x["doc_id"], x["n_passages"], x["passage_bytes"])) for x in got) == sorted(want)
+    assert all(len(x["passages"]) == x["n_passages"] for x in got)
+    short = [x for x in got if x["n_passages"] and not x["n_removed"]]
+    assert len(short) >= 6  # of 50 words and more, under 400 bytes
+
+
 def test_substrings_of_an_empty_table(spark):
     assert substring_dedup.deduplicated(documents(spark, [])).count() == 0
 
