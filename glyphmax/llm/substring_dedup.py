@@ -5,8 +5,9 @@ All suffixes of a corpus cannot be exchanged, so a sparse suffix array over cont
 1. Every 400-byte window of a document has an *anchor*, the least hash among its 64-byte grams (leftmost on ties).
    Equal windows have equal anchors at the same offset. A run of windows with one anchor is a *context*: the bytes from
    its first window's start to its last window's end.
-2. Contexts are grouped by anchor gram and content (128 bits). A content that occurs twice repeats with all its windows
-   and no text is moved. A content that is alone with its anchor does not repeat.
+2. Contexts are exchanged once, by anchor gram, and grouped by gram and content (128 bits); equal ones of one slice of
+   texts go as one. A content that occurs twice repeats with all its windows and no text is moved. A content that is
+   alone with its anchor does not repeat.
 3. What is left (edges of repeated passages: one anchor, several contents) is settled by a distributed merge sort of
    suffixes: each task sorts the suffixes that begin at its anchors, and the reversed prefixes that end there, into
    runs, front-codes them (shared prefix length and rest) and exchanges the runs by anchor; receivers combine the runs
@@ -15,8 +16,9 @@ All suffixes of a corpus cannot be exchanged, so a sparse suffix array over cont
 4. Repeated windows go back to their documents, where overlapping ones are merged and cut out.
 
 A passage of over 50 words may be shorter than 400 bytes. Passages of at least ``PASSAGE_WORDS`` words that repeat, whatever
-white space parts their words, are found the same way in texts whose words are replaced by codes of ``CODE_BYTES`` bytes (a
-window is 50 codes then), and reported beside the cut, which is by bytes alone.
+white space parts their words, are found in the same passes: anchors are grams of ``GRAM_WORDS`` words, windows and places
+count words, suffixes are words with a space after each. They are reported beside the cut, which is by bytes alone. An
+anchor gram's lowest bit tells the two kinds apart.
 
 Groups of more than ``GROUP_ROWS`` different contents go another way: their windows are hashed (128 bits) and counted,
 so no task ever holds such a group.
@@ -29,20 +31,21 @@ further columns are ignored; bytes are removed wherever they are covered, inside
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmax.llm.common import broadcast_small, flat_text, lean, row_key, shared_table, slices
+from glyphmax.llm.common import SLICE_BYTES, flat_text, lean, row_key, shared_table, slices
 
 LENGTH = 400
 GRAM = 64
-#: Bytes of a word's code (of 7 bits each), and words of a window of codes.
-CODE_BYTES = 8
-PASSAGE_WORDS = LENGTH // CODE_BYTES
+#: Words of a window and of a gram where passages of words are sought.
+PASSAGE_WORDS = 50
+GRAM_WORDS = 8
 #: Different contents of one anchor that a task sorts; larger groups are settled by window hashes.
 GROUP_ROWS = 20_000
 #: Contents that are compared pair by pair; larger groups are compared by depth.
@@ -87,20 +90,20 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray] | None:
-    """Contexts of a slice: ``row``, ``start`` (of the first window, in its document), ``last`` (windows - 1), ``anchor``
-    (its offset from start), the anchor gram's hash and the content's hash."""
-    if not len(data) or int(np.diff(ends).max()) < LENGTH:
+def contexts(data: np.ndarray, ends: np.ndarray, length: int, width: int) -> dict[str, np.ndarray] | None:
+    """Contexts of a slice of bytes or words: ``row``, ``start`` (of the first window, in its document), ``last`` (windows - 1),
+    ``anchor`` (its offset from start), the anchor gram's hash and the content's hash."""
+    if not len(data) or int(np.diff(ends).max()) < length:
         return None
     roll = Rolling(data)
-    grams = len(data) - GRAM + 1
+    grams = len(data) - width + 1
     places = np.arange(grams)
-    gram = roll.get(places, places + GRAM)
+    gram = roll.get(places, places + width)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    least = sliding_least((gram & ~low) | places.astype(np.uint64), LENGTH - GRAM + 1)
+    least = sliding_least((gram & ~low) | places.astype(np.uint64), length - width + 1)
     at = (least & low).astype(np.int64)
     row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[: len(at)]
-    good = np.arange(len(at)) + LENGTH <= ends[row + 1]
+    good = np.arange(len(at)) + length <= ends[row + 1]
     new = good.copy()
     new[1:] &= ~(good[:-1] & (at[1:] == at[:-1]) & (row[1:] == row[:-1]))
     start = np.flatnonzero(new)
@@ -108,60 +111,149 @@ def contexts(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray] | None
         return None
     count = np.diff(np.concatenate([np.cumsum(good)[start] - 1, [np.count_nonzero(good)]]))
     anchor, last = at[start], count - 1
-    content = roll.get(start, start + last + LENGTH)
+    content = roll.get(start, start + last + length)
     content = mix(content ^ (last.astype(np.uint64) << np.uint64(20)) ^ (anchor - start).astype(np.uint64))
     owner = row[start]
     return {"row": owner, "start": start - ends[owner], "last": last, "anchor": anchor - start, "gram": gram[anchor], "content": content}
 
 
-def windows_of(size: int) -> Iterator[tuple[int, int]]:
+def windows_of(size: int, length: int) -> Iterator[tuple[int, int]]:
     """Stretches of a slice that share no window and lose none; one, unless a single text is longer than a key's place."""
     limit = (1 << PLACE_BITS) - 1
     at = 0
-    while at == 0 or at + LENGTH <= size:
+    while at == 0 or at + length <= size:
         yield at, min(at + limit, size)
-        at += limit - LENGTH + 1
+        at += limit - length + 1
 
 
-CONTEXT = "doc_id long, rk long, start long, last long, anchor int, gram long, content long, n int"
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, what ASCII white space parts."""
+    word = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a slice, and the n + 1 offsets of its rows among them; a text's end parts words too."""
+    start, end = words_of(data)
+    inner = np.setdiff1d(ends[1:-1], np.concatenate([start, end, [0, len(data)]]))
+    inner = inner[np.searchsorted(start, inner, "right") > np.searchsorted(end, inner, "right")]
+    start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):  # a long text is hashed a stretch of words at a time
+        to = max(at + 1, int(np.searchsorted(start, start[at] + SLICE_BYTES)))
+        out[at:to] = Rolling(data[start[at] : end[to - 1]]).get(start[at:to] - start[at], end[at:to] - start[at])
+        at = to
+    return out, np.searchsorted(start, ends)
+
+
+#: ``place`` holds the start, the anchor's offset and ``last`` (9 bits each), the number of such contexts, 2 for more, and
+#: whether words are counted. Where that number is 0 the row is a run of windows that repeat, and ``content`` is its ``last``.
+CONTEXT = "id long, rk long, gram long, content long, place long"
+START_BITS, ANCHOR_BITS, LAST_BITS = 21, 12, 3
 
 
 @lean
 def emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, rk, text) to contexts. Equal contexts of one document are one row, at the first place, with their number
-    ``n``; the window runs of such repeats, merged, follow as rows with ``n`` 0 (start and last of the run)."""
+    """(doc_id, rk, text) to contexts of bytes and of words. Equal contexts of one slice are one row, the first; the window
+    runs of such repeats, merged in each document, follow as rows of their own."""
+
+    def coded(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, ...] | None:
+        length, width = (PASSAGE_WORDS, GRAM_WORDS) if words else (LENGTH, GRAM)
+        found = []
+        for a, b in windows_of(len(data), length):
+            one = contexts(data[a:b], ends if b - a == len(data) else np.array([0, b - a]), length, width)
+            if one is not None:
+                one["start"] = one["start"] + a
+                found.append(one)
+        if not found:
+            return None
+        f = {k: np.concatenate([x[k] for x in found]) for k in found[0]}
+        order = np.lexsort((f["start"], f["row"], f["content"], f["gram"]))
+        f = {k: v[order] for k, v in f.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (f["gram"][1:] != f["gram"][:-1]) | (f["content"][1:] != f["content"][:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.concatenate([first, [len(order)]]))
+        again = np.flatnonzero(np.repeat(n > 1, n))
+        row, start, last = merged_runs(f["row"][again], f["start"][again], f["last"][again])
+        place = f["start"] << START_BITS | f["anchor"] << ANCHOR_BITS | f["last"] << LAST_BITS | words
+        gram = (f["gram"] & ~np.uint64(1) | np.uint64(words)).view(np.int64)
+        spread = mix((start + (row << 32)).astype(np.uint64)).view(np.int64)  # runs go to any receiver
+        return (
+            np.concatenate([f["row"][first], row]), np.concatenate([gram[first], spread]), np.concatenate([f["content"][first].view(np.int64), last]),
+            np.concatenate([place[first] | np.minimum(n, 2) << 1, start << START_BITS | words]),
+        )
+
     for batch in batches:
         data, ends = flat_text(batch.column(2))
-        ids, keys = batch.column(0).cast(pa.int64()), batch.column(1)
+        ids, keys = pc.fill_null(batch.column(0).cast(pa.int64()), 0), batch.column(1)
         for i, j in slices(ends):
             base, part = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
-            found = []
-            for a, b in windows_of(len(base)):
-                one = contexts(base[a:b], part if b - a == len(base) else np.array([0, b - a]))
-                if one is not None:
-                    one["start"] = one["start"] + a
-                    found.append(one)
-            if not found:
+            for words in (0, 1):
+                found = coded(*(word_hashes(base, part) if words else (base, part)), words)
+                if found is not None:
+                    pick = pa.array(found[0] + i)
+                    yield pa.RecordBatch.from_arrays([ids.take(pick), keys.take(pick), *map(pa.array, found[1:])], names=["id", "rk", "gram", "content", "place"])
+
+
+#: ``kind``: 0, a run of windows that repeat; 1, a context for the merge sort, one of each content, with its number ``n``
+#: (2 for more); 2, one whose windows are to be counted.
+ACTED = "id long, rk long, start long, last long, words int, kind int, anchor int, gram long, n int"
+ACTED_ROWS = 1 << 15
+
+
+def settled_classes(group_rows: int):
+    """Contexts, sorted by gram and content, to the runs and contexts of ``ACTED``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, enough = [], 0, ACTED_ROWS
+        for batch in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
+            rows += batch.num_rows
+            if rows < enough:
                 continue
-            f = {k: np.concatenate([x[k] for x in found]) for k in found[0]}
-            order = np.lexsort((f["start"], f["content"], f["gram"], f["row"]))
-            f = {k: v[order] for k, v in f.items()}
-            new = np.ones(len(order), bool)
-            new[1:] = (f["row"][1:] != f["row"][:-1]) | (f["gram"][1:] != f["gram"][:-1]) | (f["content"][1:] != f["content"][:-1])
+            x = np.concatenate(held, axis=1)
+            other = np.flatnonzero(x[2] != x[2, -1])
+            to = int(other[-1]) + 1 if len(other) else 0
+            if to:
+                yield settled(x[:, :to])
+            held, rows = [x[:, to:]], x.shape[1] - to
+            enough = max(ACTED_ROWS, 2 * rows)
+        if rows:
+            yield settled(np.concatenate(held, axis=1))
+
+    def settled(x: np.ndarray) -> pa.RecordBatch:
+        counts = (x[4] >> 1 & 3) > 0
+        known, x = x[:, ~counts], x[:, counts]
+        id_, rk, gram, content, place = x
+        n = place >> 1 & 3
+        start, anchor, last, words = place >> START_BITS, place >> ANCHOR_BITS & 511, place >> LAST_BITS & 511, place & 1
+        spans, marks, kind, total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(gram):
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])
             first = np.flatnonzero(new)
-            n = np.diff(np.concatenate([first, [len(order)]]))
-            again = np.flatnonzero(np.repeat(n > 1, n))
-            runs = merged_runs(f["row"][again], f["start"][again], f["last"][again])
-            cols = [np.concatenate([f[k][first], extra]) for k, extra in zip(("row", "start", "last"), runs)]
-            blank = np.zeros(len(runs[0]), np.int64)
-            pick = pa.array(cols[0] + i)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pick), keys.take(pick), pa.array(cols[1]), pa.array(cols[2]), pa.array(np.concatenate([f["anchor"][first], blank]).astype(np.int32)),
-                    pa.array(np.concatenate([f["gram"][first].view(np.int64), blank])), pa.array(np.concatenate([f["content"][first].view(np.int64), blank])), pa.array(np.concatenate([n, blank]).astype(np.int32)),
-                ],
-                names=["doc_id", "rk", "start", "last", "anchor", "gram", "content", "n"],
-            )
+            total = np.add.reduceat(n, first)
+            spans = np.flatnonzero((total > 1)[np.cumsum(new) - 1])
+            edge = np.ones(len(first), bool)
+            edge[1:] = gram[first][1:] != gram[first][:-1]
+            group = np.flatnonzero(edge)
+            contents = np.diff(np.concatenate([group, [len(first)]]))
+            mixed = (contents > 1) & (np.minimum.reduceat(total, group) == 1)
+            of = np.cumsum(edge) - 1
+            acted = np.flatnonzero(mixed[of])
+            marks, kind, total = first[acted], 1 + (contents > group_rows)[of[acted]], np.minimum(total[acted], 2)
+        none = np.zeros(known.shape[1] + len(spans), np.int64)
+        columns = [
+            np.concatenate([known[0], id_[spans], id_[marks]]), np.concatenate([known[1], rk[spans], rk[marks]]),
+            np.concatenate([known[4] >> START_BITS, start[spans], start[marks]]), np.concatenate([known[3], last[spans], last[marks]]), np.concatenate([known[4] & 1, words[spans], words[marks]]),
+            np.concatenate([none, kind]), np.concatenate([none, anchor[marks]]), np.concatenate([none, gram[marks]]), np.concatenate([none, total]),
+        ]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds)], names=[f.split(" ")[0] for f in ACTED.split(", ")])
+
+    return lean(run)
 
 
 def merged_runs(row: np.ndarray, start: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,13 +348,13 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-RUN = "bucket int, doc_id array<long>, rk array<long>, start array<long>, last array<int>, anchor array<int>, gram array<long>, n array<long>, right_shared array<int>, right_rest array<binary>, left_order array<int>, left_shared array<int>, left_rest array<binary>"
+RUN = "bucket int, id array<long>, rk array<long>, start array<long>, last array<int>, anchor array<int>, gram array<long>, n array<long>, right_shared array<int>, right_rest array<binary>, left_order array<int>, left_shared array<int>, left_rest array<binary>"
 RUN_FIELDS = [f.split(" ")[0] for f in RUN.split(", ")]
 FLUSH_MARKS = 50_000
 
 
 def sorted_runs(buckets: int):
-    """(doc_id, rk, text, marks) to front-coded runs, one row per exchange bucket and flush."""
+    """(doc_id, rk, text, marks) to front-coded runs, one row per exchange bucket and flush; even buckets hold bytes, odd ones words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -270,10 +362,16 @@ def sorted_runs(buckets: int):
             data, ends = flat_text(batch.column(2))
             raw, ids, keys = data.tobytes(), batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for d, marks in enumerate(batch.column(3).to_pylist()):
+                text = raw[ends[d] : ends[d + 1]]
+                said = text.split() if any(m["gram"] & 1 for m in marks) else []
                 for m in marks:
-                    a = int(ends[d]) + m["start"]
+                    a = m["start"]
                     mid = a + m["anchor"]
-                    held.append((m["gram"] % buckets, raw[mid : a + m["last"] + LENGTH], raw[a:mid][::-1], ids[d], keys[d], m["start"], m["last"], m["anchor"], m["gram"], m["n"]))
+                    if m["gram"] & 1:
+                        right, left = (b"".join(w + b" " for w in part) for part in (said[mid : a + m["last"] + PASSAGE_WORDS], said[a:mid][::-1]))
+                    else:
+                        right, left = text[mid : a + m["last"] + LENGTH], text[a:mid][::-1]
+                    held.append((m["gram"] % buckets, right, left, ids[d] or 0, keys[d], a, m["last"], m["anchor"], m["gram"], m["n"]))
             if len(held) >= FLUSH_MARKS:
                 yield from coded(held)
                 held = []
@@ -299,25 +397,27 @@ def sorted_runs(buckets: int):
     return run
 
 
-def settle_group(right: list[int], left: list[int], dmin: np.ndarray, dmax: np.ndarray, right_lcp: np.ndarray, left_lcp: np.ndarray) -> np.ndarray:
-    """Which windows of a group's contexts repeat: a boolean per context and depth (bytes of the window left of the anchor).
+def settle_group(right: list[int], left: list[int], dmin: np.ndarray, dmax: np.ndarray, right_lcp: np.ndarray, left_lcp: np.ndarray, length: int | None = None, width: int | None = None) -> np.ndarray:
+    """Which windows of a group's contexts repeat: a boolean per context and depth (bytes or words of the window left of the anchor).
 
     ``right``/``left``: contexts in the order of their suffixes and of their reversed prefixes, with the prefix lengths
-    that neighbours share. Two contexts share the window of depth d if they agree d bytes left and LENGTH - d right.
+    that neighbours share. Two contexts share the window of depth d if they agree d left and length - d
+    right (a window of ``LENGTH`` bytes and a gram of ``GRAM``, unless given).
     """
-    n, depths = len(right), LENGTH - GRAM + 1
+    length = LENGTH if length is None else length
+    n, depths = len(right), length - (GRAM if width is None else width) + 1
     out = np.zeros((n, depths), bool)
     if n <= SMALL_GROUP:
         place = np.empty(n, np.int64)
         place[left] = np.arange(n)
         for i in range(n):
-            r = LENGTH
+            r = length
             for j in range(i + 1, n):
                 r = min(r, int(right_lcp[j]))
                 a, b = right[i], right[j]
                 lo, hi = sorted((int(place[a]), int(place[b])))
                 reach = int(left_lcp[lo + 1 : hi + 1].min())
-                first, final = max(LENGTH - r, dmin[a], dmin[b], 0), min(reach, dmax[a], dmax[b])
+                first, final = max(length - r, dmin[a], dmin[b], 0), min(reach, dmax[a], dmax[b])
                 if first <= final:
                     out[a, first : final + 1] = out[b, first : final + 1] = True
         return out
@@ -326,7 +426,7 @@ def settle_group(right: list[int], left: list[int], dmin: np.ndarray, dmax: np.n
     for d0 in range(0, depths, block):
         d = np.arange(d0, min(d0 + block, depths))[:, None]
         key = np.empty((len(d), n), np.int64)
-        key[:, order_r] = np.cumsum(right_lcp[None, :] < LENGTH - d, axis=1) * n
+        key[:, order_r] = np.cumsum(right_lcp[None, :] < length - d, axis=1) * n
         other = np.empty((len(d), n), np.int64)
         other[:, order_l] = np.cumsum(left_lcp[None, :] < d, axis=1)
         key += other
@@ -344,7 +444,7 @@ def settle_group(right: list[int], left: list[int], dmin: np.ndarray, dmax: np.n
     return out
 
 
-SPAN = "doc_id long, rk long, start long, last long"
+SPAN = "id long, rk long, start long, last long, words int"
 
 
 @lean
@@ -354,21 +454,22 @@ def merge_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def settle(runs: list[dict]) -> pa.RecordBatch:
         offset = np.concatenate([[0], np.cumsum([len(r["gram"]) for r in runs])])
         gram = [g for r in runs for g in r["gram"]]
+        words = runs[0]["bucket"] & 1
         right, right_lcp = [], []
-        for run, place, _, shared in merge_runs([(r["right_shared"], r["right_rest"]) for r in runs]):
+        for run, place, s, shared in merge_runs([(r["right_shared"], r["right_rest"]) for r in runs]):
             right.append(int(offset[run]) + place)
-            right_lcp.append(shared)
+            right_lcp.append(s.count(b" ", 0, shared) if words else shared)
         left, left_lcp = {}, {}
-        for run, place, _, shared in merge_runs([(r["left_shared"], r["left_rest"]) for r in runs]):
+        for run, place, s, shared in merge_runs([(r["left_shared"], r["left_rest"]) for r in runs]):
             c = int(offset[run]) + runs[run]["left_order"][place]
             left.setdefault(gram[c], []).append(c)
-            left_lcp.setdefault(gram[c], []).append(shared - 8)
+            left_lcp.setdefault(gram[c], []).append(s.count(b" ", 8, shared) if words else shared - 8)
         groups: dict[int, tuple[list[int], list[int]]] = {}
         for c, shared in zip(right, right_lcp):
             held = groups.setdefault(gram[c], ([], []))
             held[0].append(c)
             held[1].append(shared)
-        flat = {k: [v for r in runs for v in r[k]] for k in ("doc_id", "rk", "start", "last", "anchor", "n")}
+        flat = {k: [v for r in runs for v in r[k]] for k in ("id", "rk", "start", "last", "anchor", "n")}
         out: list[tuple] = []
         for g, (members, shared) in groups.items():
             if len(members) < 2:
@@ -377,15 +478,15 @@ def merge_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             anchor, last = np.array([flat["anchor"][c] for c in members]), np.array([flat["last"][c] for c in members])
             r_lcp, l_lcp = np.array(shared), np.array(left_lcp[g])
             r_lcp[0] = l_lcp[0] = -1
-            found = settle_group(list(range(len(members))), [local[c] for c in left[g]], anchor - last, anchor, r_lcp, l_lcp)
+            found = settle_group(list(range(len(members))), [local[c] for c in left[g]], anchor - last, anchor, r_lcp, l_lcp, *((PASSAGE_WORDS, GRAM_WORDS) if words else (LENGTH, GRAM)))
             for i in np.flatnonzero(found.any(axis=1)):
                 c = members[i]
                 if flat["n"][c] > 1:
                     continue
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], found[i].astype(np.int8), [0]])))
                 for d0, d1 in zip(edge[::2], edge[1::2] - 1):
-                    out.append((flat["doc_id"][c], flat["rk"][c], flat["start"][c] + int(anchor[i] - d1), int(d1 - d0)))
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["doc_id", "rk", "start", "last"])
+                    out.append((flat["id"][c], flat["rk"][c], flat["start"][c] + int(anchor[i] - d1), int(d1 - d0)))
+        return pa.RecordBatch.from_arrays([*(pa.array([o[k] for o in out], pa.int64()) for k in range(4)), pa.array([words] * len(out), pa.int32())], names=["id", "rk", "start", "last", "words"])
 
     held: list[dict] = []
     for batch in batches:
@@ -405,52 +506,22 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, ends = flat_text(batch.column(2))
         ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for d, marks in enumerate(batch.column(3).to_pylist()):
+            raw = data[ends[d] : ends[d + 1]]
+            said = word_hashes(raw, np.array([0, len(raw)]))[0] if any(m["gram"] & 1 for m in marks) else raw
             for m in marks:
-                a = int(ends[d]) + m["start"]
+                words = m["gram"] & 1
+                a, length = m["start"], PASSAGE_WORDS if words else LENGTH
                 w = np.arange(m["last"] + 1)
-                part = data[a : a + m["last"] + LENGTH]
-                one = Rolling(part).get(w, w + LENGTH)
-                two = Rolling(part[::-1]).get(m["last"] - w, m["last"] - w + LENGTH)
+                part = (said if words else raw)[a : a + m["last"] + length]
+                one = Rolling(part).get(w, w + length)
+                two = Rolling(part[::-1]).get(m["last"] - w, m["last"] - w + length)
                 n = len(w)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([ids[d]] * n, pa.int64()), pa.array([keys[d]] * n, pa.int64()), pa.array(w + m["start"]), pa.array([m["n"]] * n, pa.int64())],
-                    names=["h1", "h2", "doc_id", "rk", "start", "n"],
+                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([ids[d] or 0] * n, pa.int64()), pa.array([keys[d]] * n, pa.int64()), pa.array(w + a), pa.array([words] * n, pa.int32()), pa.array([m["n"]] * n, pa.int64())],
+                    names=["h1", "h2", "id", "rk", "start", "words", "n"],
                 )
 
 
-def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words, what ASCII white space parts."""
-    word = np.concatenate([[False], (data != 32) & ((data < 9) | (data > 13)), [False]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    return edge[::2], edge[1::2]
-
-
-@lean
-def word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, rk, text) with each word of the text replaced by its code of ``CODE_BYTES`` ASCII characters."""
-    for batch in batches:
-        data, ends = flat_text(batch.column(2))
-        for i, j in slices(ends):
-            base = data[ends[i] : ends[j]]
-            # a text's end parts words too
-            start, end = words_of(base)
-            inner = np.setdiff1d(ends[i + 1 : j] - ends[i], np.concatenate([start, end, [0, len(base)]]))
-            inner = inner[np.searchsorted(start, inner, "right") > np.searchsorted(end, inner, "right")]
-            start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
-            code = Rolling(base).get(start, end) if len(start) else np.zeros(0, np.uint64)
-            text = (code[:, None] >> np.arange(0, 7 * CODE_BYTES, 7, dtype=np.uint64) & np.uint64(127)).astype(np.uint8)
-            offsets = CODE_BYTES * np.searchsorted(start, ends[i : j + 1] - ends[i])
-            coded = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), batch.column(1).slice(i, j - i), coded.cast(pa.string())], names=["doc_id", "rk", "text"])
-
-
-def passage_runs(src: DataFrame, group_rows: int, broadcast_rows: int) -> DataFrame:
-    """``doc_id, rk, start, last``: runs of first words (from 0) of windows of ``PASSAGE_WORDS`` words that repeat."""
-    runs = repeated_runs(src.mapInArrow(word_codes, "doc_id long, rk long, text string"), group_rows, broadcast_rows)
-    first, final = F.ceil(F.col("start") / CODE_BYTES), F.floor((F.col("start") + F.col("last")) / CODE_BYTES)
-    return runs.select("doc_id", "rk", first.alias("start"), (final - first).alias("last")).where("last >= 0")
-
-
 def ranges_of(raw: np.ndarray, runs: list[dict]) -> list[dict]:
     """Byte ranges of the passages of window runs of words, joined where they share a word or touch."""
     start, last = np.array([s["start"] for s in runs]), np.array([s["last"] for s in runs])
@@ -494,45 +565,42 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in CUT.split(", ")])
 
 
-def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> DataFrame:
-    """``doc_id, rk, start, last``: runs of window starts (start to start + last) that repeat, of ``doc_id, rk, text``."""
-    found = shared_table(src.mapInArrow(emit_contexts, CONTEXT), "contexts")
-    inside = found.where("n = 0").select("doc_id", "rk", "start", "last")
-    found = found.where("n > 0")
-    classes = shared_table(found.groupBy("gram", "content").agg(F.sum("n").alias("n")), "context-classes")
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 AND least = 1")
-    mixed = shared_table(mixed.select("gram", (F.col("contents") > group_rows).alias("hot")), "mixed-anchors")
-    acted = classes.join(broadcast_small(mixed, broadcast_rows), "gram", "left").where("n > 1 OR hot IS NOT NULL")
-    acted = shared_table(acted.select("gram", "content", F.col("n").alias("total"), "hot"), "acted-classes")
-    rows = found.drop("n").join(acted, ["gram", "content"])
-    rows = shared_table(rows, "acted-contexts")
-    whole = rows.where("total > 1").select("doc_id", "rk", "start", "last")
-
-    place = F.struct("doc_id", "rk", "start", F.col("last").cast("int").alias("last"), "anchor")
-    marks = rows.where("hot IS NOT NULL").groupBy("gram", "content").agg(F.min(place).alias("p"), F.first("total").alias("n"), F.first("hot").alias("hot"))
-    mark = F.struct("p.start", "p.last", "p.anchor", "gram", "n")
-    marks = shared_table(marks.groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.rk").alias("rk"), "hot").agg(F.collect_list(mark).alias("marks")), "marks")
-    n_marks = marks.select("hot", F.size("marks").alias("n")).groupBy("hot").agg(F.sum("n").alias("n")).collect()
-    counts = {r["hot"]: r["n"] for r in n_marks}
-
-    def marked(hot: bool) -> DataFrame:
-        m = broadcast_small(marks.where(F.col("hot") == F.lit(hot)).select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "marks"), broadcast_rows // 4, "marks")
-        joined = src.join(m, (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-        return joined.dropDuplicates(["doc_id", "rk"]).select("doc_id", "rk", "text", "marks") if hot else joined.select("doc_id", "rk", "text", "marks")
-
-    parts = [inside, whole]
-    if counts.get(False):
-        buckets = max(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts[False] // 20_000)
-        runs = shared_table(marked(False).mapInArrow(sorted_runs(buckets), RUN), "suffix-runs")
-        parts.append(runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge_buckets, SPAN))
-    if counts.get(True):
-        windows = shared_table(marked(True).mapInArrow(window_hashes, "h1 long, h2 long, doc_id long, rk long, start long, n long"), "hot-windows")
+def repeated_runs(src: DataFrame, group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``id, rk, start, last, words``: runs of window starts (start to start + last) that repeat, of ``doc_id, rk, text``; and
+    the hint for a side with at most a row for each document that has some.
+
+    The runs are not written, so that one exchange of the documents serves the suffixes and whatever joins the runs.
+    """
+    found = src.mapInArrow(emit_contexts, CONTEXT).repartition("gram").sortWithinPartitions("gram", "content")
+    acted = shared_table(found.mapInArrow(settled_classes(group_rows), ACTED), "acted")
+    counts = {r["kind"]: r["n"] for r in acted.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    few = sum(counts.values()) <= broadcast_rows // 4
+
+    def hinted(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if few else side
+
+    def marked(kind: int) -> DataFrame:
+        mark = F.struct("start", "last", "anchor", "gram", "n")
+        m = acted.where(F.col("kind") == kind).groupBy(F.col("id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(mark).alias("marks"))
+        return src.join(hinted(m), same_row()).select("doc_id", "rk", "text", "marks")
+
+    out = acted.where("kind = 0").select("id", "rk", "start", "last", "words")
+    if counts.get(1):
+        # even, so that bytes and words part
+        buckets = 2 * max(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2, counts[1] // 40_000, 1)
+        runs = marked(1).mapInArrow(sorted_runs(buckets), RUN)
+        out = out.unionByName(runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge_buckets, SPAN))
+    if counts.get(2):
+        windows = marked(2).dropDuplicates(["doc_id", "rk"]).mapInArrow(window_hashes, "h1 long, h2 long, id long, rk long, start long, words int, n long")
+        windows = shared_table(windows, "hot-windows")
         often = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1")
-        parts.append(windows.where("n = 1").join(often, ["h1", "h2"]).select("doc_id", "rk", "start", F.lit(0).cast("long").alias("last")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(windows.where("n = 1").join(often, ["h1", "h2"]).select("id", "rk", "start", F.lit(0).cast("long").alias("last"), "words"))
+    return out, hinted
+
+
+def same_row() -> Column:
+    """A document's ``doc_id`` (0 for null) and ``rk`` are ``__id`` and ``__rk``; ``rk`` differs for ids null and 0."""
+    return (F.col("rk") == F.col("__rk")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")) == F.col("__id"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", group_rows: int = GROUP_ROWS, broadcast_rows: int = 500_000) -> DataFrame:
@@ -541,9 +609,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", group
     ``passages`` (byte ranges of the input) for every row of ``docs``. ``kept_text`` has U+FFFD where a cut went through a character; the digest is of
     the bytes."""
     src = docs.select(F.col(key).alias("doc_id"), row_key(key, text).alias("rk"), F.coalesce(text, F.lit("")).alias("text"))
-    runs = repeated_runs(src, group_rows, broadcast_rows).withColumn("words", F.lit(False))
-    runs = runs.unionByName(passage_runs(src, group_rows, broadcast_rows).withColumn("words", F.lit(True)))
-    spans = runs.groupBy(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("start", "last", "words")).alias("spans"))
-    spans = shared_table(spans, "spans")
-    joined = src.join(broadcast_small(spans, broadcast_rows // 4, "spans"), (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    runs, hinted = repeated_runs(src, group_rows, broadcast_rows)
+    spans = runs.groupBy(F.col("id").alias("__id"), F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("start", "last", "words")).alias("spans"))
+    joined = src.join(hinted(spans), same_row(), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(cut, CUT)

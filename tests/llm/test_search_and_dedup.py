@@ -139,6 +139,34 @@ def test_passages_of_words_equal_brute_force(spark, how):
     assert len(short) >= 6  # of 50 words and more, under 400 bytes
 
 
+def stages_of(spark):
+    """Bytes that each stage so far wrote to shuffles and tables, by its number."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = context._jvm.java.util.ArrayList
+    found = context._jsc.sc().statusStore().stageList(none(), False, False, context._gateway.new_array(context._jvm.double, 0), none())
+    return {x.stageId(): x.shuffleWriteBytes() + x.outputBytes() for x in map(found.apply, range(found.size()))}
+
+
+def test_substrings_move_little(spark, tmp_path):
+    r = __import__("random").Random(21)
+    core = prose(r, 3000)
+    rows = [(k, prose(r, r.randint(100, 300)) + (core[(at := r.randint(0, 15_000)) : at + 900] if k % 3 == 0 else "")) for k in range(3000)]
+    documents(spark, rows).select("doc_id", "text").coalesce(4).write.parquet(str(tmp_path / "docs"))
+    size = sum(f.stat().st_size for f in (tmp_path / "docs").glob("*.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = max(stages_of(spark))
+        got = substring_dedup.deduplicated(spark.read.parquet(str(tmp_path / "docs")), broadcast_rows=0)
+        assert sum(x["n_removed"] > 0 for x in got.collect()) >= 900
+        moved = sum(n for k, n in stages_of(spark).items() if k > began)
+        assert moved < 3 * size  # nothing is broadcast, as in large tables
+        assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()  # the documents are exchanged once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_substrings_of_an_empty_table(spark):
     assert substring_dedup.deduplicated(documents(spark, [])).count() == 0
 
