@@ -20,10 +20,15 @@ SLICE_BYTES = 1 << 20
 SLICE_ROWS = 4096
 #: Rows of an Arrow batch of texts, so that a batch and its copies stay small beside an executor's memory.
 BATCH_ROWS = 2000
+#: Rows that Spark's Parquet reader decodes at once; its array of their texts doubles as it grows, so 4,096 texts, the default,
+#: are tens of MB in one object.
+READ_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Spark send texts to Python in batches of ``BATCH_ROWS``; for queries and pipelines, operators leave it alone."""
+    """Have Spark read texts ``READ_ROWS`` at a time and send them to Python in batches of ``BATCH_ROWS``; for queries and
+    pipelines, operators leave it alone."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -269,7 +269,8 @@ def kept_rows(docs: DataFrame, columns: list[str], text: str, key: str, **how) -
     gone = removed_lines(docs, text=text, key=key, **how)
     src = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.coalesce(text, F.lit("")).alias("text"), row_key(key, text).alias("rk"), F.col(key).cast("long").alias("doc_id"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("rk").alias("gone_rk"), F.col("lines").alias("gone_lines"))
-    rows = src.join(gone, (F.col("rk") == F.col("gone_rk")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    # documents stream past a table of their partition's removed lines, 4 bytes each; a merge join would hold and sort the texts
+    rows = src.join(gone.hint("shuffle_hash"), (F.col("rk") == F.col("gone_rk")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
     return rows.select(

@@ -12,7 +12,7 @@ import xxhash
 from fixtures import documents, prose, texts
 from pyspark.sql import functions as F
 
-from glyphmax.llm import line_dedup, simhash_dedup, source_mix, substring_dedup, top_k
+from glyphmax.llm import common, line_dedup, simhash_dedup, source_mix, substring_dedup, top_k
 from glyphmax.llm.components import connected_components
 
 
@@ -320,6 +320,22 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.line_digest(documents(spark, rows)).collect()) == [(1, 0), (1, 0), (2, 1)]
 
 
+def test_documents_are_cut_unsorted(spark):
+    rows = [(None, "a line of more than sixteen\nx"), (None, "a line of more than sixteen\nx"), (1, "a line of more than sixteen\ny"), (1, None), (2, "x\nz")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = line_dedup.cleaned(documents(spark, rows))
+        joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "gone_rk" in x]
+        assert joins and all("ShuffledHashJoin" in x for x in joins)
+        assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == [("1", ""), ("1", "y"), ("2", "z"), ("None", rows[0][1]), ("None", rows[0][1])]
+        common.small_batches(spark)
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_rates_equal_a_driver_side_descent(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = source_mix.mix_rates(docs, labels).toPandas()
