@@ -15,7 +15,7 @@ from glyphmax.operators.index import PageIndex
 class Engine:
     """``build`` prunes and codes pages into an index; ``search`` answers queries, optionally re-ranked with full vectors."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, layout: DataFrame | None = None) -> None:
+    def __init__(self, spark: SparkSession, config: Config | None = None, layout: DataFrame | int | None = None) -> None:
         self.spark, self.config, self.layout = spark, config or Config(), layout
         self.index: PageIndex | None = None
 

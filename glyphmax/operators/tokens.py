@@ -159,6 +159,29 @@ def layout(docs: DataFrame, width: int = 64) -> DataFrame:
     return words.select("doc_id", "word", "line", col.alias("col"), (col / width).alias("x0"), (F.col("line") / F.col("lines")).alias("y0"), ((col + F.length("word")) / width).alias("x1"), ((F.col("line") + 1) / F.col("lines")).alias("y1"))
 
 
+def text_words(text: str, width: int = 64) -> Iterator[tuple[int, int, list[str], list[int]]]:
+    """:func:`layout` of one text, a line at a time: its number, the number of lines, its words and their columns."""
+    rows = text.split("\n")
+    n = sum(max(1, -(-len(t) // width)) for t in rows)
+    line = 0
+    for t in rows:
+        for at in range(0, max(1, len(t)), width):
+            words, cols, col = [], [], 0
+            for w in t[at : at + width].split(" "):
+                if w:
+                    words.append(w)
+                    cols.append(col)
+                col += len(w) + 1
+            if words:
+                yield line, n, words, cols
+            line += 1
+
+
+def has_words(text: Column) -> Column:
+    """Whether :func:`layout` finds a word in a text."""
+    return F.coalesce(F.translate(text, " \n", "") != "", F.lit(False))
+
+
 def layout_grid(words: DataFrame, grid: int, dim: int) -> DataFrame:
     """Hashed word vectors added to every cell that a word's box covers: ``doc_id, r, c, v`` (unit length)."""
 

@@ -1,9 +1,10 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmax import cli, encoders
+from glyphmax import catalog, cli, encoders
 from glyphmax.config import Config
 from glyphmax.engine import Engine
 from glyphmax.operators import compare, metrics, tokens
@@ -184,3 +185,31 @@ def test_zip_claims_and_running(spark):
     report = spark.createDataFrame([("a", "baseline", 1.0, 0.8), ("a", "binary", 32.0, 0.6), ("a", "spatial+redundancy", 2.0, 0.78)], "regime string, variant string, compression_ratio double, ndcg_5 double")
     found = {r["claim"]: r["holds"] for r in compare.claims(report).collect()}
     assert found == {"pruning is nearly free": True, "the loss is the code's": True}
+
+
+def test_words_are_laid_out_in_the_encoders_pass(spark, sf, monkeypatch):
+    texts = ["two words\n\nnext", "", None, " \n ", "x" * 200 + "  tab\tand\u00e9 \u4e2d\u6587 \U0001f600", "many words here\n" * 60]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = tokens.layout(docs).cache()
+    mine = [(i, w, line, c, n) for i, t in enumerate(texts) if t for line, n, words, cols in tokens.text_words(t) for w, c in zip(words, cols)]
+    assert sorted(mine) == sorted((r["doc_id"], r["word"], r["line"], r["col"], round(1 / (r["y1"] - r["y0"]))) for r in table.collect())
+    pages = docs.withColumnRenamed("doc_id", "page_id")
+    assert {r["page_id"] for r in pages.where(tokens.has_words(F.col("text"))).collect()} == {m[0] for m in mine}
+    boxes = table.select(F.col("doc_id").alias("page_id"), F.col("word").alias("token"), "x0", "y0", "x1", "y1")
+    a, b = ({(r["page_id"], r["tok"]): r["v"] for r in encoders.HashedEncoder(8, 4, x).encode_pages(pages).collect()} for x in (boxes, 64))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+    with pytest.warns(RuntimeWarning, match="3 pages"):
+        encoders.HashedEncoder(8, 4, 64).missing(pages)
+    assert "Exchange" not in catalog.queries()["hashed_pages"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    words = [f"w{i % 7}" for i in range(50)]
+    boxes = np.random.default_rng(1).uniform(0, 1, (50, 4)).cumsum(axis=1) / 4
+    found = []
+    for size in (1 << 16, 9):
+        monkeypatch.setattr(encoders, "BATCH_WORDS", size)
+        sums = encoders.WordSums(8, 4, encoders.word_vector)
+        sums.begin(2)
+        for at in range(0, 50, 5):
+            sums.add(at // 25, words[at : at + 5], boxes[at : at + 5])
+        sums.flush()
+        found.append(sums.acc)
+    assert np.allclose(*found)
