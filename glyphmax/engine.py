@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from glyphmax.encoders import Encoder, encoder
 from glyphmax.functions import vec
 from glyphmax.operators import grid, prune, similarity
 from glyphmax.operators.index import PageIndex
+from glyphmax.sources import storage
 
 
 class Engine:
@@ -30,14 +33,22 @@ class Engine:
         return self.index
 
     def build_documents(self, pages: DataFrame, mode: str = "overwrite") -> DataFrame:
-        """Encode and index ``page_id, text`` rows; pixel saliency is of the text's raster on the encoder's grid."""
+        """Encode and index ``page_id, text`` rows; pixel saliency is of the text's raster on the encoder's grid.
+
+        Encodings are stored under the index's path while it is built, for its tables read them several times.
+        """
         c, model = self.config, self.encoder()
         if self.layout is not None:
             model.missing(pages)
         mask = None
         if c.pruning.enabled and c.pruning.saliency == "pixel":
             mask = grid.masks_on_grid(pages, c.encoder.grid, c.encoder.grid, blank_threshold=c.pruning.threshold, keep_ratio=c.pruning.keep_ratio, min_keep=c.pruning.min_keep, dilation=c.pruning.dilation)
-        return self.build(model.encode_pages(pages), mask, mode)
+        at = f"{c.index.path.rstrip('/')}/encoded-{uuid.uuid4().hex}"
+        try:
+            model.encode_pages(pages).write.option("compression", "zstd").parquet(at)
+            return self.build(storage.encodings(self.spark, at), mask, mode)
+        finally:
+            storage.remove(self.spark, at)
 
     def build(self, patches: DataFrame, saliency: DataFrame | None = None, mode: str = "overwrite") -> DataFrame:
         """Index ``page_id, tok, is_text, v`` rows; returns the index statistics.
@@ -79,7 +90,8 @@ class Engine:
         rows = every.join(similarity.page_rows(self.index.vectors()), "page_id", "left")
         rows = rows.select("page_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("flat", F.array().cast("array<double>")).alias("flat"))
         full = self.index.floats if c.search.rerank else None
-        hits = similarity.ranked(similarity.maxsim(rows, q), k if full is None else max(k, c.search.prefilter_k))
+        first = k if full is None else max(k, c.search.prefilter_k)
+        hits = similarity.ranked(similarity.maxsim(rows, q, k=first), first)
         return hits if full is None else similarity.rerank(hits, similarity.page_rows(full), queries, k)
 
     def search_text(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:

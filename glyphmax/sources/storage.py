@@ -16,6 +16,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    system, at = located(spark, path)
+    system.delete(at, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     system, at = located(spark, path)
     stream = system.open(at)

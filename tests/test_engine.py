@@ -213,3 +213,27 @@ def test_words_are_laid_out_in_the_encoders_pass(spark, sf, monkeypatch):
         sums.flush()
         found.append(sums.acc)
     assert np.allclose(*found)
+
+
+def test_pages_are_encoded_once(spark, tmp_path):
+    ran = spark.sparkContext.accumulator(0)
+
+    class Counting(Engine):
+        def encoder(self):
+            model = super().encoder()
+            encode = model.encode_pages
+
+            def counted(batches):
+                for b in batches:
+                    ran.add(b.num_rows)
+                    yield b
+
+            model.encode_pages = lambda pages: encode(pages.select("page_id", "text").mapInArrow(counted, "page_id long, text string"))
+            return model
+
+    pages = spark.createDataFrame([(i, f"words of page {i}") for i in range(20)], "page_id long, text string")
+    c = Config().with_overrides(index={"path": str(tmp_path / "i")}, encoder={"dim": 8, "grid": 4, "noise": 0.0}, pruning={"enabled": False})
+    e = Counting(spark, c, 64)
+    assert e.build_documents(pages).first()["n_pages"] == 20 and ran.value == 20
+    assert not list((tmp_path / "i").glob("encoded-*"))
+    assert e.search_text(spark.createDataFrame([(1, "page 7")], "qid long, query string"), 3).count() == 3

@@ -159,3 +159,14 @@ def test_rasters_change_size():
     assert grid.downscaled(x, 99) is x and grid.downscaled(x, 4).shape == (3, 4) and grid.downscaled(np.ones((1, 500)), 5).shape == (1, 5)
     with pytest.raises(ValueError):
         grid.saliency_on_grid(x, 0, 3)
+
+
+def test_scores_for_a_ranking_leave_out_what_is_beaten(spark):
+    v = vectors(spark, [4] * 60)
+    twins = v.unionByName(v.where("page_id < 20").withColumn("page_id", F.col("page_id") + 100))  # equal scores
+    q = twins.where("page_id < 3").select(F.col("page_id").alias("qid"), F.col("tok").alias("qtok"), "v")
+    rows = similarity.page_rows(twins).coalesce(1).cache()
+    every, some = similarity.maxsim(rows, q), similarity.maxsim(rows, q, k=5)
+    assert some.count() < 30 < every.count()
+    assert sorted(similarity.ranked(every, 5).collect()) == sorted(similarity.ranked(some, 5).collect())
+    assert sorted(similarity.ranked(every, 99).collect()) == sorted(similarity.ranked(similarity.maxsim(rows, q, k=99), 99).collect())
