@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmax.functions import vec
@@ -71,9 +71,15 @@ def score_noise(scores: DataFrame) -> DataFrame:
     return g.select("qid", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round(rest, 4).alias("noise"), F.round(F.abs(F.col("slope")) * F.col("sd") / rest, 3).alias("snr"))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's correlation as an aggregate, null where either is constant: ``corr`` divides by zero there, an error in ANSI mode."""
+    return F.when((F.max(x) > F.min(x)) & (F.max(y) > F.min(y)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def snr_correlation(noise: DataFrame, tau: DataFrame) -> DataFrame:
-    """Correlation over queries of the logarithm of ``snr`` with ``tau``."""
-    return noise.where("snr > 0").join(tau, "qid").agg(F.count("*").alias("n"), F.round(F.corr(F.log("snr"), "tau"), 4).alias("r"))
+    """Correlation over queries of the logarithm of ``snr`` with ``tau``; NaN, as in SQL, where either is constant."""
+    r = F.when(F.count("*") > 0, F.coalesce(correlation(F.log("snr"), "tau"), F.lit(float("nan"))))
+    return noise.where("snr > 0").join(tau, "qid").agg(F.count("*").alias("n"), F.round(r, 4).alias("r"))
 
 
 def score_floor(matches: DataFrame) -> DataFrame:
@@ -94,4 +100,4 @@ def saliency_overlap(a: DataFrame, b: DataFrame, share: float = 0.25) -> DataFra
     k = F.greatest(F.lit(1), F.floor(F.count("*").over(page) * share))
     both = ranked(a, "x").join(ranked(b, "y"), ["page_id", "r", "c"]).withColumn("k", k)
     overlap = F.count_if((F.col("rank_x") <= F.col("k")) & (F.col("rank_y") <= F.col("k"))) / F.first("k")
-    return both.groupBy("page_id").agg(F.round(overlap, 6).alias("overlap"), F.round(F.corr("x", "y"), 4).alias("r"))
+    return both.groupBy("page_id").agg(F.round(overlap, 6).alias("overlap"), F.round(correlation("x", "y"), 4).alias("r"))

@@ -152,8 +152,8 @@ def page_pass(pages: DataFrame, weights: tuple[float, float], digits: int, negat
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                gray = raster(text or "")
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                gray = raster(text.as_py() or "")
                 s = rounded(saliency(1 - gray if negative else gray, *weights), digits)
                 r, c = np.indices(s.shape, np.int32)
                 held.append([np.full(s.size, page), r.ravel(), c.ravel(), s.ravel(), *([] if mask is None else [mask_of(s, **mask).ravel()])])
@@ -172,6 +172,27 @@ def page_saliency(pages: DataFrame, ink_weight: float = 0.6, edge_weight: float
     return page_pass(pages, (ink_weight, edge_weight), digits, negative, None)
 
 
+def page_polarity(pages: DataFrame, share: float = 0.25, digits: int = 6) -> DataFrame:
+    """``page_id, overlap, r`` of ``page_id, text`` rows: :func:`glyphmax.operators.geometry.saliency_overlap` of the raster and
+    its negative, made while the page is at hand; neither is rounded, and ``r`` is null where a saliency is constant."""
+
+    def page(text: str) -> tuple[float, float | None]:
+        gray = raster(text)
+        x, y = (rounded(saliency(g), digits).ravel() for g in (gray, 1 - gray))
+        k = max(1, int(np.floor(x.size * share)))
+        top = [np.argsort(-s, kind="stable")[:k] for s in (x, y)]
+        a, b = x - x.mean(), y - y.mean()
+        r = float(a @ b / np.sqrt((a @ a) * (b @ b))) if x.max() > x.min() and y.max() > y.min() else None
+        return len(np.intersect1d(*top, assume_unique=True)) / k, r
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [page(text.as_py() or "") for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["page_id", "overlap", "r"])
+
+    return pages.select("page_id", "text").mapInArrow(run, "page_id long, overlap double, r double")
+
+
 def page_masks(pages: DataFrame, ink_weight: float = 0.6, edge_weight: float = 0.4, digits: int = 6, **mask) -> DataFrame:
     """:func:`page_saliency` and ``keep`` (:func:`mask_of`), both made while the page is at hand."""
     return page_pass(pages, (ink_weight, edge_weight), digits, False, mask)

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmax import catalog
 from glyphmax.functions import vec
-from glyphmax.operators import codecs, grid, metrics, prune, similarity, tokens
+from glyphmax.operators import codecs, geometry, grid, metrics, prune, selectors, similarity, tokens
 
 
 def vectors(spark, pages, dim=16, seed=0):
@@ -170,3 +171,19 @@ def test_scores_for_a_ranking_leave_out_what_is_beaten(spark):
     assert some.count() < 30 < every.count()
     assert sorted(similarity.ranked(every, 5).collect()) == sorted(similarity.ranked(some, 5).collect())
     assert sorted(similarity.ranked(every, 99).collect()) == sorted(similarity.ranked(similarity.maxsim(rows, q, k=99), 99).collect())
+
+
+def test_polarity_of_pages_equals_that_of_tables(spark, sf):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["", None, "word " * 300, "a\n" * 700, "x" * 4000, "Tab\t, 中文 " * 90])], "page_id long, text string")
+    of = geometry.saliency_overlap(grid.page_saliency(docs), grid.page_saliency(docs, negative=True))
+    want = {r["page_id"]: (r["overlap"], r["r"]) for r in of.collect()}
+    got = {r["page_id"]: (round(r["overlap"], 6), None if r["r"] is None else round(r["r"], 4)) for r in grid.page_polarity(docs).collect()}
+    assert got == want and len(got) == 6 and got[0][1] is None and any(r is not None for _, r in got.values())
+    assert "Exchange" not in catalog.queries()["polarity_check"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_correlation_with_a_constant(spark):
+    noise = spark.createDataFrame([(1, 2.0), (2, 3.0)], "qid long, snr double")
+    for taus, want in (((0.5, 0.5), float("nan")), ((0.5, 0.7), 1.0)):
+        r = geometry.snr_correlation(noise, spark.createDataFrame([(1, taus[0]), (2, taus[1])], "qid long, tau double")).first()
+        assert r["n"] == 2 and r["r"] == pytest.approx(want, nan_ok=True)
