@@ -120,13 +120,16 @@ def smaller_before(x: np.ndarray) -> np.ndarray:
 
 def rbo(a: DataFrame, b: DataFrame, p: float = 0.9) -> DataFrame:
     """``qid, rbo``: rank-biased overlap of two full permutations, agreement 1 beyond their end."""
-    r = both_ranks(a, b, "inner").withColumn("depth", F.greatest("ra", "rb"))
-    at = r.groupBy("qid", "depth").agg(F.count("*").alias("n"))
-    sizes = r.groupBy("qid").agg(F.count("*").alias("size"))
-    # an item common from depth m on adds (1 - p) p^(d-1) / d at every depth d >= m
-    tail = F.aggregate(F.sequence(F.col("depth"), F.col("size").cast("int")), F.lit(0.0), lambda s, d: s + (1 - p) * F.pow(F.lit(p), d - 1) / d)
-    part = at.join(sizes, "qid").select("qid", "size", (F.col("n") * tail).alias("part"))
-    return part.groupBy("qid", "size").agg(F.sum("part").alias("s")).select("qid", F.round(F.col("s") + F.pow(F.lit(p), F.col("size")), 6).alias("rbo"))
+    r = both_ranks(a, b, "inner")
+    at = r.groupBy("qid", F.greatest("ra", "rb").alias("depth")).agg(F.count("*").alias("n"))
+    # an item common from depth m on adds (1 - p) p^(d-1) / d at every depth d >= m: rests of the sum, looked up; those that are 0 in doubles are left out
+    d = np.arange(1, 2 + (int(np.log(1e-30) / np.log(p)) if 0 < p < 1 else 0), dtype=np.float64)
+    rest = np.cumsum(((1 - p) * p ** (d - 1) / d)[::-1])[::-1]
+    rests = F.broadcast(a.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(rest)], "depth long, rest double"))  # 656 rows for p = 0.9
+    inside = at.join(rests, "depth", "left").groupBy("qid").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.coalesce("rest", F.lit(0.0))).alias("s"))
+    whole = inside.join(rests.withColumn("depth", F.col("depth") - 1).withColumnRenamed("depth", "size"), "size", "left")
+    beyond = F.col("size") * F.coalesce("rest", F.lit(0.0))
+    return whole.select("qid", F.round(F.col("s") - beyond + F.pow(F.lit(p), F.col("size")), 6).alias("rbo"))
 
 
 def agreement(base: DataFrame, other: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:

@@ -187,3 +187,15 @@ def test_correlation_with_a_constant(spark):
     for taus, want in (((0.5, 0.5), float("nan")), ((0.5, 0.7), 1.0)):
         r = geometry.snr_correlation(noise, spark.createDataFrame([(1, taus[0]), (2, taus[1])], "qid long, tau double")).first()
         assert r["n"] == 2 and r["r"] == pytest.approx(want, nan_ok=True)
+
+
+def test_rbo_of_long_rankings(spark):
+    r = np.random.default_rng(5)
+    for n, p in ((1, 0.9), (7, 0.9), (700, 0.9), (3000, 0.5)):
+        order = r.permutation(n)
+        a, b = (spark.createDataFrame([(1, int(x), i + 1) for i, x in enumerate(o)], "qid long, page_id long, rank int") for o in (range(n), order))
+        depth = np.maximum(np.argsort(order), np.arange(n)) + 1
+        want = sum((1 - p) * p ** (d - 1) * (depth <= d).sum() / d for d in range(1, n + 1)) + p**n
+        out = metrics.rbo(a, b, p)
+        assert out.first()["rbo"] == pytest.approx(want, abs=1e-6)
+    assert "sequence(" not in out._jdf.queryExecution().analyzed().toString()  # no sum over all depths for every item
