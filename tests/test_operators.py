@@ -199,3 +199,13 @@ def test_rbo_of_long_rankings(spark):
         out = metrics.rbo(a, b, p)
         assert out.first()["rbo"] == pytest.approx(want, abs=1e-6)
     assert "sequence(" not in out._jdf.queryExecution().analyzed().toString()  # no sum over all depths for every item
+
+
+def test_winners_are_counted_in_the_page_pass(spark, sf):
+    v = vectors(spark, [5, 1, 7, 3, 5, 5])
+    twins = v.unionByName(v.where("page_id = 2").withColumn("tok", F.col("tok") + 7))  # equal similarities: the lower token wins
+    q = v.where("page_id < 3").select(F.col("page_id").alias("qid"), F.col("tok").alias("qtok"), "v")
+    want = prune.winners(twins, q).groupBy("page_id", "tok").agg(F.count("*").alias("wins"), F.countDistinct("qid").alias("n_queries"), F.min("qid").alias("first"))
+    for block in (None, 4):
+        assert sorted(similarity.winner_counts(twins, q, block).collect()) == sorted(want.collect())
+    assert "qtok" not in catalog.queries()["winner_set"](spark, sf)._jdf.queryExecution().analyzed().toString()  # no row a query token and page
