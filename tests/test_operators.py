@@ -209,3 +209,6 @@ def test_winners_are_counted_in_the_page_pass(spark, sf):
     for block in (None, 4):
         assert sorted(similarity.winner_counts(twins, q, block).collect()) == sorted(want.collect())
     assert "qtok" not in catalog.queries()["winner_set"](spark, sf)._jdf.queryExecution().analyzed().toString()  # no row a query token and page
+    n = {r["page_id"]: r["wins"] for r in want.where("tok = 0").collect()}
+    found = {r["selector"]: r["recall"] for r in selectors.recalls({"a": v.where("tok = 0"), "none": v.where("page_id = 99")}, want).collect()}
+    assert found == {"a": pytest.approx(sum(n.values()) / want.agg(F.sum("wins")).first()[0], abs=1e-6), "none": 0.0}
