@@ -212,3 +212,13 @@ def test_winners_are_counted_in_the_page_pass(spark, sf):
     n = {r["page_id"]: r["wins"] for r in want.where("tok = 0").collect()}
     found = {r["selector"]: r["recall"] for r in selectors.recalls({"a": v.where("tok = 0"), "none": v.where("page_id = 99")}, want).collect()}
     assert found == {"a": pytest.approx(sum(n.values()) / want.agg(F.sum("wins")).first()[0], abs=1e-6), "none": 0.0}
+
+
+def test_stages_of_an_incomplete_page(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 26").write.parquet(str(tmp_path / "embeddings.parquet"))
+    of = lambda name: {r["page_id"]: r.asDict() for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    whole = {"n_before": 10, "n_patches": 8, "n_after_spatial": 5, "n_after": 7, "blank_fraction": 0.375}
+    six = {"n_before": 6, "n_patches": 6, "n_after_spatial": 5, "n_after": 5, "blank_fraction": 0.166667}
+    assert of("pruning_stages") == {0: {"page_id": 0} | whole, 1: {"page_id": 1} | whole, 2: {"page_id": 2} | six}
+    assert of("spatial_pruning")[2] == {"page_id": 2, "n_before": 6, "n_after": 3, "keep_ratio": 0.5}
+    assert {p: r["nbytes"] for p, r in of("upsert_pages").items()} == {0: 16, 1: 80, 2: 0}
